@@ -14,8 +14,7 @@ from keelson.plans.ordered import Running, plan_chunks, with_running
 KEYS = ("database", "job")
 DONE = ("succeeded", "recovered")
 
-# The states of a job and the transitions that are allowed.
-STATES = ("absent", "pending", "succeeded", "failed", "recovered")
+# The allowed transitions; any other attempt leaves the state as it is.
 TRANSITIONS = {
     ("record", "absent"): "succeeded",
     ("start", "absent"): "pending",
@@ -34,30 +33,67 @@ def _next_state(action: Column, state: Column) -> Column:
     return out
 
 
-def _chunk_effect(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Per (key, chunk): the state each entry state leads to, folded over the chunk's rows."""
-    actions = F.transform(F.array_sort(F.collect_list(F.struct(*order, "action"))), lambda r: r["action"])
-    identity = F.array(*[F.lit(s) for s in STATES])
-    effect = F.aggregate(
-        actions, identity, lambda m, a: F.transform(m, lambda s: F.coalesce(_next_state(a, s), s))
+# Entry states a chunk can still change; the others are final.
+_LIVE = ("absent", "pending", "failed")
+
+
+def _walk(rows: DataFrame, window_keys: list[str], order: list[Column], entry: Column) -> DataFrame:
+    """Add ``state_before`` from running windows over one chunk of one job.
+
+    The state is set by the entry state or the row that opens the job, toggled by fail and
+    retry, and ended by the first complete (while pending) or recover (while failed).
+    """
+    before = Window.partitionBy(*window_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    action = F.col("action")
+    opens = F.when(action == "record", "succeeded").when(action == "start", "pending")
+    rows = rows.withColumn("__open", F.coalesce(entry, F.first(opens, ignorenulls=True).over(before)))
+    toggle = F.when(
+        F.col("__open").isNotNull(), F.when(action == "fail", "failed").when(action == "retry", "pending")
+    )
+    rows = rows.withColumn(
+        "__now", F.coalesce(F.last(toggle, ignorenulls=True).over(before), F.col("__open"))
+    )
+    ends = F.when((action == "complete") & (F.col("__now") == "pending"), "succeeded").when(
+        (action == "recover") & (F.col("__now") == "failed"), "recovered"
+    )
+    rows = rows.withColumn("__end", F.first(ends, ignorenulls=True).over(before))
+    state = (
+        F.when(F.col("__open").isNull(), "absent")
+        .when(F.col("__open").isin(*DONE), F.col("__open"))
+        .otherwise(F.coalesce("__end", "__now"))
+    )
+    return rows.withColumn("state_before", state).drop("__open", "__now", "__end")
+
+
+def _chunk_effects(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Per (key, chunk): the state that each live entry state leads to."""
+    variants = F.explode(F.array(*[F.lit(s) for s in _LIVE])).alias("__from")
+    tried = rows.select(*keys, "__chunk", *order, "action", variants)
+    entry = F.when(F.col("__from") != "absent", F.col("__from"))
+    walked = _walk(tried, [*keys, "__chunk", "__from"], [F.col(o) for o in order], entry)
+    after = F.coalesce(_next_state(F.col("action"), F.col("state_before")), F.col("state_before"))
+    last = walked.groupBy(*keys, "__chunk", "__from").agg(F.max_by(after, F.struct(*order)).alias("to"))
+    return last.groupBy(*keys, "__chunk").agg(
+        *[F.max(F.when(F.col("__from") == s, F.col("to"))).alias(s) for s in _LIVE]
     )
-    return rows.groupBy(*keys, "__chunk").agg(effect.alias("effect"))
 
 
 def _entry_states(effects: DataFrame, keys: list[str]) -> DataFrame:
-    """Per (key, chunk): the state before its first row. Folds one row per chunk."""
-    chunks = F.array_sort(F.collect_list(F.struct("__chunk", "effect")))
+    """Per (key, chunk): the state before its first row. Folds one small row per chunk."""
+    chunks = F.array_sort(F.collect_list(F.struct("__chunk", *_LIVE)))
     start = F.struct(
         F.lit("absent").alias("state"),
         F.array().cast("array<struct<chunk:bigint,state:string>>").alias("seen"),
     )
 
     def step(acc: Column, c: Column) -> Column:
-        entry = F.struct(c["__chunk"].alias("chunk"), acc["state"].alias("state"))
-        at = F.array_position(F.array(*[F.lit(s) for s in STATES]), acc["state"])
+        state = acc["state"]
+        after = F.when(state == _LIVE[0], c[_LIVE[0]])
+        for s in _LIVE[1:]:
+            after = after.when(state == s, c[s])
+        entry = F.struct(c["__chunk"].alias("chunk"), state.alias("state"))
         return F.struct(
-            F.element_at(c["effect"], at.cast("int")).alias("state"),
-            F.concat(acc["seen"], F.array(entry)).alias("seen"),
+            after.otherwise(state).alias("state"), F.concat(acc["seen"], F.array(entry)).alias("seen")
         )
 
     folded = effects.groupBy(*keys).agg(F.aggregate(chunks, start, step)["seen"].alias("seen"))
@@ -72,52 +108,29 @@ def ledger_transitions(
 ) -> DataFrame:
     """Every attempted transition with ``state_before``, ``state_after`` and ``accepted``.
 
-    A job's rows are cut into chunks so that a hot job is spread over tasks. The effect of
-    a chunk on each possible entry state is a small table; folding those per job gives the
-    entry state of every chunk, which enters it as a seed row. Inside a chunk the state is
-    read from running windows: it is set by the row that opens the job, toggled by fail and
-    retry, and ended by the first complete (while pending) or recover (while failed).
+    A job's rows are cut into chunks so that a hot job is spread over tasks. Each chunk is
+    walked once per possible entry state, which gives a small table of effects; folding
+    those per job gives the entry state of every chunk, and that enters the second walk as
+    a seed row. With one chunk there is a single walk.
     """
     keys, order = list(keys), list(order)
     if chunk is None:
         chunk = plan_chunks(events, order[0])
-    rows = events.withColumn("__chunk", chunk if chunk is not None else F.lit(0).cast("bigint"))
-    rows = rows.withColumns({"__seed": F.lit(1), "__entry": F.lit(None).cast("string")})
-    if chunk is not None:
-        effects = _chunk_effect(rows, keys, order)
-        seeds = _entry_states(effects, keys).filter("state <> 'absent'")
-        seeds = seeds.select(*keys, "__chunk", F.lit(0).alias("__seed"), F.col("state").alias("__entry"))
-        rows = rows.unionByName(seeds, allowMissingColumns=True)
-
-    w = Window.partitionBy(*keys, "__chunk").orderBy("__seed", *order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    action, entry = F.col("action"), F.col("__entry")
-    opens = F.coalesce(entry, F.when(action == "record", "succeeded").when(action == "start", "pending"))
-    rows = rows.withColumn("__open", F.first(opens, ignorenulls=True).over(before))
-    toggle = F.when(
-        F.col("__open").isNotNull(), F.when(action == "fail", "failed").when(action == "retry", "pending")
-    )
-    rows = rows.withColumn(
-        "__now", F.coalesce(F.last(toggle, ignorenulls=True).over(before), F.col("__open"))
-    )
-    ends = F.when((action == "complete") & (F.col("__now") == "pending"), "succeeded").when(
-        (action == "recover") & (F.col("__now") == "failed"), "recovered"
-    )
-    rows = rows.withColumn("__end", F.first(ends, ignorenulls=True).over(before))
-    state = (
-        F.when(F.col("__open").isNull(), "absent")
-        .when(F.col("__open").isin(*DONE), F.col("__open"))
-        .otherwise(F.coalesce("__end", "__now"))
-    )
-    rows = rows.withColumn("state_before", state)
-    after = _next_state(action, F.col("state_before"))
-    return (
-        rows.withColumns(
-            {"accepted": after.isNotNull(), "state_after": F.coalesce(after, F.col("state_before"))}
-        )
-        .filter("__seed = 1")
-        .drop("__chunk", "__seed", "__entry", "__open", "__now", "__end")
-    )
+    after = _next_state(F.col("action"), F.col("state_before"))
+    outcome = {"accepted": after.isNotNull(), "state_after": F.coalesce(after, F.col("state_before"))}
+    ordering = [F.col(o) for o in order]
+    if chunk is None:
+        return _walk(events, keys, ordering, F.lit(None).cast("string")).withColumns(outcome)
+
+    rows = events.withColumn("__chunk", chunk)
+    seeds = _entry_states(_chunk_effects(rows, keys, order), keys).filter("state <> 'absent'")
+    seeds = seeds.select(*keys, "__chunk", F.lit(0).alias("__seed"), F.col("state").alias("__entry"))
+    both = rows.withColumn("__seed", F.lit(1)).unionByName(seeds, allowMissingColumns=True)
+    window_keys, seed_first = [*keys, "__chunk"], [F.col("__seed"), *ordering]
+    before = Window.partitionBy(*window_keys).orderBy(*seed_first).rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.first("__entry", ignorenulls=True).over(before)
+    walked = _walk(both.withColumn("__from", entry), window_keys, seed_first, F.col("__from"))
+    return walked.withColumns(outcome).filter("__seed = 1").drop("__chunk", "__seed", "__entry", "__from")
 
 
 def ledger_state(

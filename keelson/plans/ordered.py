@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 100_000
 _STRING_BYTES = 7
 
 
@@ -52,32 +52,40 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
+def _number_of_bounds_up_to(value: Column, bounds: list[float]) -> Column:
+    """How many of the ascending ``bounds`` are <= ``value``, by halving steps."""
+    steps, size = [], 1
+    while size <= len(bounds):
+        steps.insert(0, size)
+        size *= 2
+    table = F.lit(bounds)
+
+    def advance(pos: Column, step: Column) -> Column:
+        ahead = pos + step
+        fits = (ahead <= len(bounds)) & (F.get(table, ahead - 1) <= value)
+        return F.when(fits, ahead).otherwise(pos)
+
+    return F.aggregate(F.lit(steps), F.lit(0), advance)
+
+
 def plan_chunks(df: DataFrame, column: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Column | None:
-    """Chunk expression for ``column``, or None when one chunk is enough.
+    """Chunk expression for ``column`` with about equal rows per chunk, or None for one chunk.
 
-    Runs one aggregate over that single column (count, min, max). The chunks have equal
-    width, so their rows follow the data; an explicit chunk column can be given instead.
+    Reads that single column: once for count, minimum and maximum, and for more than one
+    chunk a second time for approximate quantiles. The bounds are part of the expression,
+    so every use of it cuts the same way. Equal values always share a chunk.
     """
     dtype = df.schema[column].dataType
     c = F.col(column)
-    text = isinstance(dtype, T.StringType)
-    low_high = c if text else _rank(c, dtype)
-    n, low, high = df.agg(F.count(F.lit(1)), F.min(low_high), F.max(low_high)).first()
-    if n <= rows_per_chunk or low is None:
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(c), F.max(c)).first()
+    if n <= rows_per_chunk or low is None or low == high:
         return None
-    skip = 0
-    if text:
-        skip = _common_prefix(low, high)
-        low, high = (
-            int.from_bytes(v.encode()[skip : skip + _STRING_BYTES].ljust(_STRING_BYTES, b"\0"), "big")
-            for v in (low, high)
-        )
-    rank = _rank(c, dtype, skip)
+    skip = _common_prefix(low, high) if isinstance(dtype, T.StringType) else 0
+    rank = F.nanvl(_rank(c, dtype, skip).cast("double"), F.lit(float("inf")))
     chunks = min(-(-n // rows_per_chunk), MAX_CHUNKS)
-    width = (float(high) - float(low)) / chunks
-    if width <= 0:
-        return None
-    return F.floor((rank.cast("double") - F.lit(float(low))) / F.lit(width)).cast("bigint")
+    cuts = [i / chunks for i in range(1, chunks)]
+    (bounds,) = df.agg(F.percentile_approx(rank, cuts, max(10_000, 10 * chunks))).first()
+    return _number_of_bounds_up_to(rank, sorted(set(bounds))).cast("bigint")
 
 
 def with_running(
