@@ -138,17 +138,19 @@ def _(t):
     "suppress_issues",
     """
     WITH issues AS (
-      SELECT 'pk' AS rule, o_orderpriority AS "table", o_orderstatus AS "constraint", o_orderkey FROM orders)
+      SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'fk' ELSE 'pk' END AS rule, o_orderpriority AS "table",
+             o_orderstatus AS "constraint", o_orderkey FROM orders)
     SELECT * FROM issues
-    WHERE NOT ("table" = '1-URGENT')
+    WHERE NOT (rule = 'pk' AND "table" = '1-URGENT')
       AND NOT ("constraint" = 'P')
-      AND NOT ("table" = '5-LOW' AND "constraint" = 'F')
+      AND NOT (rule = 'pk' AND "table" = '5-LOW' AND "constraint" = 'F')
     """,
 )
 def _(t):
     orders = t("orders")
     issues = orders.selectExpr(
-        "'pk' AS rule", "o_orderpriority AS table", "o_orderstatus AS constraint", "o_orderkey"
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'fk' ELSE 'pk' END AS rule",
+        "o_orderpriority AS table", "o_orderstatus AS constraint", "o_orderkey",
     )
     pairs = orders.select("o_orderpriority", "o_orderstatus").distinct()
     waivers = pairs.selectExpr(

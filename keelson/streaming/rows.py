@@ -16,7 +16,8 @@ from keelson.operators.ledger import checksum_mismatch, pending_items
 def expire_rows_stream(stream: DataFrame, ts: str, after: str) -> DataFrame:
     """The rows whose time to live ran out, each emitted when the watermark passes its expiry.
 
-    The clock is the latest event time seen. Rows that arrive already expired are dropped.
+    The clock is the latest event time seen. A row that arrives after its expiry is dropped, or
+    emitted at once if it was not late for the batch before.
     State is spread by whole row, so no key can grow hot; it holds the rows still alive.
     """
     columns = stream.columns
