@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.functions.casts import cast_or_null, stored_type
 from keelson.specs import Column, TableSpec, type_change_needs_rewrite
 
 
@@ -39,10 +40,6 @@ def _dtype(text: str | T.DataType) -> T.DataType:
     return T.DataType.fromDDL(text) if isinstance(text, str) else text
 
 
-def _plain(dtype: T.DataType) -> T.DataType:
-    return T.StringType() if isinstance(dtype, (T.VarcharType, T.CharType)) else dtype
-
-
 def _any(conds: list[Col]) -> Col:
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 
@@ -53,10 +50,14 @@ def _too_long(value: Col, dtype: T.DataType) -> Col:
     return F.lit(False)
 
 
-def _convert(value: Col, dtype: T.DataType) -> tuple[Col, Col]:
+def _convert(value: Col, source: T.DataType, target: T.DataType) -> tuple[Col, Col]:
     """The converted value and whether a non-NULL value did not fit."""
-    out = value.try_cast(_plain(dtype))
-    return out, (out.isNull() & value.isNotNull()) | _too_long(value, dtype)
+    out = cast_or_null(value, source, target)
+    return out, (out.isNull() & value.isNotNull()) | _too_long(value, target)
+
+
+def _type_of(df: DataFrame, value: Col) -> T.DataType:
+    return df.select(value.alias("v")).schema["v"].dataType
 
 
 def _with_error(value: Col, bad: Col, message: str) -> Col:
@@ -88,8 +89,8 @@ def add_column(
     if default is None:
         if not_null and not _is_empty(df):
             raise EvolutionError([f"column {name} is NOT NULL without a default and the table has rows"])
-        return df.withColumn(name, F.lit(None).cast(_plain(_dtype(type))))
-    return df.withColumn(name, F.expr(default).cast(_plain(_dtype(type))))
+        return df.withColumn(name, F.lit(None).cast(stored_type(_dtype(type))))
+    return df.withColumn(name, F.expr(default).cast(stored_type(_dtype(type))))
 
 
 @dataclass(frozen=True)
@@ -137,7 +138,7 @@ def widen_column(df: DataFrame, column: str, type: str) -> DataFrame:
     old = df.schema[column].dataType
     if type_change_needs_rewrite(old, new):
         raise EvolutionError([f"{column}: {old.simpleString()} to {new.simpleString()} is not a widening"])
-    return df.select(*_replaced(df, column, F.col(column).cast(_plain(new))))
+    return df.select(*_replaced(df, column, F.col(column).cast(stored_type(new))))
 
 
 def rewrite_column(
@@ -150,7 +151,7 @@ def rewrite_column(
     """
     new = _dtype(type)
     source = F.expr(using) if isinstance(using, str) else using if using is not None else F.col(column)
-    value, bad = _convert(source, new)
+    value, bad = _convert(source, _type_of(df, source), new)
     if on_error == "raise":
         message = f"{column}: value does not fit {new.simpleString()}"
         return df.select(*_replaced(df, column, _with_error(value, bad, message)))
@@ -162,8 +163,9 @@ def narrowing_report(df: DataFrame, changes: dict[str, str]) -> DataFrame:
     aggs, rows = [], []
     for i, (column, text) in enumerate(changes.items()):
         new, c = _dtype(text), F.col(column)
-        value, _ = _convert(c, new)
-        back = value.try_cast(_plain(df.schema[column].dataType))
+        old = df.schema[column].dataType
+        value = cast_or_null(c, old, new)
+        back = cast_or_null(value, stored_type(new), old)
         tests = {
             "overflow": value.isNull() & c.isNotNull(),
             "too_long": _too_long(c, new),
@@ -274,13 +276,13 @@ def conform_to_target(df: DataFrame, spec: TableSpec) -> Rewrite:
     projection, bad = [], []
     for c in spec.insertable():
         if c.name.lower() in have:
-            value, misfit = _convert(F.col(c.name), c.data_type)
+            value, misfit = _convert(F.col(c.name), df.schema[c.name].dataType, c.data_type)
             if df.schema[c.name].dataType == c.data_type:
                 value, misfit = F.col(c.name), F.lit(False)
             bad.append(misfit if c.nullable else misfit | F.col(c.name).isNull())
         else:
             value = F.expr(c.default) if c.default is not None else F.lit(None)
-            value = value.cast(_plain(c.data_type))
+            value = value.cast(stored_type(c.data_type))
         projection.append(value.alias(c.name))
     return _split(df, projection, _any(bad))
 
@@ -291,7 +293,7 @@ def conform_report(df: DataFrame, spec: TableSpec) -> DataFrame:
     have = {c.lower() for c in df.columns}
     for i, c in enumerate(x for x in spec.insertable() if x.name.lower() in have):
         v = F.col(c.name)
-        value = v.try_cast(_plain(c.data_type))
+        value = cast_or_null(v, df.schema[c.name].dataType, c.data_type)
         tests = {
             "cast_failures": value.isNull() & v.isNotNull(),
             "required_nulls": v.isNull() if not c.nullable else F.lit(False),
@@ -404,7 +406,7 @@ def evolve_table(df: DataFrame, spec: TableSpec, changes: list[Change]) -> Evolv
         spec = spec.with_column(c)
     for i, ch in enumerate(by_type.get(ChangeType, [])):
         source = F.expr(ch.using) if ch.using else F.col(ch.name)
-        value, misfit = _convert(source, _dtype(ch.type))
+        value, misfit = _convert(source, _type_of(rows, source), _dtype(ch.type))
         rows = rows.withColumns({ch.name: value, f"__bad{i}": misfit})
         bad.append(F.col(f"__bad{i}"))
         spec = _edit(spec, ch.name, lambda c, t=ch.type: replace(c, type=t))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.functions.text import quote_ident, quote_literal, quote_table
 from keelson.operators.batching import batch_rows
@@ -234,7 +235,7 @@ def read_sql_dump(spark: SparkSession, paths: str | list[str], spec: TableSpec,
     text = cells.select(*[F.element_at(by_name, F.lit(c.name)).alias(c.name) for c in columns])
     good, bad = [], []
     for c in columns:
-        value, misfit = _convert(F.col(c.name), c.data_type)
+        value, misfit = _convert(F.col(c.name), T.StringType(), c.data_type)
         good.append(value.alias(c.name))
         bad.append(misfit)
     flag = F.coalesce(_any(bad), F.lit(False))
