@@ -73,7 +73,7 @@ def _(t):
     parts = None
     for n in RELATED:
         name = f"public.{n}"
-        rows = t.spark.read.parquet(f"{target}/{name}").agg(F.count("*").alias("rows"))
+        rows = t.spark.read.schema(SPECS[n].struct()).parquet(f"{target}/{name}").agg(F.count("*").alias("rows"))
         part = rows.select(F.lit(name).alias("table"), "rows")
         parts = part if parts is None else parts.unionByName(part)
     orphans = None

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.casts import cast_or_null, stored_type
-from keelson.specs import Column, TableSpec, type_change_needs_rewrite
+from keelson.specs import Column, TableSpec, parse_type, type_change_needs_rewrite
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class EvolutionError(ValueError):
 
 
 def _dtype(text: str | T.DataType) -> T.DataType:
-    return T.DataType.fromDDL(text) if isinstance(text, str) else text
+    return parse_type(text) if isinstance(text, str) else text
 
 
 def _any(conds: list[Col]) -> Col:
@@ -69,7 +69,7 @@ def _is_empty(df: DataFrame) -> bool:
 
 
 def _split(df: DataFrame, projection: list[Col], bad: Col) -> Rewrite:
-    flag = F.coalesce(bad, F.lit(False))
+    flag = F.ifnull(bad, F.lit(False))
     return Rewrite(df.filter(~flag).select(*projection), df.filter(flag))
 
 
@@ -276,10 +276,12 @@ def conform_to_target(df: DataFrame, spec: TableSpec) -> Rewrite:
     projection, bad = [], []
     for c in spec.insertable():
         if c.name.lower() in have:
-            value, misfit = _convert(F.col(c.name), df.schema[c.name].dataType, c.data_type)
-            if df.schema[c.name].dataType == c.data_type:
-                value, misfit = F.col(c.name), F.lit(False)
-            bad.append(misfit if c.nullable else misfit | F.col(c.name).isNull())
+            value, old = F.col(c.name), df.schema[c.name].dataType
+            if not c.nullable:
+                bad.append(value.isNull())
+            if old != c.data_type:
+                value, misfit = _convert(value, old, c.data_type)
+                bad.append(misfit)
         else:
             value = F.expr(c.default) if c.default is not None else F.lit(None)
             value = value.cast(stored_type(c.data_type))

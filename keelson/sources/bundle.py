@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.operators.evolve import EvolutionError, conform_issues, conform_to_target
 from keelson.operators.graph import load_order
@@ -93,8 +94,8 @@ def export_database(
             patch.write.option("compression", codec).parquet(f"{out}/patch/{name}")
         df.write.option("compression", codec).parquet(f"{out}/data/{name}")
         # counted from the footers of what was written
-        rows = spark.read.parquet(f"{out}/data/{name}").count()
-        entries.append({"table": name, "rows": rows, "self_columns": self_cols})
+        rows = spark.read.schema(df.schema).parquet(f"{out}/data/{name}").count()
+        entries.append({"table": name, "rows": rows, "self_columns": self_cols, "schema": df.schema.jsonValue()})
     marks = {r["sequence"]: r["value"] for r in high_water_marks(sequences).collect()} if sequences else {}
     manifest = {
         "version": FORMAT_VERSION,
@@ -136,9 +137,9 @@ class LoadResult:
     fk_violations: dict[str, DataFrame]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _exists(spark: SparkSession, path: str, spec: TableSpec) -> bool:
     try:
-        spark.read.parquet(path)
+        spark.read.schema(spec.struct()).parquet(path)
         return True
     except AnalysisException:
         return False
@@ -160,9 +161,9 @@ def load_database(
     manifest = read_manifest(spark, bundle)
     by_name = {s.name: s for s in specs}
     entries = {e["table"]: e for e in manifest["tables"]}
+    shapes = {n: T.StructType.fromJson(e["schema"]) for n, e in entries.items()}
     problems = []
-    for name in entries:
-        schema = spark.read.parquet(f"{bundle}/data/{name}").schema
+    for name, schema in shapes.items():
         problems += [
             i.description for i in conform_issues(schema, by_name.get(name), name) if i.severity == "error"
         ]
@@ -183,30 +184,36 @@ def load_database(
     writer_mode = {"append": "append", "truncate": "overwrite", "create": "errorifexists"}[mode]
     loaded = rows = 0
     for name in load_order([by_name[n] for n in entries]):
-        entry, spec = entries[name], by_name[name]
+        entry, spec, shape = entries[name], by_name[name], shapes[name]
         path = f"{target}/{name}"
+        df = spark.read.schema(shape).parquet(f"{bundle}/data/{name}")
         if entry["rows"] == 0:
-            if mode == "truncate" and _exists(spark, path):
-                spark.read.parquet(f"{bundle}/data/{name}").write.mode("overwrite").parquet(path)
+            if mode == "truncate" and _exists(spark, path, spec):
+                conform_to_target(df, spec).good.write.mode("overwrite").parquet(path)
             continue
-        df = spark.read.parquet(f"{bundle}/data/{name}")
         if entry["self_columns"]:
-            df = apply_patch(df, spark.read.parquet(f"{bundle}/patch/{name}"), list(spec.primary_key))
+            keys = [f for f in shape if f.name in (*spec.primary_key, *entry["self_columns"])]
+            patch = spark.read.schema(T.StructType(keys)).parquet(f"{bundle}/patch/{name}")
+            df = apply_patch(df, patch, list(spec.primary_key))
         split = conform_to_target(df, spec)
-        rejected = split.bad.limit(1).collect()
+        rejected = split.bad.take(1)
         if rejected:
             raise EvolutionError([f"{name}: rows do not fit the target, e.g. {rejected[0].asDict()}"])
         split.good.write.mode(writer_mode).parquet(path)
         loaded, rows = loaded + 1, rows + entry["rows"]
-    orphans = {}
-    for name in entries:
-        for fk in by_name[name].foreign_keys:
-            paths = f"{target}/{name}", f"{target}/{qualified(fk.parent)}"
-            if all(_exists(spark, p) for p in paths):
-                child, parent = (spark.read.parquet(p) for p in paths)
-                orphans[f"{name}.{fk.label}"] = fk_violations(
-                    child, parent, list(fk.columns), list(fk.parent_columns)
-                )
+    present = {
+        n: spark.read.schema(by_name[n].struct()).parquet(f"{target}/{n}")
+        for n in {*entries, *(qualified(f.parent) for e in entries for f in by_name[e].foreign_keys)}
+        if n in by_name and _exists(spark, f"{target}/{n}", by_name[n])
+    }
+    orphans = {
+        f"{name}.{fk.label}": fk_violations(
+            present[name], present[qualified(fk.parent)], list(fk.columns), list(fk.parent_columns)
+        )
+        for name in entries
+        for fk in by_name[name].foreign_keys
+        if name in present and qualified(fk.parent) in present
+    }
     return LoadResult(loaded, rows, orphans)
 
 

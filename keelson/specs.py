@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import types as T
 
 
+@lru_cache(maxsize=1024)
+def parse_type(text: str) -> T.DataType:
+    return T.DataType.fromDDL(text)
+
+
 @dataclass(frozen=True)
 class Column:
     """A declared column. ``default``, ``computed`` and ``on_update`` are Spark SQL text."""
@@ -22,7 +28,7 @@ class Column:
 
     @property
     def data_type(self) -> T.DataType:
-        return T.DataType.fromDDL(self.type)
+        return parse_type(self.type)
 
 
 @dataclass(frozen=True)

@@ -65,7 +65,7 @@ def test_conformance_errors_write_nothing(spark, tables):
     strict = TableSpec("users", (*USERS.columns, Column("email", "string", False)), ("id",))
     with pytest.raises(EvolutionError):
         bundle.load_database(spark, out, target, [strict])
-    assert not bundle._exists(spark, f"{target}/public.users")
+    assert not bundle._exists(spark, f"{target}/public.users", USERS)
 
 
 def test_script_round_trip_with_awkward_values(spark):
