@@ -8,8 +8,8 @@ from keelson.catalog.logs import _FOLD
 from keelson.catalog.registry import query
 from keelson.plans.durable import fresh_path
 from keelson.streaming import rows as op
-from keelson.streaming.ledger import ledger_state_stream
-from keelson.streaming.run import read_stream, run_available
+from keelson.streaming.ledger import ledger_state_stream, stream_moves
+from keelson.streaming.run import drain, read_stream, run_available
 
 # the last watermark: the latest event time in whole milliseconds
 _CLOCK = "(SELECT date_trunc('milliseconds', max(ts)) FROM events)"
@@ -33,7 +33,10 @@ def _(t):
         F.concat(F.lit("db"), F.expr("user_id % 10")).alias("database"),
         F.col("user_id").alias("job"), "ts", "event_id", action.alias("action"),
     )
-    return run_available(ledger_state_stream(attempts), "ledger-stream").drop("us")
+    root = fresh_path(t.spark, "ledger-stream")
+    drain(ledger_state_stream(attempts, root), "ledger-stream", t.spark)
+    moves = stream_moves(t.spark, root).withColumnRenamed("event_id", "id")
+    return moves.select("database", "job", "id", "action", "state_before", "state_after", "accepted")
 
 
 @query("expire_rows_stream", f"SELECT * FROM events WHERE ts + INTERVAL 7 DAY > {_CLOCK}")
@@ -65,13 +68,7 @@ def _(t):
     changed = F.when(F.expr("dayofmonth(ts) % 4 = 0"), F.col("user_id") + 1).otherwise(F.col("user_id"))
     for run, stream in [("a", events), ("b", events), ("c", events.withColumn("user_id", changed))]:
         apply = op.apply_batches_once("day", ["event_id", "user_id", "event_type"], root, run)
-        query_ = (
-            stream.writeStream.foreachBatch(apply)
-            .option("checkpointLocation", fresh_path(t.spark, "batches-progress"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query_.awaitTermination()
+        drain(stream.writeStream.foreachBatch(apply), "batches", t.spark)
     applied = t.spark.read.parquet(f"{root}/rows").groupBy("day").agg(
         F.count("*").alias("n_rows"), F.sum("user_id").alias("users")
     )

@@ -78,11 +78,15 @@ def _chunk_effects(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     )
 
 
-def _entry_states(effects: DataFrame, keys: list[str]) -> DataFrame:
+def _entry_states(effects: DataFrame, keys: list[str], entry: DataFrame | None) -> DataFrame:
     """Per (key, chunk): the state before its first row. Folds one small row per chunk."""
-    chunks = F.array_sort(F.collect_list(F.struct("__chunk", *_LIVE)))
+    chunks = effects.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__chunk", *_LIVE))).alias("chunks"))
+    if entry is None:
+        chunks = chunks.withColumn("state", F.lit("absent"))
+    else:
+        chunks = chunks.join(entry, keys, "left").withColumn("state", F.coalesce("state", F.lit("absent")))
     start = F.struct(
-        F.lit("absent").alias("state"),
+        F.col("state").alias("state"),
         F.array().cast("array<struct<chunk:bigint,state:string>>").alias("seen"),
     )
 
@@ -91,12 +95,12 @@ def _entry_states(effects: DataFrame, keys: list[str]) -> DataFrame:
         after = F.when(state == _LIVE[0], c[_LIVE[0]])
         for s in _LIVE[1:]:
             after = after.when(state == s, c[s])
-        entry = F.struct(c["__chunk"].alias("chunk"), state.alias("state"))
+        passed = F.struct(c["__chunk"].alias("chunk"), state.alias("state"))
         return F.struct(
-            after.otherwise(state).alias("state"), F.concat(acc["seen"], F.array(entry)).alias("seen")
+            after.otherwise(state).alias("state"), F.concat(acc["seen"], F.array(passed)).alias("seen")
         )
 
-    folded = effects.groupBy(*keys).agg(F.aggregate(chunks, start, step)["seen"].alias("seen"))
+    folded = chunks.select(*keys, F.aggregate("chunks", start, step)["seen"].alias("seen"))
     return folded.select(*keys, F.inline("seen")).withColumnRenamed("chunk", "__chunk")
 
 
@@ -105,9 +109,12 @@ def ledger_transitions(
     keys: list[str] = KEYS,
     order: list[str] = ("ts", "event_id"),
     chunk: Column | None = None,
+    entry: DataFrame | None = None,
 ) -> DataFrame:
     """Every attempted transition with ``state_before``, ``state_after`` and ``accepted``.
 
+    ``entry`` gives the state ``(keys…, state)`` of jobs that are already known.
+
     A job's rows are cut into chunks so that a hot job is spread over tasks. Each chunk is
     walked once per possible entry state, which gives a small table of effects; folding
     those per job gives the entry state of every chunk, and that enters the second walk as
@@ -119,17 +126,24 @@ def ledger_transitions(
     after = _next_state(F.col("action"), F.col("state_before"))
     outcome = {"accepted": after.isNotNull(), "state_after": F.coalesce(after, F.col("state_before"))}
     ordering = [F.col(o) for o in order]
-    if chunk is None:
+    if chunk is None and entry is None:
         return _walk(events, keys, ordering, F.lit(None).cast("string")).withColumns(outcome)
 
-    rows = events.withColumn("__chunk", chunk)
-    seeds = _entry_states(_chunk_effects(rows, keys, order), keys).filter("state <> 'absent'")
-    seeds = seeds.select(*keys, "__chunk", F.lit(0).alias("__seed"), F.col("state").alias("__entry"))
+    rows = events
+    if chunk is None:
+        window_keys = keys
+        seeds = entry.join(events.select(*keys).distinct(), keys, "left_semi")
+    else:
+        window_keys, rows = [*keys, "__chunk"], events.withColumn("__chunk", chunk)
+        seeds = _entry_states(_chunk_effects(rows, keys, order), keys, entry)
+    seeds = seeds.filter("state <> 'absent'").select(
+        *window_keys, F.lit(0).alias("__seed"), F.col("state").alias("__entry")
+    )
     both = rows.withColumn("__seed", F.lit(1)).unionByName(seeds, allowMissingColumns=True)
-    window_keys, seed_first = [*keys, "__chunk"], [F.col("__seed"), *ordering]
+    seed_first = [F.col("__seed"), *ordering]
     before = Window.partitionBy(*window_keys).orderBy(*seed_first).rowsBetween(Window.unboundedPreceding, -1)
-    entry = F.first("__entry", ignorenulls=True).over(before)
-    walked = _walk(both.withColumn("__from", entry), window_keys, seed_first, F.col("__from"))
+    known = F.first("__entry", ignorenulls=True).over(before)
+    walked = _walk(both.withColumn("__from", known), window_keys, seed_first, F.col("__from"))
     return walked.withColumns(outcome).filter("__seed = 1").drop("__chunk", "__seed", "__entry", "__from")
 
 

@@ -1,96 +1,71 @@
-"""The guarded ledger over a stream of attempted transitions."""
+"""The guarded ledger over a stream of attempted transitions.
 
-from __future__ import annotations
+Folder layout under ``root``, one ``step=<epoch>`` per micro-batch: ``released`` (rows the
+watermark has passed), ``moves`` (their transitions and rejects), ``status`` (the state of
+the jobs that moved).
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from keelson.functions.times import with_event_time
-from keelson.operators.ledger import TRANSITIONS
-from keelson.streaming.run import use_rocksdb
-
-_BUFFER = "us bigint, id bigint, action string"
-
-
-class _Guard(StatefulProcessor):
-    """Buffers a job's rows until the watermark passes them, then applies them in order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.status = handle.getValueState("status", "status string")
-        self.waiting = handle.getListState("waiting", _BUFFER)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            if pdf.empty:
-                continue
-            cells = list(zip(pdf["us"].astype(int), pdf["id"].astype(int), pdf["action"]))
-            self.waiting.appendList([(int(u), int(i), a) for u, i, a in cells])
-            low = int(pdf["us"].min())
-            first = low if first is None else min(first, low)
-        if first is not None:
-            # the first whole millisecond at which the row is behind the watermark
-            self.handle.registerTimer(-(-first // 1000))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get())
-        ready = [r for r in waiting if r[0] <= watermark]
-        rest = [r for r in waiting if r[0] > watermark]
-        self.waiting.clear()
-        if rest:
-            self.waiting.appendList([tuple(r) for r in rest])
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
-        state = self.status.get()[0] if self.status.exists() else "absent"
-        out = []
-        for us, id_, action in ready:
-            after = TRANSITIONS.get((action, state))
-            out.append((*key, us, id_, action, state, after or state, after is not None))
-            state = after or state
-        if out:
-            self.status.update((state,))
-        yield pd.DataFrame(out)
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-    def close(self) -> None:
-        pass
+from keelson.operators.ledger import KEYS, ledger_transitions
+from keelson.streaming.rows import released
 
 
 def ledger_state_stream(
     stream: DataFrame,
-    keys: list[str] = ("database", "job"),
+    root: str,
+    keys: list[str] = KEYS,
     ts: str = "ts",
     id: str = "event_id",
     delay: str = "0 seconds",
-) -> DataFrame:
-    """Transitions and rejects as they become final: ``keys, us, id, action, state_before,
-    state_after, accepted`` (``us`` is the event time in microseconds).
+) -> DataStreamWriter:
+    """A writer that folds the stream into ``root``; set trigger and checkpoint, then start.
 
-    A row is applied once the watermark (latest time minus ``delay``) has passed it, in
-    event-time order within its job; rows later than the watermark are dropped. State per
-    job is its status and the rows inside the delay; a task holds one micro-batch of a job,
-    whose size the source limits.
+    A row is applied once the watermark has passed it, so rows reach the fold in event-time
+    order however they arrive; rows later than ``delay`` are dropped. Each micro-batch is
+    folded by the batch operator, starting from the states so far, which spreads a hot job
+    over tasks. A repeated epoch overwrites its own output.
     """
-    use_rocksdb(stream.sparkSession)
     keys = list(keys)
-    fields = [T.StructField(k, stream.schema[k].dataType) for k in keys]
-    fields += [
-        T.StructField("us", T.LongType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("action", T.StringType()),
-        T.StructField("state_before", T.StringType()),
-        T.StructField("state_after", T.StringType()),
-        T.StructField("accepted", T.BooleanType()),
-    ]
-    rows = with_event_time(stream, ts, "at", delay).select(
-        *keys, "at", F.unix_micros("at").alias("us"), F.col(id).cast("bigint").alias("id"), "action"
-    )
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        _Guard(), outputStructType=T.StructType(fields), outputMode="append", timeMode="eventTime"
-    )
+    states = T.StructType([stream.schema[k] for k in keys] + [T.StructField("state", T.StringType())])
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        spark, step = batch.sparkSession, f"step={epoch}"
+        # written first: the stateful part of the query runs once per epoch
+        batch.write.mode("overwrite").parquet(f"{root}/released/{step}")
+        rows = spark.read.schema(batch.schema).parquet(f"{root}/released/{step}")
+        known = _status(spark, root, states, keys, before=epoch)
+        moves = ledger_transitions(rows, keys, [ts, id], entry=known)
+        moves.write.mode("overwrite").parquet(f"{root}/moves/{step}")
+        moved = spark.read.schema(moves.schema).parquet(f"{root}/moves/{step}")
+        last = moved.filter("accepted").groupBy(*keys).agg(F.max_by("state_after", F.struct(ts, id)).alias("state"))
+        last.write.mode("overwrite").parquet(f"{root}/status/{step}")
+
+    return released(stream, ts, delay).writeStream.outputMode("append").foreachBatch(fold)
+
+
+def _status(spark: SparkSession, root: str, states: T.StructType, keys: list[str], before: int | None) -> DataFrame:
+    try:
+        steps = spark.read.schema(T.StructType([*states, T.StructField("step", T.LongType())])).parquet(f"{root}/status")
+    except AnalysisException:
+        return spark.createDataFrame([], states)
+    if before is not None:
+        steps = steps.filter(F.col("step") < before)
+    return steps.groupBy(*keys).agg(F.max_by("state", "step").alias("state"))
+
+
+def stream_moves(spark: SparkSession, root: str) -> DataFrame:
+    """Every transition and reject so far."""
+    return spark.read.parquet(f"{root}/moves").drop("step")
+
+
+def stream_states(spark: SparkSession, root: str, keys: list[str] = KEYS) -> DataFrame:
+    """The current state per job."""
+    shape = spark.read.parquet(f"{root}/status").drop("step").schema
+    return _status(spark, root, shape, list(keys), None)

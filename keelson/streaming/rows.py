@@ -13,17 +13,26 @@ from keelson.operators.diff import table_fingerprint
 from keelson.operators.ledger import checksum_mismatch, pending_items
 
 
+def released(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Each row once the watermark (latest event time minus ``delay``) has passed its time.
+
+    The native aggregation state is the buffer: it is spread by whole row, so no key can
+    grow hot, and it holds the rows of the last ``delay`` only. Equal rows are counted and
+    come out as often as they went in.
+    """
+    columns = stream.columns
+    timed = with_event_time(stream, ts, "__at", delay)
+    held = timed.groupBy("__at", *columns).agg(F.count("*").alias("__n"))
+    return held.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "__n")).alias("__i")).drop("__i")
+
+
 def expire_rows_stream(stream: DataFrame, ts: str, after: str) -> DataFrame:
     """The rows whose time to live ran out, each emitted when the watermark passes its expiry.
 
     The clock is the latest event time seen. A row that arrives after its expiry is dropped, or
     emitted at once if it was not late for the batch before.
-    State is spread by whole row, so no key can grow hot; it holds the rows still alive.
     """
-    columns = stream.columns
-    timed = with_event_time(stream, ts, "__at", after)
-    held = timed.groupBy("__at", *columns).agg(F.count("*").alias("__n"))
-    return held.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "__n")).alias("__i")).drop("__i")
+    return released(stream, ts, after)
 
 
 def dedupe_stream(stream: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:

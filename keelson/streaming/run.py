@@ -3,17 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from keelson.plans.durable import fresh_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """State in RocksDB: needed for timers, and keeps large state off the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def read_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int | None = None) -> DataFrame:
     """A file stream over the parquet files in ``folder`` whose name matches ``pattern``."""
     schema = spark.read.parquet(f"{folder}/{pattern}").schema
@@ -23,6 +16,16 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigge
     return reader.parquet(folder)
 
 
+def drain(writer: DataStreamWriter, label: str, spark: SparkSession, checkpoint: str | None = None) -> None:
+    """Run a ``foreachBatch`` writer over everything that is there."""
+    query = (
+        writer.option("checkpointLocation", checkpoint or fresh_path(spark, f"{label}-progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def run_available(stream: DataFrame, label: str, output_mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Process everything that is there and return what was written, as a batch table."""
     spark = stream.sparkSession

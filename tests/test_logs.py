@@ -48,6 +48,19 @@ def test_guarded_fold(spark, width):
     assert rejects.count() == sum(1 for m in moves.values() if not m[2])
 
 
+@pytest.mark.parametrize("width", [None, 30])
+def test_fold_in_two_halves(spark, width):
+    rows = attempts(4)
+    df = spark.createDataFrame(rows, "database int, job int, ts int, event_id int, action string, text string")
+    first, second = df.filter("ts < 200"), df.filter("ts >= 200")
+    chunk = F.floor(F.col("ts") / width) if width else None
+    entry = ledger.ledger_state(first).select("database", "job", F.col("status").alias("state"))
+    got = ledger.ledger_transitions(second, chunk=chunk, entry=entry).collect()
+    moves = fold(rows)[1]
+    assert len(got) == second.count()
+    assert all((r.state_before, r.state_after, r.accepted) == moves[r.event_id] for r in got)
+
+
 @pytest.fixture
 def jobs(spark):
     rows = [("d", "a", "1", "sync", [], False), ("d", "b", "2", "sync", ["a"], False), ("d", "c", "3", "async", ["x"], True)]

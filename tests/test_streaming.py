@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from keelson.operators import ledger
 from keelson.plans.durable import fresh_path
 from keelson.streaming import rows as op
-from keelson.streaming.ledger import ledger_state_stream
-from keelson.streaming.run import read_stream, run_available
+from keelson.streaming.ledger import ledger_state_stream, stream_moves, stream_states
+from keelson.streaming.run import drain, read_stream, run_available
 
 BASE = "timestamp_ntz'2024-01-01 00:00:00'"
 
@@ -33,15 +33,21 @@ def folder(spark):
 
 def test_ledger_stream_equals_batch_fold(spark, folder):
     stream = read_stream(spark, folder, "*.parquet", files_per_trigger=1)
-    got = run_available(ledger_state_stream(stream, delay="40 seconds"), "led").collect()
+    root = fresh_path(spark, "led")
+    drain(ledger_state_stream(stream, root, delay="40 seconds"), "led", spark)
+    got = stream_moves(spark, root).collect()
     batch = spark.read.parquet(folder)
     clock = batch.agg(F.max("sec")).first()[0] - 40
     on_time = batch.filter((F.col("sec") <= clock) & (F.col("event_id") != 85))
     want = ledger.ledger_transitions(on_time).collect()
-    assert {r.id: (r.state_before, r.state_after, r.accepted) for r in got} == {
+    assert {r.event_id: (r.state_before, r.state_after, r.accepted) for r in got} == {
         r.event_id: (r.state_before, r.state_after, r.accepted) for r in want
     }
     assert len(got) == len(want) > 50
+    states = ledger.ledger_state(on_time).collect()
+    assert {r.job: r.state for r in stream_states(spark, root).collect()} == {r.job: r.status for r in states}
+    # every epoch after the first started from states, and more than one epoch moved jobs
+    assert spark.read.parquet(f"{root}/status").select("step").distinct().count() > 1
 
 
 def test_expiry_stream(spark, folder):
