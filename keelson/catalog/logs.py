@@ -233,7 +233,7 @@ def _(t):
 
 
 def _hashed(source: str) -> str:
-    h = _row_text("n", "role", "text")
+    h = _row_text("turn", "role", "text")
     return f"""
       SELECT conv_id, turn, sha256(n || ':' || sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) OVER w || ':'
              || sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) OVER w) AS prefix_hash

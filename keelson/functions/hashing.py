@@ -24,7 +24,7 @@ def row_hash(cols: list[Column]) -> Column:
 def hash_number(hex_hash: Column, start: int = 1) -> Column:
     """60 bits of a hex hash as a decimal wide enough to sum over 10**19 rows."""
     digits = F.substring(hex_hash, start, 15)
-    return F.conv(digits, 16, 10).cast("decimal(20,0)")
+    return F.conv(digits, 16, 10).cast("bigint").cast("decimal(20,0)")
 
 
 def compare_hash(names: list[str]) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.plans.durable import cut
+from keelson.plans.joins import match
 from keelson.plans.ordered import Running, number_rows, plan_chunks, with_running
 
 
@@ -42,9 +43,8 @@ def dedupe_names(
     kids = (
         bases.filter(F.rlike("__base", F.lit(_SUFFIXED)))
         .select(*group, F.col("__base").alias("child"), parent.alias("parent"), number.cast("bigint").alias("i"))
-        .join(bases.withColumnRenamed("__base", "parent"), [*group, "parent"], "left_semi")
     )
-    kids = cut(kids)
+    kids = cut(match(kids, bases.withColumnRenamed("__base", "parent"), [*group, "parent"], "left_semi"))
     if kids.isEmpty():
         unique = F.when(F.col("__rn") == 1, F.col("__base")).otherwise(F.concat_ws("_", "__base", "__rn"))
         return rows.withColumn(out, unique).drop("__base", "__rn")
@@ -62,10 +62,10 @@ def _settle(rows: DataFrame, kids: DataFrame, group: list[str], order: list[str]
     """
     times = rows.select(*group, "__base", "__rn", F.struct(*order).alias("at"))
     firsts = times.filter("__rn = 1").select(*group, F.col("__base").alias("child"), F.col("at").alias("first_at"))
-    state = cut(kids.join(firsts, [*group, "child"]).withColumn("taken", F.lit(False)))
+    state = cut(match(kids, firsts, [*group, "child"]).withColumn("taken", F.lit(False)))
     parents = kids.select(*group, F.col("parent").alias("__base")).distinct()
     slots = cut(
-        times.join(parents, [*group, "__base"], "left_semi").select(
+        match(times, parents, [*group, "__base"], "left_semi").select(
             *group, F.col("__base").alias("parent"), F.col("__rn").alias("slot"), "at"
         )
     )
@@ -78,12 +78,12 @@ def _settle(rows: DataFrame, kids: DataFrame, group: list[str], order: list[str]
             {"skips": Running("sum", (~F.col("taken")).cast("bigint"), inclusive=False)},
             F.floor(F.col("i") / 1_000_000),
         )
-        placed = skipped.join(shift, [*group, "parent"], "left").withColumn(
+        placed = match(skipped, shift, [*group, "parent"], "left").withColumn(
             "slot", F.col("i") - F.col("skips") - F.coalesce("shift", F.lit(0))
         )
         now = F.coalesce(F.col("at") < F.col("first_at"), F.lit(False))
         state = cut(
-            placed.join(slots, [*group, "parent", "slot"], "left").select(
+            match(placed, slots, [*group, "parent", "slot"], "left").select(
                 *group, "parent", "child", "i", "first_at", "skips", F.col("taken").alias("was"), now.alias("taken")
             )
         )
@@ -93,7 +93,7 @@ def _settle(rows: DataFrame, kids: DataFrame, group: list[str], order: list[str]
 
 def _with_skips(rows: DataFrame, solved: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
     shift = solved.filter("taken").select(*group, F.col("child").alias("__base"), F.lit(1).alias("__shift"))
-    uses = rows.join(shift, [*group, "__base"], "left").withColumn(
+    uses = match(rows, shift, [*group, "__base"], "left").withColumn(
         "__e", F.col("__rn") + F.coalesce("__shift", F.lit(0))
     )
     skips = solved.filter("NOT taken").select(

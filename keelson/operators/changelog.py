@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.hashing import hash_number, row_hash
+from keelson.plans.joins import match
 from keelson.plans.ordered import Running, plan_chunks, with_running
 
 
@@ -63,19 +64,22 @@ def prefix_hash(
 ) -> DataFrame:
     """Add the hash of everything up to and including each row of its part.
 
-    Running sums of hashes of (position, row) identify the ordered prefix, cost the same
-    for every row, and carry over chunk borders, so a part may be of any size.
+    Running sums of hashes of (order columns, row) identify the ordered prefix: moving a
+    text to another place changes it. They cost the same for every row and carry over
+    chunk borders, so a part may be of any size.
     """
     if chunk is None:
         chunk = plan_chunks(log, order[0])
-    placed = with_running(log, part, order, {"__n": Running("sum", F.lit(1).cast("bigint"))}, chunk)
-    h = row_hash([F.col("__n"), *[F.col(c) for c in cols]])
-    placed = placed.withColumn("__h", h)
+    hashed = log.withColumn("__h", row_hash([F.col(c) for c in (*order, *cols)]))
     summed = with_running(
-        placed,
+        hashed,
         part,
         order,
-        {"__a": Running("sum", hash_number(F.col("__h"), 1)), "__b": Running("sum", hash_number(F.col("__h"), 16))},
+        {
+            "__n": Running("sum", F.lit(1).cast("bigint")),
+            "__a": Running("sum", hash_number(F.col("__h"), 1)),
+            "__b": Running("sum", hash_number(F.col("__h"), 16)),
+        },
         chunk,
     )
     whole = F.concat_ws(":", "__n", "__a", "__b")
@@ -93,5 +97,5 @@ def latest_valid_checkpoint(
     """
     intact = checkpoints.filter(F.sha2("content", 256) == F.col("content_hash"))
     on = [*part, *order, "prefix_hash"]
-    valid = intact.join(hashed_log.select(*on), on, "left_semi")
+    valid = match(intact, hashed_log.select(*on), on, "left_semi")
     return _latest(valid, part, order)

@@ -7,20 +7,15 @@ the keys that turned out to differ.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.hashing import compare_hash, hash_number, row_hash
+from keelson.plans.joins import match
 
 KINDS = ("added", "removed", "modified")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-
-
 def table_diff(left: DataFrame, right: DataFrame, key: list[str], compare: list[str] | None = None) -> DataFrame:
     """Rows ``(key…, kind, changed)`` that turn ``left`` into ``right``.
 
@@ -58,18 +53,15 @@ def table_diff(left: DataFrame, right: DataFrame, key: list[str], compare: list[
         return whole
 
     suspects = kinds.filter("kind = 'modified'").select(*key)
-    old = left.select(*key, *cols).join(suspects, _same(left, suspects, key), "left_semi")
-    new = right.select(*key, *cols).join(suspects, _same(right, suspects, key), "left_semi")
-    old = old.select(*key, F.struct(*cols).alias("__old"))
-    new = new.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.struct(*cols).alias("__new"))
-    pair = reduce(lambda x, y: x & y, [old[k].eqNullSafe(new[f"__k{i}"]) for i, k in enumerate(key)])
+    old = match(left.select(*key, F.struct(*cols).alias("__old")), suspects, key, "left_semi")
+    new = match(right.select(*key, F.struct(*cols).alias("__new")), suspects, key, "left_semi")
     names = F.array_compact(
         F.array(
             *[F.when(~F.col(f"__old.{c}").eqNullSafe(F.col(f"__new.{c}")), F.lit(c)) for c in cols]
         )
     )
     modified = (
-        old.join(new, pair)
+        match(old, new, key)
         .select(*key, F.lit("modified").alias("kind"), names.alias("changed"))
         .filter(F.size("changed") > 0)
     )
@@ -80,8 +72,8 @@ def apply_diff(left: DataFrame, right: DataFrame, diff: DataFrame, key: list[str
     """``left`` with the rows named by ``diff`` removed or taken from ``right``."""
     gone = diff.filter("kind <> 'added'").select(*key)
     fresh = diff.filter("kind <> 'removed'").select(*key)
-    kept = left.join(gone, _same(left, gone, key), "left_anti")
-    return kept.unionByName(right.join(fresh, _same(right, fresh, key), "left_semi"))
+    kept = match(left, gone, key, "left_anti")
+    return kept.unionByName(match(right, fresh, key, "left_semi"))
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:

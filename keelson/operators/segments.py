@@ -7,11 +7,10 @@ lone ``C`` opens and another ``C`` ends counts as inside.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.plans.joins import match
 from keelson.plans.ordered import Running, plan_chunks, with_running
 
 # Fixed value: rows per piece of an inside section.
@@ -35,33 +34,34 @@ def _numbered(log: DataFrame, part: list[str], order: list[str], marker: Column,
 
 
 def _sections(numbered: DataFrame, part: list[str]) -> DataFrame:
-    """One row per marker count: its opening marker, its kind and its rows.
+    """One row per non-empty section: its kind, its rows and its first row.
 
     Between two counted markers lies a section, possibly empty. A non-empty one behind a
     ``C`` was opened by a lone ``C``, and a ``B`` that ends it is a lone ``B``, so the two
-    neighbouring markers decide the kind; the next one is found by an equi join.
+    neighbouring markers decide the kind. A marker counts as the opener of its own section
+    and as the closer of the one before, in one aggregate without a join.
     """
-    sections = numbered.groupBy(*part, "section").agg(
-        F.max("__marker").alias("opener"),
-        F.count(F.when(F.col("__marker").isNull(), 1)).alias("n_rows"),
-        F.min(F.when(F.col("__marker").isNull(), F.col("__row"))).alias("first_row"),
-    )
-    following = sections.select(
-        *[F.col(p).alias(f"__n{i}") for i, p in enumerate(part)],
-        (F.col("section") - 1).alias("__nsec"),
-        F.col("opener").alias("closer"),
-    )
-    pair = reduce(
-        lambda a, b: a & b,
-        [sections[p] == following[f"__n{i}"] for i, p in enumerate(part)],
-        sections["section"] == following["__nsec"],
+    marker, section, row = F.col("__marker"), F.col("section"), F.col("__row")
+
+    def seen(at: Column, opened: Column, closed: Column, position: Column) -> Column:
+        return F.struct(at.alias("section"), opened.alias("opened"), closed.alias("closed"), position.alias("row"))
+
+    is_c, no, no_row = marker == "C", F.lit(False), F.lit(None).cast("bigint")
+    parts = F.when(marker.isNull(), F.array(seen(section, no, no, row))).otherwise(
+        F.array(seen(section, is_c, no, no_row), seen(section - 1, no, is_c, no_row))
     )
-    outside = F.coalesce((F.col("opener") == "C") & (F.coalesce("closer", F.lit("B")) == "B"), F.lit(False))
-    return (
-        sections.filter("n_rows > 0")
-        .join(following, pair, "left")
-        .select(*part, "section", "n_rows", "first_row", F.when(outside, "outside").otherwise("inside").alias("kind"))
+    grouped = (
+        numbered.select(*part, F.inline(parts))
+        .groupBy(*part, "section")
+        .agg(
+            F.bool_or("opened").alias("opened"),
+            F.bool_or("closed").alias("closed"),
+            F.count("row").alias("n_rows"),
+            F.min("row").alias("first_row"),
+        )
     )
+    kind = F.when(F.expr("opened AND NOT closed"), "outside").otherwise("inside")
+    return grouped.filter("n_rows > 0").select(*part, "section", "n_rows", "first_row", kind.alias("kind"))
 
 
 def log_sections(
@@ -90,7 +90,7 @@ def segment_log(
         F.lit(0).cast("bigint")
     )
     rows = numbered.filter("__marker IS NULL").drop("__marker")
-    return rows.join(sections, [*part, "section"]).select(*log.columns, "section", "kind", piece.alias("piece"))
+    return match(rows, sections, [*part, "section"]).select(*log.columns, "section", "kind", piece.alias("piece"))
 
 
 def coalesce_segments(sections: DataFrame, part: list[str], sections_per_chunk: int = 1_000_000) -> DataFrame:

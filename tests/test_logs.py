@@ -177,7 +177,8 @@ def test_segment_cases(spark):
 @pytest.mark.parametrize("width", [None, 7])
 def test_segments_match_the_sequential_rule(spark, width):
     rng = random.Random(5)
-    logs = {p: [rng.choice(["C", "B", f"s{i}", f"s{i}"]) for i in range(rng.randint(1, 40))] for p in range(60)}
+    parts = [None, *range(60)]
+    logs = {p: [rng.choice(["C", "B", f"s{i}", f"s{i}"]) for i in range(rng.randint(1, 40))] for p in parts}
     got, joined = segmented(spark, logs, 3, width)
     assert got == {p: w for p, x in logs.items() if (w := chunk_rule(x, 3))}
     # replaying the minimal markers gives the same sections

@@ -109,7 +109,7 @@ def test_unique_names_match_a_sequential_scan(spark, seed):
     rng = random.Random(seed)
     pool = ["a", "a_2", "a_3", "a_2_2", "a_4", "a_2_3", "b", "9x", "_9x_2", "a_02", "", "_2", "a_1"]
     rows, want = [], {}
-    for g in range(6):
+    for g in [0, 1, 2, 3, 4, None]:
         names = [rng.choice(pool[: rng.randint(1, len(pool))]) for _ in range(25)]
         for i, (name, unique) in enumerate(zip(names, sequential_names(names))):
             rows.append((g, i, name))
