@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def micros(df: DataFrame, ts: str) -> Column:
+def micros(c: Column, dtype: T.DataType) -> Column:
     """Microseconds since the epoch; a time without zone is read as UTC."""
-    if isinstance(df.schema[ts].dataType, T.TimestampType):
-        return F.unix_micros(F.col(ts))
-    c = F.col(ts)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
     seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
     return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
 def with_event_time(df: DataFrame, ts: str, name: str, delay: str) -> DataFrame:
     """Add a watermarked TIMESTAMP column, which streams need for their clock."""
-    return df.withColumn(name, F.timestamp_micros(micros(df, ts))).withWatermark(name, delay)
+    return df.withColumn(name, F.timestamp_micros(micros(F.col(ts), df.schema[ts].dataType))).withWatermark(name, delay)

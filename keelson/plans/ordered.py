@@ -9,15 +9,22 @@ detail rows are shuffled once, by (key, chunk), and need no join.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.functions.times import micros
+
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 100_000
+SAMPLE_PER_CHUNK = 200
 _STRING_BYTES = 7
+# above every chunk number of a single column
+_NEXT = 2**20
 
 
 @dataclass(frozen=True)
@@ -32,8 +39,7 @@ class Running:
 def _rank(col: Column, dtype: T.DataType, skip: int = 0) -> Column:
     """An order-preserving number for a value of an orderable type."""
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        days = F.unix_date(col.cast("date")).cast("bigint")
-        return days * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+        return micros(col, dtype)
     if isinstance(dtype, T.DateType):
         return F.unix_date(col).cast("bigint")
     if isinstance(dtype, T.BooleanType):
@@ -52,13 +58,18 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
+def _constants(values: list[float]) -> Column:
+    """An array literal. Folded from one text, since a call per element adds up to minutes."""
+    return F.from_json(F.lit(json.dumps(values)), "array<double>")
+
+
 def _number_of_bounds_up_to(value: Column, bounds: list[float]) -> Column:
     """How many of the ascending ``bounds`` are <= ``value``, by halving steps."""
     steps, size = [], 1
     while size <= len(bounds):
         steps.insert(0, size)
         size *= 2
-    table = F.lit(bounds)
+    table = _constants(bounds)
 
     def advance(pos: Column, step: Column) -> Column:
         ahead = pos + step
@@ -68,24 +79,57 @@ def _number_of_bounds_up_to(value: Column, bounds: list[float]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), advance)
 
 
-def plan_chunks(df: DataFrame, column: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Column | None:
-    """Chunk expression for ``column`` with about equal rows per chunk, or None for one chunk.
+def _is_exact(dtype: T.DataType, low, high) -> bool:
+    """Whether different values always have different ranks as a double."""
+    if isinstance(dtype, T.LongType):
+        return max(abs(low), abs(high)) < 2**53
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return 1700 < low.year and high.year < 2200
+    small = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType, T.BooleanType)
+    return isinstance(dtype, (*small, T.DateType))
 
-    Reads that single column: once for count, minimum and maximum, and for more than one
-    chunk a second time for approximate quantiles. The bounds are part of the expression,
-    so every use of it cuts the same way. Equal values always share a chunk.
+
+def plan_chunks(df: DataFrame, order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> Column | None:
+    """Chunk expression with about equal rows per chunk, or None when one chunk is enough.
+
+    Reads the first order column: once for count, minimum and maximum, and for more than
+    one chunk a second time for approximate quantiles of a sample. Values of it that alone fill more
+    than a chunk are cut further by the second order column. The bounds are part of the
+    expression, so every use of it cuts the same way.
     """
-    dtype = df.schema[column].dataType
-    c = F.col(column)
+    order = list(order)
+    dtype = df.schema[order[0]].dataType
+    c = F.col(order[0])
     n, low, high = df.agg(F.count(F.lit(1)), F.min(c), F.max(c)).first()
-    if n <= rows_per_chunk or low is None or low == high:
+    if n <= rows_per_chunk:
         return None
+    if low is None or low == high:
+        nulls_apart = low is not None and not df.filter(c.isNull()).isEmpty()
+        rest = plan_chunks(df, order[1:2], rows_per_chunk) if len(order) > 1 else None
+        if rest is not None and nulls_apart:
+            return F.when(c.isNotNull(), rest + _NEXT).otherwise(rest)
+        return rest
     skip = _common_prefix(low, high) if isinstance(dtype, T.StringType) else 0
     rank = F.nanvl(_rank(c, dtype, skip).cast("double"), F.lit(float("inf")))
     chunks = min(-(-n // rows_per_chunk), MAX_CHUNKS)
     cuts = [i / chunks for i in range(1, chunks)]
-    (bounds,) = df.agg(F.percentile_approx(rank, cuts, max(10_000, 10 * chunks))).first()
-    return _number_of_bounds_up_to(rank, sorted(set(bounds))).cast("bigint")
+    # the sample only places the borders; every row is in some chunk wherever they lie
+    fraction = min(1.0, max(SAMPLE_PER_CHUNK * chunks, 100_000) / n)
+    picked = df.sample(fraction, seed=7) if fraction < 1 else df
+    (bounds,) = picked.agg(F.percentile_approx(rank, _constants(cuts), max(10_000, 4 * chunks))).first()
+    if bounds is None:
+        return None
+    distinct = sorted(set(bounds))
+    position = _number_of_bounds_up_to(rank, distinct).cast("bigint")
+    heavy = [b for b, again in Counter(bounds).items() if again > 1]
+    if not heavy or len(order) == 1 or not _is_exact(dtype, low, high):
+        return position
+    tied = F.coalesce(F.array_contains(_constants(heavy), rank), F.lit(False))
+    rest = plan_chunks(df.filter(tied), order[1:2], rows_per_chunk)
+    if rest is None:
+        return position
+    # rows equal to a bound come before the other rows that follow it
+    return F.when(tied, position * 2 * _NEXT + rest).otherwise((position * 2 + 1) * _NEXT)
 
 
 def with_running(

@@ -37,7 +37,7 @@ def high_water_marks(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def assign_ids(df: DataFrame, start: int | None, order: list[str], name: str, chunk: Column | None = None) -> DataFrame:
     """Continue numbering after ``start`` (None: from 1) in the given order."""
     if chunk is None:
-        chunk = plan_chunks(df, order[0])
+        chunk = plan_chunks(df, order)
     numbered = number_rows(df, order, name, [], chunk)
     return numbered.withColumn(name, F.col(name) + F.lit(start or 0))
 

@@ -115,6 +115,8 @@ def type_change_needs_rewrite(old: T.DataType, new: T.DataType) -> bool:
     Widening inside one family is free. A decimal must keep both its scale and its integer
     digits; an unbounded string narrowed to a bounded one counts as a rewrite.
     """
+    if old == new:
+        return False
     ints = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     floats = (T.FloatType, T.DoubleType)
     for family in (ints, floats):
@@ -128,4 +130,4 @@ def type_change_needs_rewrite(old: T.DataType, new: T.DataType) -> bool:
         return old_len is None or new_len < old_len
     if isinstance(old, T.DecimalType) and isinstance(new, T.DecimalType):
         return new.scale < old.scale or new.precision - new.scale < old.precision - old.scale
-    return old != new or isinstance(new, (T.ArrayType, T.MapType, T.StructType))
+    return True

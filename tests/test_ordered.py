@@ -63,8 +63,8 @@ def test_planned_chunks_keep_the_order_of_every_type(spark):
     )
     assert base.year == 2024
     for c in ["id", "d", "s", "t", "day", "m"]:
-        assert plan_chunks(df, c, 5000) is None
-        chunk = plan_chunks(df, c, 100)
+        assert plan_chunks(df, [c], 5000) is None
+        chunk = plan_chunks(df, [c], 100)
         rows = df.select(c, chunk.alias("chunk")).orderBy(c).collect()
         chunks = [r.chunk for r in rows]
         assert chunks == sorted(chunks)
@@ -75,8 +75,25 @@ def test_planned_chunks_keep_the_order_of_every_type(spark):
 
 def test_planned_chunks_of_one_value_or_no_rows(spark):
     same = spark.range(500).selectExpr("7 AS x", "id")
-    assert plan_chunks(same, "x", 10) is None
-    assert plan_chunks(same.filter("id < 0"), "x", 10) is None
+    assert plan_chunks(same, ["x"], 10) is None
+    assert plan_chunks(same.filter("id < 0"), ["x"], 10) is None
+
+
+@pytest.mark.parametrize("first", [
+    "CASE WHEN id % 3 = 0 THEN 700 ELSE id END", "7", "CASE WHEN id % 2 = 0 THEN 1e300 ELSE id / 3D END",
+    "CASE WHEN id % 3 = 0 THEN NULL ELSE 5 END", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, CASE WHEN id % 5 < 3 THEN 1 ELSE id / 1000 END)",
+])
+def test_a_value_that_fills_many_chunks_is_cut_by_the_next_column(spark, first):
+    df = spark.range(3000).selectExpr(f"{first} AS a", "(id * 7919) % 3000 AS b")
+    chunk = plan_chunks(df, ["a", "b"], 100)
+    rows = df.select("a", "b", chunk.alias("chunk")).orderBy("a", "b").collect()
+    chunks = [r.chunk for r in rows]
+    assert chunks == sorted(chunks)
+    sizes = {c: chunks.count(c) for c in set(chunks)}
+    assert max(sizes.values()) <= 400 and len(sizes) > 15
+    numbered = number_rows(df, ["a", "b"], "n", chunk=chunk).orderBy("n").collect()
+    assert [(r.a, r.b) for r in numbered] == [(r.a, r.b) for r in rows]
+    assert [r.n for r in numbered] == list(range(1, 3001))
 
 
 def test_nulls_in_the_order_column_come_first(spark):
