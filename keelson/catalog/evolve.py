@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keelson.catalog.integrity import part_tree  # noqa: F401
 from keelson.catalog.registry import query
 from keelson.catalog.tables import SPECS
 from keelson.operators import dictionary as dic

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from keelson.catalog.registry import Tables, query
 from keelson.catalog.tables import SPECS

@@ -4,6 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keelson.functions.casts import cast_or_null
+
+
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
+
+
+def to_text(c: Column, dtype: T.DataType) -> Column:
+    """Any value as text: bytes as a backslash, x and hex digits, nested values as JSON."""
+    if isinstance(dtype, T.BinaryType):
+        return F.concat(F.lit(r"\x"), F.lower(F.hex(c)))
+    return F.to_json(c) if isinstance(dtype, _NESTED) else c.cast("string")
+
+
+def from_text(c: Column, dtype: T.DataType) -> Column:
+    """The inverse of ``to_text``; NULL for text that is no such value."""
+    if isinstance(dtype, T.BinaryType):
+        return F.when(F.startswith(c, F.lit(r"\x")), F.unhex(F.substr(c, F.lit(3))))
+    return F.from_json(c, dtype) if isinstance(dtype, _NESTED) else cast_or_null(c, T.StringType(), dtype)
 
 
 def quote_literal(c: Column) -> Column:

@@ -15,7 +15,7 @@ def batch_rows(
 ) -> DataFrame:
     """Add a batch number: ``n`` consecutive rows share one, the last batch may be short."""
     if chunk is None:
-        chunk = plan_chunks(df, order)
+        chunk = plan_chunks(df, order, keys=list(partition))
     numbered = number_rows(df, order, "__rn", list(partition), chunk)
     return numbered.withColumn(name, F.floor((F.col("__rn") - 1) / n)).drop("__rn")
 
@@ -34,7 +34,7 @@ def dedupe_names(
     """
     group = list(group)
     if chunk is None:
-        chunk = plan_chunks(df, order)
+        chunk = plan_chunks(df, order, keys=[*group, name])
     base = F.when(F.rlike(name, F.lit("^[0-9]")), F.concat(F.lit("_"), name)).otherwise(F.col(name))
     named = df.withColumn("__base", base)
     rows = number_rows(named, order, "__rn", [*group, "__base"], chunk)

@@ -69,7 +69,7 @@ def prefix_hash(
     chunk borders, so a part may be of any size.
     """
     if chunk is None:
-        chunk = plan_chunks(log, order)
+        chunk = plan_chunks(log, order, keys=part)
     hashed = log.withColumn("__h", row_hash([F.col(c) for c in (*order, *cols)]))
     summed = with_running(
         hashed,

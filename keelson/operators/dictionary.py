@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.hashing import hash_number, row_hash
 from keelson.operators.evolve import Rewrite
-from keelson.plans.ordered import number_rows
+from keelson.plans.ordered import number_rows, plan_chunks
 
 
 def retarget_dictionary(df: DataFrame, column: str, labels: DataFrame) -> Rewrite:
@@ -66,6 +66,8 @@ def detect_dictionary_renames(
     """
     labels = old.withColumn("in_old", F.lit(True)).unionByName(new.withColumn("in_old", F.lit(False)))
     names = ["schema", "dictionary"]
+    if chunk is None:
+        chunk = plan_chunks(labels, ["ordinal"], keys=["in_old", *names])
     placed = number_rows(labels, ["ordinal"], "position", ["in_old", *names], chunk)
     h = row_hash([F.col("position"), F.col("label")])
     signed = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.functions.hashing import compare_hash, hash_number, row_hash
 from keelson.plans.joins import match
@@ -16,6 +17,12 @@ from keelson.plans.joins import match
 KINDS = ("added", "removed", "modified")
 
 
+def _comparable(df: DataFrame) -> DataFrame:
+    """Maps as sorted entries, since maps have no equality of their own."""
+    maps = [f.name for f in df.schema if isinstance(f.dataType, T.MapType)]
+    return df.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps}) if maps else df
+
+
 def table_diff(left: DataFrame, right: DataFrame, key: list[str], compare: list[str] | None = None) -> DataFrame:
     """Rows ``(key…, kind, changed)`` that turn ``left`` into ``right``.
 
@@ -23,6 +30,7 @@ def table_diff(left: DataFrame, right: DataFrame, key: list[str], compare: list[
     modified row in column order and is empty for added and removed rows.
     """
     cols = compare or [c for c in left.columns if c in right.columns and c not in key]
+    left, right = (_comparable(df.select(*key, *cols)) for df in (left, right))
 
     def tagged(df: DataFrame, side: int) -> DataFrame:
         h1, h2 = compare_hash(cols) if cols else (F.lit(0).cast("bigint"),) * 2

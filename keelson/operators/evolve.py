@@ -40,11 +40,11 @@ def _dtype(text: str | T.DataType) -> T.DataType:
     return parse_type(text) if isinstance(text, str) else text
 
 
-def _any(conds: list[Col]) -> Col:
+def any_of(conds: list[Col]) -> Col:
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 
 
-def _too_long(value: Col, dtype: T.DataType) -> Col:
+def too_long(value: Col, dtype: T.DataType) -> Col:
     if isinstance(dtype, (T.VarcharType, T.CharType)):
         return F.coalesce(F.length(value.cast("string")) > dtype.length, F.lit(False))
     return F.lit(False)
@@ -53,7 +53,7 @@ def _too_long(value: Col, dtype: T.DataType) -> Col:
 def _convert(value: Col, source: T.DataType, target: T.DataType) -> tuple[Col, Col]:
     """The converted value and whether a non-NULL value did not fit."""
     out = cast_or_null(value, source, target)
-    return out, (out.isNull() & value.isNotNull()) | _too_long(value, target)
+    return out, (out.isNull() & value.isNotNull()) | too_long(value, target)
 
 
 def _type_of(df: DataFrame, value: Col) -> T.DataType:
@@ -168,7 +168,7 @@ def narrowing_report(df: DataFrame, changes: dict[str, str]) -> DataFrame:
         back = cast_or_null(value, stored_type(new), old)
         tests = {
             "overflow": value.isNull() & c.isNotNull(),
-            "too_long": _too_long(c, new),
+            "too_long": too_long(c, new),
             "loses_precision": value.isNotNull() & ~back.eqNullSafe(c),
         }
         aggs += [F.count_if(t).alias(f"{k}{i}") for k, t in tests.items()]
@@ -196,7 +196,7 @@ def touch_on_update(
         F.struct(F.col(column).alias("touch"), *others).alias("__old"),
     )
     pair = reduce(lambda a, b: a & b, [new[k] == before[f"__k{i}"] for i, k in enumerate(pk)])
-    changed = _any([~F.col(c).eqNullSafe(F.col(f"__old.{c}")) for c in others])
+    changed = any_of([~F.col(c).eqNullSafe(F.col(f"__old.{c}")) for c in others])
     touched = (
         F.when(F.col("__old").isNull(), F.col(column))
         .when(changed, value)
@@ -286,7 +286,7 @@ def conform_to_target(df: DataFrame, spec: TableSpec) -> Rewrite:
             value = F.expr(c.default) if c.default is not None else F.lit(None)
             value = value.cast(stored_type(c.data_type))
         projection.append(value.alias(c.name))
-    return _split(df, projection, _any(bad))
+    return _split(df, projection, any_of(bad))
 
 
 def conform_report(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -299,7 +299,7 @@ def conform_report(df: DataFrame, spec: TableSpec) -> DataFrame:
         tests = {
             "cast_failures": value.isNull() & v.isNotNull(),
             "required_nulls": v.isNull() if not c.nullable else F.lit(False),
-            "too_long": _too_long(v, c.data_type),
+            "too_long": too_long(v, c.data_type),
         }
         aggs += [F.count_if(t).alias(f"{k}{i}") for k, t in tests.items()]
         rows.append(F.struct(F.lit(c.name).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in tests]))
@@ -437,5 +437,5 @@ def evolve_table(df: DataFrame, spec: TableSpec, changes: list[Change]) -> Evolv
         result = drop_column(rows, spec, name)
         spec, gone = result.spec, gone + list(result.constraints + result.partial_uniques)
         rows = result.df
-    split = _split(rows, [F.col(c.name) for c in spec.columns if not c.hidden], _any(bad))
+    split = _split(rows, [F.col(c.name) for c in spec.columns if not c.hidden], any_of(bad))
     return Evolved(split.good, split.bad.select("__row.*"), spec, tuple(gone))

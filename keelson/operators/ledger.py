@@ -122,7 +122,7 @@ def ledger_transitions(
     """
     keys, order = list(keys), list(order)
     if chunk is None:
-        chunk = plan_chunks(events, order)
+        chunk = plan_chunks(events, order, keys=keys)
     after = _next_state(F.col("action"), F.col("state_before"))
     outcome = {"accepted": after.isNotNull(), "state_after": F.coalesce(after, F.col("state_before"))}
     ordering = [F.col(o) for o in order]
@@ -239,7 +239,7 @@ def last_writer_dependencies(
 
     rows = side(new, False).unionByName(side(log, True))
     if chunk is None:
-        chunk = plan_chunks(rows, order)
+        chunk = plan_chunks(rows, order, keys=[*scope, name])
     writer = F.when(F.col("__log"), F.struct("__job"))
     seen = with_running(
         rows, [*scope, name], [*order, "__log", "__job"], {"__last": Running("last", writer, inclusive=False)}, chunk

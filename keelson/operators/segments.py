@@ -19,7 +19,7 @@ PIECE_ROWS = 50
 
 def _numbered(log: DataFrame, part: list[str], order: list[str], marker: Column, chunk: Column | None) -> DataFrame:
     if chunk is None:
-        chunk = plan_chunks(log, order)
+        chunk = plan_chunks(log, order, keys=part)
     is_marker = F.col("__marker").isNotNull()
     return with_running(
         log.withColumn("__marker", marker),

@@ -22,6 +22,7 @@ from keelson.functions.times import micros
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 100_000
 SAMPLE_PER_CHUNK = 200
+MAX_HOT_KEYS = 1_000
 _STRING_BYTES = 7
 # above every chunk number of a single column
 _NEXT = 2**20
@@ -89,15 +90,40 @@ def _is_exact(dtype: T.DataType, low, high) -> bool:
     return isinstance(dtype, (*small, T.DateType))
 
 
-def plan_chunks(df: DataFrame, order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> Column | None:
+def _hot_rows(df: DataFrame, keys: list[str], rows_per_chunk: int) -> Column | None:
+    """Which rows belong to a key with more rows than a chunk; None when no key has.
+
+    Keys are told apart by hash: a cold key with the hash of a hot one is merely cut too.
+    With very many hot keys all rows count as hot.
+    """
+    h = F.xxhash64(*keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_chunk)
+    hot = [r[0] for r in counts.select(h).take(MAX_HOT_KEYS + 1)]
+    if not hot:
+        return None
+    return h.isin(hot) if len(hot) <= MAX_HOT_KEYS else F.lit(True)
+
+
+def plan_chunks(
+    df: DataFrame, order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK, keys: list[str] = ()
+) -> Column | None:
     """Chunk expression with about equal rows per chunk, or None when one chunk is enough.
 
     Reads the first order column: once for count, minimum and maximum, and for more than
     one chunk a second time for approximate quantiles of a sample. Values of it that alone fill more
     than a chunk are cut further by the second order column. The bounds are part of the
-    expression, so every use of it cuts the same way.
+    expression, so every use of it cuts the same way. With ``keys``, only keys that have
+    more rows than a chunk are cut, and without such a key there is nothing to cut.
     """
     order = list(order)
+    if keys:
+        if df.count() <= rows_per_chunk:
+            return None
+        hot = _hot_rows(df, list(keys), rows_per_chunk)
+        if hot is None:
+            return None
+        cut_hot = plan_chunks(df.filter(hot), order, rows_per_chunk)
+        return None if cut_hot is None else F.when(hot, cut_hot).otherwise(F.lit(0).cast("bigint"))
     dtype = df.schema[order[0]].dataType
     c = F.col(order[0])
     n, low, high = df.agg(F.count(F.lit(1)), F.min(c), F.max(c)).first()

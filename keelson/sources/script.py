@@ -13,11 +13,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from keelson.functions.text import quote_ident, quote_literal, quote_table
+from keelson.functions.text import from_text, quote_ident, quote_literal, quote_table, to_text
 from keelson.operators.batching import batch_rows
-from keelson.operators.evolve import Rewrite, _any, _convert
+from keelson.operators.evolve import Rewrite, any_of, too_long
 from keelson.plans.durable import written
 from keelson.plans.ordered import Running, with_running
 from keelson.sources.bundle import export_self_ref
@@ -42,7 +41,8 @@ def insert_statements(
     Every value is quoted text or NULL. A group is one batch, so nothing larger than a
     statement is gathered.
     """
-    values = F.concat(F.lit("("), F.concat_ws(", ", *[quote_literal(F.col(c)) for c in df.columns]), F.lit(")"))
+    cells = [quote_literal(to_text(F.col(f.name), f.dataType)) for f in df.schema]
+    values = F.concat(F.lit("("), F.concat_ws(", ", *cells), F.lit(")"))
     head = f"INSERT INTO {quote_table(table)} ({', '.join(map(quote_ident, df.columns))}) VALUES\n"
     rows = batch_rows(df.select(*order, values.alias("__values")), order, batch, chunk=chunk)
     picked = F.array_sort(F.collect_list(F.struct(*order, "__values")))
@@ -54,7 +54,10 @@ def update_statements(patch: DataFrame, table: str, pk: list[str]) -> DataFrame:
     """One UPDATE per patch row that sets its non-NULL columns by primary key."""
     def pairs(cols: list[str], joiner: str) -> Column:
         parts = [
-            F.when(F.col(c).isNotNull(), F.concat(F.lit(quote_ident(c) + " = "), quote_literal(F.col(c))))
+            F.when(
+                F.col(c).isNotNull(),
+                F.concat(F.lit(quote_ident(c) + " = "), quote_literal(to_text(F.col(c), patch.schema[c].dataType))),
+            )
             for c in cols
         ]
         return F.concat_ws(joiner, *parts)
@@ -235,8 +238,9 @@ def read_sql_dump(spark: SparkSession, paths: str | list[str], spec: TableSpec,
     text = cells.select(*[F.element_at(by_name, F.lit(c.name)).alias(c.name) for c in columns])
     good, bad = [], []
     for c in columns:
-        value, misfit = _convert(F.col(c.name), T.StringType(), c.data_type)
+        cell = F.col(c.name)
+        value = from_text(cell, c.data_type)
         good.append(value.alias(c.name))
-        bad.append(misfit)
-    flag = F.coalesce(_any(bad), F.lit(False))
+        bad.append((value.isNull() & cell.isNotNull()) | too_long(cell, c.data_type))
+    flag = F.coalesce(any_of(bad), F.lit(False))
     return Rewrite(text.filter(~flag).select(*good), text.filter(flag))

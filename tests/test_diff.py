@@ -62,3 +62,12 @@ def test_set_laws(spark):
     x, y = set(map(tuple, a.collect())), set(map(tuple, b.collect()))
     assert sets == {"union": x | y, "intersect": x & y, "difference": x - y, "symmetric": x ^ y}
     assert tuple(op.overlap_counts(a, b, ["a", "b"]).first()) == (len(x - y), len(y - x), len(x & y))
+
+
+def test_nested_columns(spark):
+    text = "SELECT 1 AS k, map('a', 1, 'b', 2) AS m, array(1D, NULL) AS x, struct(1 AS p) AS s"
+    a = spark.sql(text)
+    same = spark.sql(text.replace("'a', 1, 'b', 2", "'b', 2, 'a', 1"))
+    other = spark.sql(text.replace("'b', 2", "'b', 3").replace("1D, NULL", "NULL, 1D"))
+    assert op.table_diff(a, same, ["k"]).isEmpty()
+    assert op.table_diff(a, other, ["k"]).first().changed == ["m", "x"]

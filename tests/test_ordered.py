@@ -96,6 +96,18 @@ def test_a_value_that_fills_many_chunks_is_cut_by_the_next_column(spark, first):
     assert [r.n for r in numbered] == list(range(1, 3001))
 
 
+def test_only_hot_keys_are_cut(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 0 ELSE id END AS k", "id AS p", "id % 4 AS v")
+    assert plan_chunks(df, ["p"], 2000, ["k"]) is None
+    chunk = plan_chunks(df, ["p"], 100, ["k"])
+    per_key = df.groupBy("k").agg(F.count_distinct(chunk).alias("c"))
+    cuts = {r.k: r.c for r in per_key.collect()}
+    assert cuts[None] > 5 and cuts[0] > 5 and all(c == 1 for k, c in cuts.items() if k)
+    got = with_running(df, ["k"], ["p"], {"s": Running("sum", F.col("v"))}, chunk)
+    want = with_running(df, ["k"], ["p"], {"s": Running("sum", F.col("v"))})
+    assert got.exceptAll(want).isEmpty() and got.count() == 3000
+
+
 def test_nulls_in_the_order_column_come_first(spark):
     df = spark.createDataFrame([(None, 1), (5, 2), (15, 3), (25, 4)], "p int, id int")
     got = number_rows(df, ["p"], "n", chunk=F.floor(F.col("p") / 10))

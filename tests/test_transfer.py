@@ -80,6 +80,20 @@ def test_script_round_trip_with_awkward_values(spark):
     assert script.insert_statements(df, spec.name, ["id"], 4).count() == 3
 
 
+def test_script_carries_every_type(spark):
+    df = spark.sql(
+        "SELECT id, CAST(concat('b;\n', id) AS binary) AS b, array(CAST(id / 3 AS float), NULL) AS a, map('k', id) AS m, "
+        "struct(id AS p, 'x, (y)' AS q) AS s, timestamp_ntz'2024-01-01 01:02:03.000004' AS t, date'2024-02-29' AS d, "
+        "id % 2 = 0 AS f, CAST(id AS decimal(20, 5)) AS c, id / 7 AS x, CAST(NULL AS array<int>) AS n, X'00FF' AS raw FROM range(5)"
+    )
+    spec = TableSpec("types", tuple(Column(f.name, f.dataType.simpleString()) for f in df.schema), ("id",))
+    out = fresh_path(spark, "s")
+    script.write_sql_dump({spec.name: df}, [spec], out, batch=2)
+    got = script.read_sql_dump(spark, f"{out}/tables/*", spec)
+    assert got.bad.isEmpty()
+    assert sorted(map(repr, got.good.collect())) == sorted(map(repr, df.collect()))
+
+
 def test_script_split_inside_a_value(spark):
     """Small file splits: statements and quoted values cross their borders."""
     df = spark.range(300).selectExpr("id", "repeat(concat('it''s;\n', id), 1 + CAST(id % 7 AS int)) AS val")
