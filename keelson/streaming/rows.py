@@ -70,6 +70,14 @@ def apply_batches_once(batch: str, cols: list[str], root: str, run: str) -> Call
     """
 
     def apply(df: DataFrame, epoch: int) -> None:
+        # three writes read the batch; a lost block is recomputed from the source
+        df.persist()
+        try:
+            write(df, epoch)
+        finally:
+            df.unpersist()
+
+    def write(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         part = f"run={run}/step={epoch}"
         seen = table_fingerprint(df, [batch], cols).select(
