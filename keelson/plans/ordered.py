@@ -10,6 +10,7 @@ detail rows are shuffled once, by (key, chunk), and need no join.
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -147,7 +148,8 @@ def plan_chunks(
         return None
     distinct = sorted(set(bounds))
     position = _number_of_bounds_up_to(rank, distinct).cast("bigint")
-    heavy = [b for b, again in Counter(bounds).items() if again > 1]
+    # infinity stands for NaN as well, so it is no exact value
+    heavy = [b for b, again in Counter(bounds).items() if again > 1 and math.isfinite(b)]
     if not heavy or len(order) == 1 or not _is_exact(dtype, low, high):
         return position
     tied = F.coalesce(F.array_contains(_constants(heavy), rank), F.lit(False))

@@ -96,6 +96,15 @@ def test_a_value_that_fills_many_chunks_is_cut_by_the_next_column(spark, first):
     assert [r.n for r in numbered] == list(range(1, 3001))
 
 
+def test_infinities_and_nan_keep_their_place(spark):
+    first = "CASE WHEN id % 4 = 0 THEN double('-Infinity') WHEN id % 4 = 1 THEN double('Infinity') WHEN id % 4 = 2 THEN double('NaN') ELSE id END"
+    df = spark.range(2000).selectExpr(f"{first} AS a", "id AS b")
+    chunk = plan_chunks(df, ["a", "b"], 100)
+    rows = df.select("b", chunk.alias("chunk")).orderBy("a", "b").collect()
+    chunks = [r.chunk for r in rows]
+    assert None not in chunks and chunks == sorted(chunks) and len(set(chunks)) >= 5
+
+
 def test_only_hot_keys_are_cut(spark):
     df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 0 ELSE id END AS k", "id AS p", "id % 4 AS v")
     assert plan_chunks(df, ["p"], 2000, ["k"]) is None
