@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only on a local master."""
+    """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
+
+    A local master, as in tests, may leave it unset; the session's warehouse is used then.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -18,7 +20,7 @@ def shared_root(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="keelson-")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
     sc.setCheckpointDir(root)
     return root
 
