@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from keelson.llm import containment, secrets, url_rules
+from keelson.llm import chat, containment, packing, secrets, token_files, toxicity, url_rules
 
 QUERIES = {
     "op2_url_rules": url_rules.op2_url_rules,
+    "op3_chat": chat.op3_chat,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_containment": containment.op5_containment,
+    "op7_packing": packing.op7_packing,
+    "op8_token_files": token_files.op8_token_files,
     "op10_secrets": secrets.op10_secrets,
 }
 
-SQL = {"op2_url_rules": url_rules.SQL.strip(), "op5_containment": containment.SQL.strip()}
+SQL = {
+    "op2_url_rules": url_rules.SQL.strip(),
+    "op3_chat": chat.SQL.strip(),
+    "op5_containment": containment.SQL.strip(),
+}
