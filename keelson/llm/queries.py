@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, containment, packing, secrets, token_files, toxicity, url_rules
+from keelson.llm import (
+    chat,
+    containment,
+    near_dups,
+    packing,
+    pitman_yor,
+    secrets,
+    syncmers,
+    token_files,
+    toxicity,
+    url_rules,
+)
 
 QUERIES = {
+    "op1_pitman_yor": pitman_yor.op1_pitman_yor,
     "op2_url_rules": url_rules.op2_url_rules,
     "op3_chat": chat.op3_chat,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_containment": containment.op5_containment,
+    "op6_syncmers": syncmers.op6_syncmers,
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
+    "op9_near_dups": near_dups.op9_near_dups,
     "op10_secrets": secrets.op10_secrets,
 }
 
