@@ -8,7 +8,7 @@ from keelson.catalog.logs import _FOLD
 from keelson.catalog.registry import query
 from keelson.plans.durable import fresh_path
 from keelson.streaming import rows as op
-from keelson.streaming.ledger import ledger_state_stream, stream_moves
+from keelson.streaming.ledger import ledger_state_stream, stream_moves, stream_states
 from keelson.streaming.run import drain, read_stream, run_available
 
 # the last watermark: the latest event time in whole milliseconds
@@ -20,10 +20,29 @@ _CLOCK = "(SELECT date_trunc('milliseconds', max(ts)) FROM events)"
     f"""
     WITH RECURSIVE {_FOLD}
     SELECT "database", job, event_id AS id, action, state_before, state_after, state_before <> state_after AS accepted
-    FROM f WHERE ts <= {_CLOCK}
+    FROM f
     """,
 )
 def _(t):
+    moves = stream_moves(t.spark, _ledger_root(t)).withColumnRenamed("event_id", "id")
+    return moves.select("database", "job", "id", "action", "state_before", "state_after", "accepted")
+
+
+@query(
+    "ledger_stream_states",
+    f"""
+    WITH RECURSIVE {_FOLD}
+    SELECT "database", job, arg_max(state_after, (ts, event_id)) AS state
+    FROM f WHERE state_before <> state_after GROUP BY ALL
+    """,
+)
+def _(t):
+    """The state per job that the stream has come to."""
+    return stream_states(t.spark, _ledger_root(t)).select("database", "job", "state")
+
+
+def _ledger_root(t) -> str:
+    """The folder of a ledger stream that ran over all events."""
     events = read_stream(t.spark, t.folder, "events.parquet")
     action = F.expr(
         "CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' "
@@ -35,8 +54,7 @@ def _(t):
     )
     root = fresh_path(t.spark, "ledger-stream")
     drain(ledger_state_stream(attempts, root), "ledger-stream", t.spark)
-    moves = stream_moves(t.spark, root).withColumnRenamed("event_id", "id")
-    return moves.select("database", "job", "id", "action", "state_before", "state_after", "accepted")
+    return root
 
 
 @query("expire_rows_stream", f"SELECT * FROM events WHERE ts + INTERVAL 7 DAY > {_CLOCK}")
@@ -75,3 +93,17 @@ def _(t):
     warned = op.batch_warnings(t.spark, root).select(F.col("batch").alias("day")).distinct()
     flagged = applied.join(warned.withColumn("w", F.lit(True)), "day", "left")
     return flagged.select("day", "n_rows", "users", F.coalesce("w", F.lit(False)).alias("warned"))
+
+
+@query("apply_split_batches", "SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
+def _(t):
+    """Days of events, each spread over four files that come one per micro-batch, and then again."""
+    root, source = fresh_path(t.spark, "batches"), fresh_path(t.spark, "split-days")
+    part = F.concat(F.lit("file-"), F.expr("event_id % 4").cast("string"))
+    days = t("events").select("event_id", "user_id", F.col("ts").cast("date").cast("string").alias("day"), part.alias("file"))
+    days.repartition(4, "file").write.parquet(source)
+    for run in ("a", "b"):
+        stream = read_stream(t.spark, source, "*.parquet", files_per_trigger=1)
+        apply = op.apply_batches_once("day", ["event_id", "user_id"], root, run, part="file")
+        drain(stream.writeStream.foreachBatch(apply), "batches", t.spark)
+    return t.spark.read.parquet(f"{root}/rows").select("event_id", "user_id", "day")

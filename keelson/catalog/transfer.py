@@ -302,3 +302,25 @@ def _(t):
     edges = tree.filter("parent IS NOT NULL").selectExpr("p_partkey AS child", "parent")
     back = tree.filter("p_partkey % 97 = 1 AND p_partkey > 1").selectExpr("p_partkey AS child", "p_partkey * 2 AS parent")
     return graph.dependency_cycles(tree.selectExpr("p_partkey AS node"), edges.unionByName(back))
+
+
+@query(
+    "dependency_cycles_mixed",
+    """
+    WITH RECURSIVE n AS (SELECT c_custkey AS i FROM customer),
+    e AS (SELECT i AS child, CASE WHEN i % 10 = 3 THEN i - 2 WHEN i % 10 = 6 THEN i - 1 WHEN i % 10 = 0 THEN i - 9
+            ELSE i + 1 END AS parent FROM n
+          UNION ALL SELECT i, i - 1 FROM n WHERE i % 10 = 5),
+    k AS (SELECT child, parent FROM e WHERE parent IN (FROM n)),
+    r AS (SELECT child AS a, parent AS b FROM k UNION SELECT r.a, k.parent FROM r JOIN k ON r.b = k.child)
+    SELECT DISTINCT a AS node FROM r WHERE a = b
+    """,
+)
+def _(t):
+    """Per ten customers a cycle of three, one of two, paths between them and tails."""
+    nodes = t("customer").selectExpr("c_custkey AS node")
+    next_one = "CASE WHEN node % 10 = 3 THEN node - 2 WHEN node % 10 = 6 THEN node - 1 WHEN node % 10 = 0 THEN node - 9 ELSE node + 1 END"
+    edges = nodes.selectExpr("node AS child", f"{next_one} AS parent").unionByName(
+        nodes.filter("node % 10 = 5").selectExpr("node AS child", "node - 1 AS parent")
+    )
+    return graph.dependency_cycles(nodes, edges)

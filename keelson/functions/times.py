@@ -15,6 +15,13 @@ def micros(c: Column, dtype: T.DataType) -> Column:
     return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
-def with_event_time(df: DataFrame, ts: str, name: str, delay: str) -> DataFrame:
-    """Add a watermarked TIMESTAMP column, which streams need for their clock."""
-    return df.withColumn(name, F.timestamp_micros(micros(F.col(ts), df.schema[ts].dataType))).withWatermark(name, delay)
+def with_event_time(df: DataFrame, ts: str, name: str, delay: str, whole_millis: bool = False) -> DataFrame:
+    """Add a watermarked TIMESTAMP column, which streams need for their clock.
+
+    A watermark has whole milliseconds. With ``whole_millis`` the column has too, so that it
+    passes the latest row of all.
+    """
+    at = micros(F.col(ts), df.schema[ts].dataType)
+    if whole_millis:
+        at = at - F.pmod(at, F.lit(1000))
+    return df.withColumn(name, F.timestamp_micros(at)).withWatermark(name, delay)

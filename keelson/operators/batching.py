@@ -17,7 +17,7 @@ def batch_rows(
     if chunk is None:
         chunk = plan_chunks(df, order, keys=list(partition))
     numbered = number_rows(df, order, "__rn", list(partition), chunk)
-    return numbered.withColumn(name, F.floor((F.col("__rn") - 1) / n)).drop("__rn")
+    return numbered.withColumn(name, F.expr(f"(__rn - 1) div {n}")).drop("__rn")
 
 
 _SUFFIXED = r"(?s)^(.*)_([2-9]|[1-9][0-9]{1,17})$"

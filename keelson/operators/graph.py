@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keelson.plans.durable import cut
+from keelson.plans.durable import cut, fresh_path
 from keelson.specs import TableSpec, qualified
 
 
@@ -32,47 +31,108 @@ def _pending(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _peel(pending: DataFrame, max_rounds: int) -> tuple[list[DataFrame], DataFrame]:
-    """Levels in order, and what is left when no node is free any more."""
-    pending = cut(pending)
-    levels: list[DataFrame] = []
-    while len(levels) < max_rounds:
+def _peel(pending: DataFrame) -> tuple[str, DataFrame]:
+    """A folder with a part ``level=<n>`` per level, and what is left when no node is free any more."""
+    spark = pending.sparkSession
+    pending, path, level = cut(pending), fresh_path(spark, "levels"), 0
+    while True:
         free = pending.groupBy("node").agg(F.count("parent").alias("n")).filter("n = 0").select("node")
-        free = cut(free)
+        part = f"{path}/level={level}"
+        free.write.parquet(part)
+        free = spark.read.schema(free.schema).parquet(part)
         if free.isEmpty():
-            return levels, pending
-        levels.append(free)
+            return path, pending
         rest = pending.join(free, "node", "left_anti")
         met = free.select(F.col("node").alias("parent"))
         # a met parent is removed; the NULL-parent row keeps the node itself alive
         pending = cut(rest.join(met, "parent", "left_anti").select("node", "parent"))
-    raise RuntimeError(f"no end after {max_rounds} rounds")
+        level += 1
+
+
+def _reached(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """``(node, label)`` grown along ``edges`` (source, target) until no label gets smaller."""
+    label = cut(label)
+    while True:
+        passed = edges.join(label.withColumnRenamed("node", "source"), "source").select(
+            F.col("target").alias("node"), "label"
+        )
+        grown = cut(
+            label.withColumn("was", F.col("label"))
+            .unionByName(passed, allowMissingColumns=True)
+            .groupBy("node")
+            .agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        )
+        label = grown.select("node", "label")
+        if grown.filter(~F.col("label").eqNullSafe(F.col("was"))).isEmpty():
+            return label
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of the strongly connected components of two nodes and more.
+
+    Every node gets the least node that reaches it. The nodes with one such label that
+    also reach it are the component of that least node; the rest goes on without them.
+    """
+    edges, path, step = cut(edges), fresh_path(edges.sparkSession, "components"), 0
+    shape = None
+    while not edges.isEmpty():
+        nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+        ahead = _reached(edges, nodes.withColumn("label", F.col("node")))
+        inside = (
+            edges.join(ahead.select(F.col("node").alias("source"), F.col("label").alias("a")), "source")
+            .join(ahead.select(F.col("node").alias("target"), F.col("label").alias("b")), "target")
+            .filter("a = b")
+            .select("source", "target", F.col("a").alias("label"))
+        )
+        inside = cut(inside)
+        back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        roots = inside.select("label").distinct().select(F.col("label").alias("node"), "label")
+        found = _reached(back, roots).withColumnRenamed("label", "component")
+        part = f"{path}/step={step}"
+        found.write.parquet(part)
+        shape = found.schema
+        done = edges.sparkSession.read.schema(shape).parquet(part)
+        gone = done.select(F.col("node").alias("source"))
+        left = inside.select("source", "target").join(gone, "source", "left_anti")
+        edges = cut(left.join(gone.withColumnRenamed("source", "target"), "target", "left_anti").select("source", "target"))
+        step += 1
+    if shape is None:
+        return edges.select(F.col("source").alias("node"), F.col("target").alias("component"))
+    every = edges.sparkSession.read.schema(shape).parquet(*[f"{path}/step={k}" for k in range(step)])
+    size = every.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    return every.join(size, "component", "left_semi").select("node", "component")
+
+
+def _on_cycles(stuck: DataFrame) -> DataFrame:
+    """Components among nodes that wait for ever: what only hangs on a cycle is peeled off first."""
+    back = stuck.filter("parent IS NOT NULL").select(F.col("parent").alias("child"), F.col("node").alias("parent"))
+    _, core = _peel(_pending(stuck.select("node").distinct(), back))
+    edges = core.filter("parent IS NOT NULL").select(F.col("parent").alias("source"), F.col("node").alias("target"))
+    return _components(edges)
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, level)``: parents sit on a lower level than their children.
 
     ``nodes`` has ``node``; ``edges`` has ``(child, parent)``. Self edges and edges to
     unknown nodes do not count. Ordering by level then node is a load order; the reverse
-    is a truncation order. A cycle raises and names members. One round per level; each
-    round only touches the nodes that are still waiting.
+    is a truncation order. A cycle raises and names the members of the component with the least
+    node; ``dependency_cycles`` gives all. One round per level; each round only touches the
+    nodes that are still waiting.
     """
-    levels, stuck = _peel(_pending(nodes, edges), max_rounds)
-    members = [r[0] for r in stuck.select("node").distinct().orderBy("node").take(20)]
-    if members:
-        raise CycleError(members)
-    placed = [df.select("node", F.lit(i).cast("bigint").alias("level")) for i, df in enumerate(levels)]
-    if not placed:
-        return nodes.select("node", F.lit(0).cast("bigint").alias("level")).limit(0)
-    return reduce(DataFrame.unionByName, placed)
-
-
-def dependency_cycles(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Nodes on a cycle, or on a path from one cycle to another."""
-    _, stuck = _peel(_pending(nodes, edges), max_rounds)
-    back = stuck.filter("parent IS NOT NULL").select(F.col("parent").alias("child"), F.col("node").alias("parent"))
-    _, core = _peel(_pending(stuck.select("node").distinct(), back), max_rounds)
-    return core.select("node").distinct()
+    path, stuck = _peel(_pending(nodes, edges))
+    if not stuck.isEmpty():
+        found = cut(_on_cycles(stuck))
+        least = found.agg(F.min("component")).first()[0]
+        raise CycleError([r[0] for r in found.filter(F.col("component") == F.lit(least)).select("node").orderBy("node").collect()])
+    shape = T.StructType([nodes.select("node").schema[0], T.StructField("level", T.LongType())])
+    return nodes.sparkSession.read.schema(shape).parquet(path)
+
+
+def dependency_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes that lie on a cycle, and no others."""
+    _, stuck = _peel(_pending(nodes, edges))
+    return _on_cycles(stuck).select("node")
 
 
 def load_order(specs: list[TableSpec]) -> list[str]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.plans.joins import match
 from keelson.plans.ordered import Running, plan_chunks, with_running
 
 KEYS = ("database", "job")
@@ -35,6 +36,7 @@ def _next_state(action: Column, state: Column) -> Column:
 
 # Entry states a chunk can still change; the others are final.
 _LIVE = ("absent", "pending", "failed")
+_CHUNKS_PER_BLOCK = 256
 
 
 def _walk(rows: DataFrame, window_keys: list[str], order: list[Column], entry: Column) -> DataFrame:
@@ -78,30 +80,49 @@ def _chunk_effects(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     )
 
 
-def _entry_states(effects: DataFrame, keys: list[str], entry: DataFrame | None) -> DataFrame:
-    """Per (key, chunk): the state before its first row. Folds one small row per chunk."""
-    chunks = effects.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__chunk", *_LIVE))).alias("chunks"))
-    if entry is None:
-        chunks = chunks.withColumn("state", F.lit("absent"))
-    else:
-        chunks = chunks.join(entry, keys, "left").withColumn("state", F.coalesce("state", F.lit("absent")))
-    start = F.struct(
-        F.col("state").alias("state"),
-        F.array().cast("array<struct<chunk:bigint,state:string>>").alias("seen"),
-    )
+def _lead_to(effect: Column, state: Column) -> Column:
+    """The state after an effect (a struct with one field per live state); done states stay."""
+    after = F.when(state == _LIVE[0], effect[_LIVE[0]])
+    for s in _LIVE[1:]:
+        after = after.when(state == s, effect[s])
+    return after.otherwise(state)
+
+
+def _states_before(items: Column, start: Column, label: str, kind: str) -> Column:
+    """``(label, state)`` of every item of an ordered array of effects, ``state`` holding before it."""
+    begin = F.struct(start.alias("state"), F.array().cast(f"array<struct<{label}:{kind},state:string>>").alias("seen"))
 
     def step(acc: Column, c: Column) -> Column:
-        state = acc["state"]
-        after = F.when(state == _LIVE[0], c[_LIVE[0]])
-        for s in _LIVE[1:]:
-            after = after.when(state == s, c[s])
-        passed = F.struct(c["__chunk"].alias("chunk"), state.alias("state"))
-        return F.struct(
-            after.otherwise(state).alias("state"), F.concat(acc["seen"], F.array(passed)).alias("seen")
-        )
+        passed = F.struct(c[label].alias(label), acc["state"].alias("state"))
+        return F.struct(_lead_to(c, acc["state"]).alias("state"), F.concat(acc["seen"], F.array(passed)).alias("seen"))
+
+    return F.aggregate(items, begin, step, lambda acc: acc["seen"])
 
-    folded = chunks.select(*keys, F.aggregate("chunks", start, step)["seen"].alias("seen"))
-    return folded.select(*keys, F.inline("seen")).withColumnRenamed("chunk", "__chunk")
+
+def _entry_states(effects: DataFrame, keys: list[str], entry: DataFrame | None) -> DataFrame:
+    """Per (key, chunk): the state before its first row.
+
+    Effects compose, so a job's chunks are folded in two levels: blocks of a few hundred
+    chunks into one effect each, the blocks of a job from its entry state, and then the chunks of each
+    block from the state before the block.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__chunk")) - 1
+    blocks = (
+        effects.withColumn("__rank", rank)
+        .withColumn("__block", F.expr(f"__rank div {_CHUNKS_PER_BLOCK}").cast("int"))
+        .groupBy(*keys, "__block")
+        .agg(F.array_sort(F.collect_list(F.struct("__chunk", *_LIVE))).alias("chunks"))
+    )
+    through = [F.aggregate("chunks", F.lit(s), lambda state, c: _lead_to(c, state)).alias(s) for s in _LIVE]
+    whole = blocks.select(*keys, "__block", *through)
+    jobs = whole.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__block", *_LIVE))).alias("blocks"))
+    if entry is None:
+        jobs = jobs.withColumn("state", F.lit("absent"))
+    else:
+        jobs = jobs.join(entry, keys, "left").withColumn("state", F.coalesce("state", F.lit("absent")))
+    before = jobs.select(*keys, F.inline(_states_before(F.col("blocks"), F.col("state"), "__block", "int")))
+    inside = match(blocks, before, [*keys, "__block"])
+    return inside.select(*keys, F.inline(_states_before(F.col("chunks"), F.col("state"), "__chunk", "bigint")))
 
 
 def ledger_transitions(
@@ -118,7 +139,7 @@ def ledger_transitions(
     A job's rows are cut into chunks so that a hot job is spread over tasks. Each chunk is
     walked once per possible entry state, which gives a small table of effects; folding
     those per job gives the entry state of every chunk, and that enters the second walk as
-    a seed row. With one chunk there is a single walk.
+    a seed row.
     """
     keys, order = list(keys), list(order)
     if chunk is None:
@@ -126,16 +147,8 @@ def ledger_transitions(
     after = _next_state(F.col("action"), F.col("state_before"))
     outcome = {"accepted": after.isNotNull(), "state_after": F.coalesce(after, F.col("state_before"))}
     ordering = [F.col(o) for o in order]
-    if chunk is None and entry is None:
-        return _walk(events, keys, ordering, F.lit(None).cast("string")).withColumns(outcome)
-
-    rows = events
-    if chunk is None:
-        window_keys = keys
-        seeds = entry.join(events.select(*keys).distinct(), keys, "left_semi")
-    else:
-        window_keys, rows = [*keys, "__chunk"], events.withColumn("__chunk", chunk)
-        seeds = _entry_states(_chunk_effects(rows, keys, order), keys, entry)
+    window_keys, rows = [*keys, "__chunk"], events.withColumn("__chunk", chunk)
+    seeds = _entry_states(_chunk_effects(rows, keys, order), keys, entry)
     seeds = seeds.filter("state <> 'absent'").select(
         *window_keys, F.lit(0).alias("__seed"), F.col("state").alias("__entry")
     )

@@ -86,7 +86,7 @@ def segment_log(
     """
     numbered = _numbered(log, part, order, marker, chunk)
     sections = _sections(numbered, part).drop("n_rows")
-    piece = F.when(F.col("kind") == "inside", F.floor((F.col("__row") - F.col("first_row")) / piece_rows)).otherwise(
+    piece = F.when(F.col("kind") == "inside", F.expr(f"(__row - first_row) div {piece_rows}")).otherwise(
         F.lit(0).cast("bigint")
     )
     rows = numbered.filter("__marker IS NULL").drop("__marker")

@@ -1,32 +1,29 @@
 """Running values over ordered rows when one key may hold most of them.
 
 A window partitioned by key alone puts a hot key into one task, and a window with no key
-puts the table into one task. Here every key is cut into *chunks* by an order-preserving
-expression. One partial aggregate per (key, chunk) is folded into the value carried into
-each chunk; the carried value enters the chunk as a seed row that sorts first, so the
-detail rows are shuffled once, by (key, chunk), and need no join.
+puts the table into one task. Here rows are cut into *chunks*, ranges of (keys, order columns)
+with about equal bytes: a hot key fills many chunks, and many cold keys share one. One partial
+aggregate per (key, chunk) is folded into the value carried into each chunk; a carried value
+enters its chunk as a seed row that sorts first, so the detail rows are shuffled once, by
+(key, chunk), and need no join.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.times import micros
-
-ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 100_000
-SAMPLE_PER_CHUNK = 200
-MAX_HOT_KEYS = 1_000
-_STRING_BYTES = 7
-# above every chunk number of a single column
-_NEXT = 2**20
+CHUNK_BYTES = 64 * 2**20
+# ranges measured per chunk, so that a chunk misses its size by a fraction only
+_PARTS_PER_CHUNK = 4
+_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "ignoreNullFields": "true",
+}
 
 
 @dataclass(frozen=True)
@@ -38,126 +35,79 @@ class Running:
     inclusive: bool = True
 
 
-def _rank(col: Column, dtype: T.DataType, skip: int = 0) -> Column:
-    """An order-preserving number for a value of an orderable type."""
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return micros(col, dtype)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("bigint")
-    if isinstance(dtype, T.BooleanType):
-        return col.cast("bigint")
-    if isinstance(dtype, T.StringType):
-        head = F.hex(F.substring(F.encode(col, "UTF-8"), skip + 1, _STRING_BYTES))
-        return F.conv(F.rpad(head, 2 * _STRING_BYTES, "0"), 16, 10).cast("bigint")
-    return col
-
-
-def _common_prefix(a: str, b: str) -> int:
-    x, y = a.encode(), b.encode()
-    n = 0
-    while n < min(len(x), len(y)) and x[n] == y[n]:
-        n += 1
-    return n
-
-
-def _constants(values: list[float]) -> Column:
-    """An array literal. Folded from one text, since a call per element adds up to minutes."""
-    return F.from_json(F.lit(json.dumps(values)), "array<double>")
-
-
-def _number_of_bounds_up_to(value: Column, bounds: list[float]) -> Column:
-    """How many of the ascending ``bounds`` are <= ``value``, by halving steps."""
-    steps, size = [], 1
-    while size <= len(bounds):
-        steps.insert(0, size)
-        size *= 2
-    table = _constants(bounds)
+def _bytes(col: Column, dtype: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 8
+    if isinstance(dtype, T.ArrayType):
+        if isinstance(dtype.elementType, (T.StringType, T.BinaryType)):
+            return F.aggregate(F.coalesce(col, F.array()), F.lit(16), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 8)
+        return F.greatest(F.size(col), F.lit(0)) * 16 + 16
+    if isinstance(dtype, T.StructType):
+        out = F.lit(8)
+        for f in dtype.fields:
+            out = out + _bytes(col[f.name], f.dataType)
+        return out
+    return F.lit(64 if isinstance(dtype, T.MapType) else 8)
+
+
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Rows and about how many bytes, in one pass."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        width = width + _bytes(F.col(f"`{f.name}`"), f.dataType)
+    n, size = df.agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return n, size or 0
+
+
+def _borders(df: DataFrame, cols: list[str], chunks: int, per_chunk: float) -> list[str]:
+    """First tuples of all chunks but the first, as JSON. One row per measured range comes to the driver."""
+    ranges = df.select(*cols).repartitionByRange(chunks * _PARTS_PER_CHUNK, *cols)
+    at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    measured = (
+        ranges.select(at.alias("at"), F.spark_partition_id().alias("part"))
+        .groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+        .orderBy("part")
+        .select("n", F.to_json("at", _FORMATS).alias("at"))
+    )
+    borders, rows = [], 0
+    for r in measured.collect():
+        if rows and rows + r["n"] / 2 > per_chunk:
+            borders.append(r["at"])
+            rows = 0
+        rows += r["n"]
+    return borders
+
+
+def plan_chunks(df: DataFrame, order: list[str], rows_per_chunk: int | None = None, keys: list[str] = ()) -> Column:
+    """Chunk expression with about equal bytes (or ``rows_per_chunk`` rows) per chunk.
+
+    Borders are tuples of all key and order columns, taken from ranges of the rows themselves
+    and compared as Spark compares structs, so NULLs, ties in the first columns and every
+    orderable type are cut alike. They are part of the expression: every use cuts the same
+    way. There are at least as many chunks as the session has shuffle partitions, if there are
+    rows for them. Only rows that agree in all these columns stay together at any size.
+    """
+    spark, cols = df.sparkSession, [*keys, *order]
+    n, size = _size(df)
+    chunks = -(-n // rows_per_chunk) if rows_per_chunk else max(-(-size // CHUNK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = max(1, min(chunks, n))
+    borders = _borders(df, cols, chunks, n / chunks) if chunks > 1 else []
+    if not borders:
+        # a column, as a literal key would be dropped and leave the rows in one task
+        return F.pmod(F.hash(*cols), F.lit(1)).cast("bigint")
+    shape = T.ArrayType(T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(cols)]))
+    # one literal text that folds to an array; any rounding in it moves a border but keeps the order
+    table = F.from_json(F.lit("[" + ",".join(borders) + "]"), shape, _FORMATS)
+    at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    steps = [2**k for k in reversed(range(len(borders).bit_length()))]
 
     def advance(pos: Column, step: Column) -> Column:
         ahead = pos + step
-        fits = (ahead <= len(bounds)) & (F.get(table, ahead - 1) <= value)
-        return F.when(fits, ahead).otherwise(pos)
-
-    return F.aggregate(F.lit(steps), F.lit(0), advance)
-
-
-def _is_exact(dtype: T.DataType, low, high) -> bool:
-    """Whether different values always have different ranks as a double."""
-    if isinstance(dtype, T.LongType):
-        return max(abs(low), abs(high)) < 2**53
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return 1700 < low.year and high.year < 2200
-    small = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType, T.BooleanType)
-    return isinstance(dtype, (*small, T.DateType))
+        return F.when((ahead <= len(borders)) & (F.get(table, ahead - 1) <= at), ahead).otherwise(pos)
 
-
-def _hot_rows(df: DataFrame, keys: list[str], rows_per_chunk: int) -> Column | None:
-    """Which rows belong to a key with more rows than a chunk; None when no key has.
-
-    Keys are told apart by hash: a cold key with the hash of a hot one is merely cut too.
-    With very many hot keys all rows count as hot.
-    """
-    h = F.xxhash64(*keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_chunk)
-    hot = [r[0] for r in counts.select(h).take(MAX_HOT_KEYS + 1)]
-    if not hot:
-        return None
-    return h.isin(hot) if len(hot) <= MAX_HOT_KEYS else F.lit(True)
-
-
-def plan_chunks(
-    df: DataFrame, order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK, keys: list[str] = ()
-) -> Column | None:
-    """Chunk expression with about equal rows per chunk, or None when one chunk is enough.
-
-    Reads the first order column: once for count, minimum and maximum, and for more than
-    one chunk a second time for approximate quantiles of a sample. Values of it that alone fill more
-    than a chunk are cut further by the second order column. The bounds are part of the
-    expression, so every use of it cuts the same way. With ``keys``, only keys that have
-    more rows than a chunk are cut, and without such a key there is nothing to cut.
-    """
-    order = list(order)
-    if keys:
-        if df.count() <= rows_per_chunk:
-            return None
-        hot = _hot_rows(df, list(keys), rows_per_chunk)
-        if hot is None:
-            return None
-        cut_hot = plan_chunks(df.filter(hot), order, rows_per_chunk)
-        return None if cut_hot is None else F.when(hot, cut_hot).otherwise(F.lit(0).cast("bigint"))
-    dtype = df.schema[order[0]].dataType
-    c = F.col(order[0])
-    n, low, high = df.agg(F.count(F.lit(1)), F.min(c), F.max(c)).first()
-    if n <= rows_per_chunk:
-        return None
-    if low is None or low == high:
-        nulls_apart = low is not None and not df.filter(c.isNull()).isEmpty()
-        rest = plan_chunks(df, order[1:2], rows_per_chunk) if len(order) > 1 else None
-        if rest is not None and nulls_apart:
-            return F.when(c.isNotNull(), rest + _NEXT).otherwise(rest)
-        return rest
-    skip = _common_prefix(low, high) if isinstance(dtype, T.StringType) else 0
-    rank = F.nanvl(_rank(c, dtype, skip).cast("double"), F.lit(float("inf")))
-    chunks = min(-(-n // rows_per_chunk), MAX_CHUNKS)
-    cuts = [i / chunks for i in range(1, chunks)]
-    # the sample only places the borders; every row is in some chunk wherever they lie
-    fraction = min(1.0, max(SAMPLE_PER_CHUNK * chunks, 100_000) / n)
-    picked = df.sample(fraction, seed=7) if fraction < 1 else df
-    (bounds,) = picked.agg(F.percentile_approx(rank, _constants(cuts), max(10_000, 4 * chunks))).first()
-    if bounds is None:
-        return None
-    distinct = sorted(set(bounds))
-    position = _number_of_bounds_up_to(rank, distinct).cast("bigint")
-    # infinity stands for NaN as well, so it is no exact value
-    heavy = [b for b, again in Counter(bounds).items() if again > 1 and math.isfinite(b)]
-    if not heavy or len(order) == 1 or not _is_exact(dtype, low, high):
-        return position
-    tied = F.coalesce(F.array_contains(_constants(heavy), rank), F.lit(False))
-    rest = plan_chunks(df.filter(tied), order[1:2], rows_per_chunk)
-    if rest is None:
-        return position
-    # rows equal to a bound come before the other rows that follow it
-    return F.when(tied, position * 2 * _NEXT + rest).otherwise((position * 2 + 1) * _NEXT)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance).cast("bigint")
 
 
 def with_running(
@@ -216,12 +166,15 @@ def with_running(
         .orderBy(chunk_order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # the first chunk of a key has nothing carried into it
     seeds = per_chunk.select(
         *keys,
         "__chunk",
         *[apply(metrics[n].kind, vals[n], before).alias(vals[n]) for n in names],
         F.lit(0).alias("__seed"),
+        F.count(F.lit(1)).over(before).alias("__earlier"),
     )
+    seeds = seeds.filter("__earlier > 0").drop("__earlier")
     rows = base.withColumn("__seed", F.lit(1)).unionByName(seeds, allowMissingColumns=True)
     done = finish(rows, [*keys, "__chunk"], F.col("__seed").asc())
     return done.filter("__seed = 1").drop("__seed", "__chunk")

@@ -2,7 +2,8 @@
 
 Folder layout under ``root``, one ``step=<epoch>`` per micro-batch: ``released`` (rows the
 watermark has passed), ``moves`` (their transitions and rejects), ``status`` (the state of
-the jobs that moved).
+the jobs that moved). Every so many epochs ``snapshot/step=<epoch>`` has the state of all jobs
+before that epoch, so that a micro-batch reads one snapshot and the few steps after it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from keelson.operators.ledger import KEYS, ledger_transitions
 from keelson.streaming.rows import released
 
+EPOCHS_PER_SNAPSHOT = 16
+
 
 def ledger_state_stream(
     stream: DataFrame,
@@ -41,22 +44,29 @@ def ledger_state_stream(
         batch.write.mode("overwrite").parquet(f"{root}/released/{step}")
         rows = spark.read.schema(batch.schema).parquet(f"{root}/released/{step}")
         known = _status(spark, root, states, keys, before=epoch)
+        if epoch and epoch % EPOCHS_PER_SNAPSHOT == 0:
+            known.write.mode("overwrite").parquet(f"{root}/snapshot/{step}")
+            known = spark.read.schema(states).parquet(f"{root}/snapshot/{step}")
         moves = ledger_transitions(rows, keys, [ts, id], entry=known)
         moves.write.mode("overwrite").parquet(f"{root}/moves/{step}")
         moved = spark.read.schema(moves.schema).parquet(f"{root}/moves/{step}")
         last = moved.filter("accepted").groupBy(*keys).agg(F.max_by("state_after", F.struct(ts, id)).alias("state"))
         last.write.mode("overwrite").parquet(f"{root}/status/{step}")
 
-    return released(stream, ts, delay).writeStream.outputMode("append").foreachBatch(fold)
+    return released(stream, ts, delay, whole_millis=True).writeStream.outputMode("append").foreachBatch(fold)
 
 
-def _status(spark: SparkSession, root: str, states: T.StructType, keys: list[str], before: int | None) -> DataFrame:
+def _status(spark: SparkSession, root: str, states: T.StructType, keys: list[str], before: int) -> DataFrame:
+    """The state per job before epoch ``before``: the last snapshot and the steps since."""
+    shape = T.StructType([*states, T.StructField("step", T.LongType())])
+    since = (max(before - 1, 0) // EPOCHS_PER_SNAPSHOT) * EPOCHS_PER_SNAPSHOT
     try:
-        steps = spark.read.schema(T.StructType([*states, T.StructField("step", T.LongType())])).parquet(f"{root}/status")
+        steps = spark.read.schema(shape).parquet(f"{root}/status").filter(F.col("step").between(since, before - 1))
     except AnalysisException:
         return spark.createDataFrame([], states)
-    if before is not None:
-        steps = steps.filter(F.col("step") < before)
+    if since:
+        base = spark.read.schema(states).parquet(f"{root}/snapshot/step={since}")
+        steps = steps.unionByName(base.withColumn("step", F.lit(-1).cast("bigint")))
     return steps.groupBy(*keys).agg(F.max_by("state", "step").alias("state"))
 
 
@@ -67,5 +77,6 @@ def stream_moves(spark: SparkSession, root: str) -> DataFrame:
 
 def stream_states(spark: SparkSession, root: str, keys: list[str] = KEYS) -> DataFrame:
     """The current state per job."""
-    shape = spark.read.parquet(f"{root}/status").drop("step").schema
-    return _status(spark, root, shape, list(keys), None)
+    status = spark.read.parquet(f"{root}/status")
+    last = status.agg(F.max("step")).first()[0]
+    return _status(spark, root, status.drop("step").schema, list(keys), last + 1)

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from keelson.functions.times import with_event_time
 from keelson.operators.diff import table_fingerprint
-from keelson.operators.ledger import checksum_mismatch, pending_items
+from keelson.operators.ledger import checksum_mismatch
 
 
-def released(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+def released(stream: DataFrame, ts: str, delay: str, whole_millis: bool = False) -> DataFrame:
     """Each row once the watermark (latest event time minus ``delay``) has passed its time.
 
     The native aggregation state is the buffer: it is spread by whole row, so no key can
     grow hot, and it holds the rows of the last ``delay`` only. Equal rows are counted and
-    come out as often as they went in.
+    come out as often as they went in. Times count in whole milliseconds with ``whole_millis``,
+    which lets the latest row out.
     """
     columns = stream.columns
-    timed = with_event_time(stream, ts, "__at", delay)
+    timed = with_event_time(stream, ts, "__at", delay, whole_millis)
     held = timed.groupBy("__at", *columns).agg(F.count("*").alias("__n"))
     return held.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "__n")).alias("__i")).drop("__i")
 
@@ -60,13 +61,18 @@ def batch_warnings(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/warnings", WARNING_SCHEMA)
 
 
-def apply_batches_once(batch: str, cols: list[str], root: str, run: str) -> Callable[[DataFrame, int], None]:
+def apply_batches_once(
+    batch: str, cols: list[str], root: str, run: str, part: str | None = None
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that appends each named batch of rows once.
 
-    Rows carry their batch name in column ``batch``; a batch has to arrive within one
-    micro-batch. Its checksum is an order-free sum over its rows. A batch already in the
-    ledger is not applied again, and is warned about when its checksum changed. Everything
-    is written under the run and epoch, so a repeated epoch overwrites its own output.
+    Rows carry their batch name in column ``batch``. What is applied once is a batch, which
+    then has to arrive within one micro-batch, or, with ``part`` (a column that names what
+    never spreads over micro-batches, as the source file), each part of a batch: later parts
+    of a batch are appended when they come. The checksum is an order-free sum over the rows.
+    A batch (or part) already in the ledger is not applied again, and is warned about when its
+    checksum changed. Everything is written under the run and epoch, so a repeated epoch
+    overwrites its own output.
     """
 
     def apply(df: DataFrame, epoch: int) -> None:
@@ -79,18 +85,22 @@ def apply_batches_once(batch: str, cols: list[str], root: str, run: str) -> Call
 
     def write(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        part = f"run={run}/step={epoch}"
-        seen = table_fingerprint(df, [batch], cols).select(
-            F.col(batch).cast("string").alias("batch"), F.col("fingerprint").alias("checksum")
+        folder = f"run={run}/step={epoch}"
+        name = F.col(batch).cast("string")
+        if part is not None:
+            name = F.concat_ws("\n", name, F.col(part).cast("string"))
+        df = df.withColumn("__unit", name)
+        seen = table_fingerprint(df, ["__unit"], cols).select(
+            F.col("__unit").alias("batch"), F.col("fingerprint").alias("checksum")
         )
         ledger = batch_ledger(spark, root).filter(~((F.col("run") == run) & (F.col("step") == epoch)))
-        fresh = pending_items(seen, ledger, ["batch"])
+        fresh = seen.join(ledger.select("batch"), "batch", "left_anti")
         changed = checksum_mismatch(seen, ledger, ["batch"])
-        rows = df.join(fresh.select(F.col("batch").alias("__b")), F.col(batch).cast("string") == F.col("__b"), "left_semi")
-        rows.write.mode("overwrite").parquet(f"{root}/rows/{part}")
-        changed.write.mode("overwrite").parquet(f"{root}/warnings/{part}")
+        rows = df.join(fresh.select(F.col("batch").alias("__unit")), "__unit", "left_semi").drop("__unit")
+        rows.write.mode("overwrite").parquet(f"{root}/rows/{folder}")
+        changed.write.mode("overwrite").parquet(f"{root}/warnings/{folder}")
         # last: the ledger marks the batches as applied
-        fresh.write.mode("overwrite").parquet(f"{root}/ledger/{part}")
+        fresh.write.mode("overwrite").parquet(f"{root}/ledger/{folder}")
 
     return apply
 

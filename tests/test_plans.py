@@ -9,6 +9,7 @@ import __spark_entry__ as entry_module
 from keelson.operators import diff, integrity, scripts
 from keelson.operators.batching import batch_rows
 from keelson.operators.ledger import ledger_transitions
+from keelson.sources.bundle import assign_ids
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,11 +30,11 @@ def test_text_jobs_stay_in_the_jvm(spark, name):
 
 def test_no_global_window_over_rows(spark):
     df = spark.range(100_000)
-    chunked = batch_rows(df, ["id"], 100, chunk=F.floor(F.col("id") / 1000))
-    for line in plan(chunked).splitlines():
-        if "Exchange SinglePartition" in line:
-            below = plan(chunked).split(line)[1]
-            assert "HashAggregate(keys=[__chunk" in below
+    for chunked in (batch_rows(df, ["id"], 100), assign_ids(df, 5, ["id"], "n"), batch_rows(df, ["id"], 100, chunk=F.floor(F.col("id") / 1000))):
+        text = plan(chunked)
+        singles = [line for line in text.splitlines() if "Exchange SinglePartition" in line]
+        # the only single task reads one row per chunk
+        assert len(singles) == 1 and text.split(singles[0])[1].lstrip().splitlines()[0].strip().startswith("+- HashAggregate(keys=[__chunk")
 
 
 def test_hot_job_is_spread_by_chunk(spark):

@@ -88,3 +88,33 @@ def test_a_repeated_epoch_overwrites_its_own_output(spark):
     assert sorted(r.v for r in spark.read.parquet(f"{root}/rows").collect()) == [1, 2, 3, 5]
     assert [r.batch for r in op.batch_warnings(spark, root).collect()] == ["y"]
     assert sorted(r.batch for r in op.batch_ledger(spark, root).collect()) == ["x", "y", "z"]
+
+
+def test_parts_of_a_split_batch_are_all_applied(spark):
+    root = fresh_path(spark, "split")
+    rows = [("d1", "f1", 1), ("d1", "f1", 2), ("d1", "f2", 3), ("d2", "f2", 4)]
+    df = spark.createDataFrame(rows, "batch string, file string, v int")
+    for run in ("a", "b"):
+        apply = op.apply_batches_once("batch", ["v"], root, run, part="file")
+        for epoch, file in enumerate(["f1", "f2"]):
+            apply(df.filter(F.col("file") == file), epoch)
+    assert sorted(r.v for r in spark.read.parquet(f"{root}/rows").collect()) == [1, 2, 3, 4]
+    apply(df.filter("file = 'f2' AND batch = 'd1'").withColumn("v", F.lit(9)), 7)
+    assert [r.batch for r in op.batch_warnings(spark, root).collect()] == ["d1\nf2"]
+
+
+def test_states_over_many_epochs_come_from_a_snapshot_and_a_few_steps(spark, monkeypatch):
+    import keelson.streaming.ledger as module
+
+    monkeypatch.setattr(module, "EPOCHS_PER_SNAPSHOT", 2)
+    path = fresh_path(spark, "stream")
+    actions = ["start", "fail", "retry", "complete", "start", "fail"]
+    for i, action in enumerate(actions):
+        sql = f"SELECT 'd' AS database, {i % 2} AS job, {i} AS event_id, '{action}' AS action, {BASE} + make_dt_interval(0, 0, {i}) + INTERVAL 0.000123 SECOND AS ts"
+        spark.sql(sql).coalesce(1).write.mode("append").parquet(path)
+    root = fresh_path(spark, "led")
+    drain(ledger_state_stream(read_stream(spark, path, "*.parquet", files_per_trigger=1), root), "led", spark)
+    want = ledger.ledger_state(spark.read.parquet(path)).collect()
+    assert {r.job: r.state for r in stream_states(spark, root).collect()} == {r.job: r.status for r in want}
+    # the newest event is folded too
+    assert stream_moves(spark, root).count() == len(actions)

@@ -164,10 +164,20 @@ def test_cycles(spark):
     assert sorted(r.node for r in graph.dependency_cycles(nodes, edges).collect()) == ["a", "b", "c"]
     with pytest.raises(graph.CycleError) as e:
         graph.dependency_levels(nodes, edges)
-    assert e.value.members == ["a", "b", "c", "d"]
+    assert e.value.members == ["a", "b", "c"]
     assert graph.dependency_cycles(nodes, edges.filter("child <> 'c'")).isEmpty()
 
 
+def test_nodes_between_cycles_are_on_none(spark):
+    pairs = [("a", "b"), ("b", "a"), ("c", "a"), ("e", "c"), ("d", "e"), ("e", "d"), ("z", "d"), ("b", "y")]
+    nodes = spark.createDataFrame([(n,) for n in "abcdeyz"], "node string")
+    edges = spark.createDataFrame(pairs, "child string, parent string")
+    assert sorted(r.node for r in graph.dependency_cycles(nodes, edges).collect()) == ["a", "b", "d", "e"]
+    with pytest.raises(graph.CycleError) as e:
+        graph.dependency_levels(nodes, edges)
+    assert e.value.members == ["a", "b"]
+
+
 ROUTED = [(k, t, "sync" if t == "small_table" else "async") for k in stats.EXPENSIVE for t in ("posts", "small_table")] + [
     ("create_table", "posts", "sync"), ("add_unique", "posts", "sync"), ("add_check_not_valid", "posts", "sync"),
     ("insert_values", "posts", "sync"), ("update", "unknown", "sync"),
