@@ -47,7 +47,7 @@ from keelson.plans.durable import fresh_path, written
 
 WORD_BITS = 48
 START, END = np.uint64(2**WORD_BITS - 1), np.uint64(2**WORD_BITS - 2)
-BLOCK_TOKENS, CHARS_PER_CELL, WINDOW = 2_000_000, 60_000_000, 1 << 21
+BLOCK_TOKENS, CHARS_PER_CELL, WINDOW = 2_000_000, 20_000_000, 1 << 21
 SAMPLE_ROWS = 2_000
 BURN_IN, SAMPLES, STRENGTH = 3, 3, 1.0
 LISTED, MOVES = 4096, 128
