@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.llm.common import table
-from keelson.llm.tokens import encoded
+from keelson.llm.tokens import encoded, slices
 from keelson.plans.durable import written
 
 CAPACITY, ROWS_PER_BLOCK = 1024, 20_000
@@ -144,7 +144,7 @@ def place(ranked: DataFrame, plan: Plan) -> DataFrame:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_ranks = {k: np.array([r[0] for r in runs]) for k, runs in plan.runs.items()}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for key, start, n, total, ids, width, rank in zip(*[c.to_pylist() for c in batch.columns]):
                 if rank < plan.tail_rank[n]:
@@ -192,7 +192,7 @@ def with_checksums(pieces: DataFrame) -> DataFrame:
     """Pieces with ``ids_crc32`` of their ids as 32-bit integers in place of the ids."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             *kept, ids, widths = batch.columns
             crc = [
                 zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes())

@@ -18,7 +18,7 @@ import tokenizers
 
 _RUNS = re.compile(r"\s\s|^\s|\s$")
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
-MAX_PIECES = 600_000
+MAX_PIECES, ROWS_AT_ONCE = 400_000, 400
 _ENDS = frozenset(".,;:!?")
 # above this, lower case and normal forms may depend on the neighbours of a letter
 _PLAIN_LETTERS = "\u0130"
@@ -103,9 +103,16 @@ def encoder(file: str) -> Encoder:
     return kept[file]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a few hundred rows, so that little is held as Python objects at a time."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], file: str, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], str]]:
-    """Each batch with the ids of its texts; a NULL text is empty."""
+    """Parts of the batches with the ids of their texts; a NULL text is empty."""
     encode = encoder(file)
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        yield batch, [encode(t) if t else b"" for t in texts], encode.dtype
+    for whole in batches:
+        for batch in slices(whole):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            yield batch, [encode(t) if t else b"" for t in texts], encode.dtype
