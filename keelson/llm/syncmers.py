@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keelson.llm.common import table
 from keelson.llm.ranges import id_ranges
@@ -109,19 +108,17 @@ def followed(docs: DataFrame, rows_per_range: int) -> tuple[DataFrame, int]:
     """
     ranged, n = id_ranges(docs, "doc_id", rows_per_range)
     firsts = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"))
-    # one row per range from here on, so this window and the broadcast have n rows
-    order = Window.orderBy("range")
-    everywhere = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = firsts.select(
-        F.coalesce(F.lag("range").over(order), F.max("range").over(everywhere)).alias("to"),
-        F.col("range").alias("of"),
-        F.col("first.doc_id").alias("head"),
-    )
+    # one row per range, as many as there are borders
+    heads = [(r["range"], r["first"]["doc_id"]) for r in firsts.orderBy("range").collect()]
+    before = [(at, heads[k - 1][0]) for k, (at, _) in enumerate(heads)]
+    is_head = F.col("doc_id").isin([key for _, key in heads if key is not None])
+    if any(key is None for _, key in heads):
+        is_head = is_head | F.col("doc_id").isNull()
     closing = (
-        ranged.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("range") == F.col("of")))
-        .groupBy("to", "doc_id")
+        ranged.filter(is_head)
+        .join(docs.sparkSession.createDataFrame(before, "range int, to int"), "range")
+        .groupBy(F.col("to").alias("range"), "doc_id")
         .agg(F.min("text").alias("text"))
-        .withColumnRenamed("to", "range")
     )
     rows = ranged.select("range", F.lit(0).alias("closing"), "doc_id", "text").union(
         closing.select("range", F.lit(1), "doc_id", "text")
