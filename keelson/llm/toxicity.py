@@ -8,6 +8,7 @@ scaled features. Scoring reads whole texts: a table from slot to weight, no shuf
 
 The fit uses a bounded sample: about ``max_labelled`` labelled rows, chosen by a hash of the
 id. Everything that reaches the driver is bounded by that parameter and by the number of slots.
+At most ``MAX_COLUMNS`` slots are kept, those whose shares differ most clearly.
 
 NULL and empty texts have no n-grams and get the score of the intercept. A NULL label is no
 label; of several labels of one id the highest counts. Without labels, or with one label only,
@@ -28,8 +29,8 @@ from keelson.llm.common import id_remainder, table
 
 SIZES, SLOT_BITS = (3, 4, 5, 6), 20
 MAX_LABELLED, SAMPLE_TASKS = 12_000, 8
-MIN_DOCS, MIN_Z, SMOOTHING = 3, 4.0, 1.0
-PENALTY, STEPS = 1.0, 400
+MIN_DOCS, MIN_Z, MAX_COLUMNS, SMOOTHING = 3, 4.0, 2_000, 1.0
+PENALTY, STEPS = 0.1, 300
 THRESHOLD = 0.7
 
 
@@ -139,6 +140,7 @@ def fit(
     p1, p0, both = in1 / n1, in0 / n0, (in0 + in1) / (n0 + n1)
     z = np.abs(p1 - p0) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n0 + 1 / n1))
     kept = np.flatnonzero((in0 + in1 >= MIN_DOCS) & (z >= MIN_Z))
+    kept = np.sort(kept[np.lexsort((kept, -z[kept]))[:MAX_COLUMNS]])
     if not len(kept):
         return nothing
     a1, a0 = (in1[kept] + SMOOTHING) / (n1 + 2 * SMOOTHING), (in0[kept] + SMOOTHING) / (n0 + 2 * SMOOTHING)
