@@ -326,8 +326,8 @@ class Cell:
         us, ws, seen, self.docs = [], [], [], []
         for data in blobs:
             u, runs, words, at, tc, *rest = unpack(data)
-            us.append(np.repeat(u, runs))
-            ws.append(words[at])
+            us.append(np.repeat(u, runs.astype(np.int64)))
+            ws.append(words[at.astype(np.int64)])
             seen.append(tc.astype(np.int64))
             if keep_documents:
                 self.docs.append(rest)
@@ -515,9 +515,9 @@ def score_cell(cells: int, facts: dict):
         for block, length, (per_pair, number, counts, have, keys, known) in zip(
             blocks.column("block").to_pylist(), cell.lengths, cell.docs
         ):
-            pair = np.repeat(cell.pair_of[at : at + length], per_pair)
+            pair = np.repeat(cell.pair_of[at : at + length], per_pair.astype(np.int64))
             at += length
-            counts = counts.astype(np.int64)
+            counts, number = counts.astype(np.int64), number.astype(np.int64)
             add = lambda x: np.bincount(number, x, len(have))
             ids = pa.array(keys.astype(np.uint64).view(np.int64), mask=known == 0)
             out.append(

@@ -174,8 +174,12 @@ def secret_spans(text: Column, how: Entropy = Entropy()) -> Column:
 
 def redact(text: Column, mark: str = "[SECRET]", how: Entropy = Entropy()) -> Column:
     """``text`` with every secret replaced, kind after kind; NULL stays NULL."""
+
+    def without(text: Column, pattern: str, keep) -> Column:
+        return let(text, lambda t: F.when(F.rlike(t, F.lit(pattern)), _joined(_pieces(t, pattern, keep), mark)).otherwise(t))
+
     for pattern, keep in _searches(how):
-        text = let(text, lambda t, p=pattern, k=keep: F.when(t.rlike(p), _joined(_pieces(t, p, k), mark)).otherwise(t))
+        text = without(text, pattern, keep)
     return text
 
 

