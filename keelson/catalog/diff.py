@@ -57,6 +57,37 @@ def _(t):
     return op.diff_summary(customer_diff(t))
 
 
+@query(
+    "diff_lines",
+    f"""
+    SELECT c_custkey, kind || ' ' || c_custkey || CASE WHEN changed <> '' THEN ': ' || replace(changed, ',', ', ') ELSE '' END AS line
+    FROM ({DIFF_SQL})
+    """,
+)
+def _(t):
+    return op.diff_lines(customer_diff(t), ["c_custkey"])
+
+
+@query(
+    "table_diff_lineitem",
+    """
+    WITH l AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_quantity) AS q, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+    r AS (SELECT l_orderkey, l_linenumber, count(*) AS n,
+            min(CASE WHEN l_partkey % 11 = 0 THEN l_quantity + 1 ELSE l_quantity END) AS q, min(l_partkey) AS p
+          FROM lineitem WHERE l_partkey % 13 > 0 GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, CASE WHEN l.n > 1 OR r.n > 1 THEN 'duplicate' WHEN r.n IS NULL THEN 'removed' ELSE 'modified' END AS kind,
+      CASE WHEN l.n = 1 AND r.n = 1 THEN 'l_quantity' ELSE '' END AS changed
+    FROM l LEFT JOIN r USING (l_orderkey, l_linenumber) WHERE l.n > 1 OR r.n IS NULL OR l.q <> r.q
+    """,
+)
+def _(t):
+    """The declared key of lineitem repeats; such keys are told apart from real changes."""
+    old = t("lineitem")
+    new = old.filter("l_partkey % 13 > 0").withColumn("l_quantity", F.expr("CASE WHEN l_partkey % 11 = 0 THEN l_quantity + 1 ELSE l_quantity END"))
+    diff = op.table_diff(old, new, ["l_orderkey", "l_linenumber"])
+    return diff.withColumn("changed", F.array_join("changed", ","))
+
+
 SNAPSHOT = "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS s_nationkey FROM supplier"
 LIVE = f"SELECT * FROM ({SNAPSHOT}) WHERE s_suppkey % 9 <> 0"
 

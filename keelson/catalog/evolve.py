@@ -119,6 +119,16 @@ def _(t):
     return op.touch_on_update(old, t.spark.sql(_CUST_V2), ["c_custkey"], "version", "version + 100")
 
 
+@query("computed_column_virtual", "SELECT c_custkey, c_name, c_acctbal, upper(c_mktsegment) AS label FROM customer")
+def _(t):
+    """A computed column read through its view, and then frozen: the spec keeps it as a plain one."""
+    spec = SPECS["customer"].with_column(Column("label", "string", computed="upper(c_mktsegment)"))
+    op.computed_column(t("customer"), "label", spec.column("label").computed, "virtual", "customer_labelled")
+    frozen = op.freeze_computed(spec, "label")
+    kept = [c.name for c in frozen.insertable() if c.name in ("c_custkey", "c_name", "c_acctbal", "label")]
+    return t.spark.table("customer_labelled").select(*kept)
+
+
 @query(
     "computed_column",
     """

@@ -186,6 +186,29 @@ def _(t):
     return ledger.ready_set(jobs(t), job_ledger(t), "all")
 
 
+def _ready_sql(mode: str) -> str:
+    return f"""
+    {_CTX}, unmet AS (SELECT DISTINCT job FROM deps
+      WHERE dependency NOT IN (SELECT job FROM ledger WHERE status IN ('succeeded', 'recovered'))),
+    busy AS (SELECT DISTINCT "database" FROM ledger WHERE async AND status = 'pending')
+    SELECT "database", job, mode,
+           CASE WHEN job IN (SELECT job FROM unmet) THEN 'hold_dependency'
+                WHEN mode = 'async' AND "database" IN (SELECT "database" FROM busy) THEN 'hold_async'
+                WHEN squash THEN 'record' ELSE 'run' END AS action
+    FROM jobs WHERE job NOT IN (SELECT job FROM ledger) AND mode = '{mode}'
+    """
+
+
+@query("ready_set_sync", _ready_sql("sync"))
+def _(t):
+    return ledger.ready_set(jobs(t), job_ledger(t), "sync")
+
+
+@query("ready_set_async", _ready_sql("async"))
+def _(t):
+    return ledger.ready_set(jobs(t), job_ledger(t), "async")
+
+
 @query(
     "first_blocker",
     f"""
@@ -331,7 +354,21 @@ def _(t):
     return dedupe_names(parts, ["p_partkey"], "p_name", ["p_brand"]).drop("p_name")
 
 
-@query("dedupe_names_colliding")
+@query(
+    "dedupe_names_colliding",
+    """
+    WITH RECURSIVE p AS (SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_partkey) AS rn,
+      CASE WHEN p_partkey % 3 = 0 AND p_size BETWEEN 2 AND 9 THEN p_name || '_' || p_size ELSE p_name END AS name FROM part),
+    q AS (SELECT *, CASE WHEN regexp_matches(name, '^[0-9]') THEN '_' || name ELSE name END AS base FROM p),
+    b AS (SELECT q.*, (SELECT count(*) FROM q o WHERE starts_with(o.base, q.base)) AS near FROM q),
+    w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS pick
+      UNION ALL SELECT rn, list_append(used, pick), pick FROM (SELECT b.rn, w.used,
+        CASE WHEN NOT list_contains(w.used, b.base) THEN b.base ELSE b.base || '_' ||
+          list_min([i for i in range(2, b.near + 3) if NOT list_contains(w.used, b.base || '_' || i)]) END AS pick
+        FROM w JOIN b ON b.rn = w.rn + 1))
+    SELECT p_partkey, p_brand, name, pick AS unique_name FROM w JOIN b USING (rn)
+    """,
+)
 def _(t):
     """Sizes 2 to 9 leave their number in some names, so numbered and natural names meet."""
     name = F.expr("CASE WHEN p_partkey % 3 = 0 AND p_size BETWEEN 2 AND 9 THEN concat(p_name, '_', p_size) ELSE p_name END")

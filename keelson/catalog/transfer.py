@@ -15,7 +15,11 @@ from keelson.sources import bundle, script
 from keelson.sources.scan import scan_table
 from keelson.specs import Column, ForeignKey, TableSpec
 
-RELATED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+# every table, in the order in which they load
+RELATED = [
+    "benchmark", "conversations", "documents", "embeddings", "pages", "part", "region",
+    "labels", "nation", "customer", "supplier", "events", "orders", "lineitem",
+]
 _RELATED_COUNTS = "\nUNION ALL ".join(f"SELECT 'public.{n}' AS \"table\", count(*) AS rows FROM {n}" for n in RELATED)
 
 
@@ -39,8 +43,8 @@ def _exported(t: Tables) -> str:
 @query(
     "export_database",
     f"""
-    WITH c AS ({_RELATED_COUNTS}), o("table", load_order) AS (VALUES ('public.part', 0), ('public.region', 1),
-      ('public.nation', 2), ('public.customer', 3), ('public.supplier', 4), ('public.orders', 5), ('public.lineitem', 6))
+    WITH c AS ({_RELATED_COUNTS}), o("table", load_order) AS (VALUES
+      {", ".join(f"('public.{n}', {i})" for i, n in enumerate(RELATED))})
     SELECT CAST(o.load_order AS BIGINT) AS load_order, c."table", c.rows FROM c JOIN o USING ("table")
     """,
 )
@@ -58,8 +62,14 @@ def _(t):
 
 @query(
     "load_database",
-    f"SELECT \"table\", rows + CASE WHEN \"table\" = 'public.orders' THEN rows ELSE 0 END AS rows, "
-    f"CAST(0 AS BIGINT) AS orphans FROM ({_RELATED_COUNTS})",
+    f"""
+    WITH c AS ({_RELATED_COUNTS}), o("table", n) AS (
+      SELECT 'public.events', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)
+      UNION ALL SELECT 'public.labels', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+      UNION ALL SELECT 'public.orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
+    SELECT "table", rows + CASE WHEN "table" = 'public.orders' THEN rows ELSE 0 END AS rows, coalesce(n, 0) AS orphans
+    FROM c LEFT JOIN o USING ("table")
+    """,
 )
 def _(t):
     """Create, reload with truncation, then append one more table."""
@@ -129,6 +139,37 @@ def _(t):
     return script.read_sql_dump(t.spark, f"{out}/tables/*", spec).good
 
 
+@query("read_sql_dump_embeddings", "SELECT vec_id, embedding, label FROM embeddings")
+def _(t):
+    """Arrays of floats through a script."""
+    out = _script_round_trip(t, "embeddings")
+    return script.read_dump(t.spark, out, [SPECS["embeddings"]])["public.embeddings"].good
+
+
+NESTED_SPEC = TableSpec(
+    "nested",
+    (
+        Column("event_id", "bigint", False),
+        Column("times", "array<timestamp_ntz>"),
+        Column("counts", "map<int,string>"),
+        Column("pair", "struct<at:timestamp_ntz,m:map<int,array<double>>>"),
+    ),
+    ("event_id",),
+)
+
+
+@query("read_sql_dump_nested", "SELECT event_id, ts AS first_time, event_type AS label, value AS v, ts AS at FROM events")
+def _(t):
+    """Times with microseconds and maps with integer keys, inside arrays and structs."""
+    nested = t("events").selectExpr(
+        "event_id", "array(ts, NULL) AS times", "map(1, event_type) AS counts", "named_struct('at', ts, 'm', map(2, array(value))) AS pair"
+    )
+    out = fresh_path(t.spark, "script")
+    script.write_sql_dump({NESTED_SPEC.name: nested}, [NESTED_SPEC], out)
+    back = script.read_dump(t.spark, out, [NESTED_SPEC])[NESTED_SPEC.name].good
+    return back.selectExpr("event_id", "times[0] AS first_time", "counts[1] AS label", "pair.m[2][0] AS v", "pair.at AS at")
+
+
 TREE_SPEC = TableSpec(
     "part_tree",
     (Column("p_partkey", "bigint", False), Column("parent", "bigint")),

@@ -12,18 +12,58 @@ from keelson.functions.casts import cast_or_null
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
+# six digits, so that nothing of a time is cut
+_JSON = {
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "ignoreNullFields": "false",
+}
+
+
+def _without_maps(c: Column, dtype: T.DataType) -> tuple[Column, T.DataType]:
+    """A nested value with maps as arrays of entries, whose keys may be of any type."""
+    if isinstance(dtype, T.MapType):
+        entry = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
+        return _without_maps(F.map_entries(c), T.ArrayType(entry))
+    if isinstance(dtype, T.ArrayType):
+        inner = _without_maps(F.lit(None), dtype.elementType)[1]
+        return F.transform(c, lambda x: _without_maps(x, dtype.elementType)[0]), T.ArrayType(inner)
+    if isinstance(dtype, T.StructType):
+        parts = [(f.name, *_without_maps(c[f.name], f.dataType)) for f in dtype.fields]
+        made = F.struct(*[value.alias(name) for name, value, _ in parts])
+        return F.when(c.isNotNull(), made), T.StructType([T.StructField(n, t) for n, _, t in parts])
+    return c, dtype
+
+
+def _with_maps(c: Column, dtype: T.DataType) -> Column:
+    """The inverse of ``_without_maps``."""
+    if isinstance(dtype, T.MapType):
+        pair = lambda x: F.struct(
+            _with_maps(x["key"], dtype.keyType).alias("key"), _with_maps(x["value"], dtype.valueType).alias("value")
+        )
+        return F.map_from_entries(F.transform(c, pair))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _with_maps(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        made = F.struct(*[_with_maps(c[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+        return F.when(c.isNotNull(), made)
+    return c
+
+
 def to_text(c: Column, dtype: T.DataType) -> Column:
     """Any value as text: bytes as a backslash, x and hex digits, nested values as JSON."""
     if isinstance(dtype, T.BinaryType):
         return F.concat(F.lit(r"\x"), F.lower(F.hex(c)))
-    return F.to_json(c) if isinstance(dtype, _NESTED) else c.cast("string")
+    return F.to_json(_without_maps(c, dtype)[0], _JSON) if isinstance(dtype, _NESTED) else c.cast("string")
 
 
 def from_text(c: Column, dtype: T.DataType) -> Column:
     """The inverse of ``to_text``; NULL for text that is no such value."""
     if isinstance(dtype, T.BinaryType):
         return F.when(F.startswith(c, F.lit(r"\x")), F.unhex(F.substr(c, F.lit(3))))
-    return F.from_json(c, dtype) if isinstance(dtype, _NESTED) else cast_or_null(c, T.StringType(), dtype)
+    if isinstance(dtype, _NESTED):
+        return _with_maps(F.from_json(c, _without_maps(F.lit(None), dtype)[1], _JSON), dtype)
+    return cast_or_null(c, T.StringType(), dtype)
 
 
 def quote_literal(c: Column) -> Column:

@@ -15,6 +15,8 @@ from keelson.functions.hashing import compare_hash, hash_number, row_hash
 from keelson.plans.joins import match
 
 KINDS = ("added", "removed", "modified")
+# a key that a side has more than once; there is no single row to compare
+DUPLICATE = "duplicate"
 
 
 def _comparable(df: DataFrame) -> DataFrame:
@@ -26,8 +28,8 @@ def _comparable(df: DataFrame) -> DataFrame:
 def table_diff(left: DataFrame, right: DataFrame, key: list[str], compare: list[str] | None = None) -> DataFrame:
     """Rows ``(key…, kind, changed)`` that turn ``left`` into ``right``.
 
-    ``key`` must be unique on both sides. ``changed`` lists the differing columns of a
-    modified row in column order and is empty for added and removed rows.
+    ``changed`` lists the differing columns of a modified row in column order and is empty for
+    other kinds. A key that occurs more than once on a side is one row of kind ``duplicate``.
     """
     cols = compare or [c for c in left.columns if c in right.columns and c not in key]
     left, right = (_comparable(df.select(*key, *cols)) for df in (left, right))
@@ -36,22 +38,26 @@ def table_diff(left: DataFrame, right: DataFrame, key: list[str], compare: list[
         h1, h2 = compare_hash(cols) if cols else (F.lit(0).cast("bigint"),) * 2
         return df.select(*key, F.lit(side).alias("__side"), h1.alias("__h1"), h2.alias("__h2"))
 
-    def on(side: int, value: str | None = None) -> Column:
-        return F.max(F.when(F.col("__side") == side, F.col(value) if value else F.lit(True)))
+    def times(side: int) -> Column:
+        return F.count_if(F.col("__side") == side)
+
+    def on(side: int, value: str) -> Column:
+        return F.max(F.when(F.col("__side") == side, F.col(value)))
 
     per_key = (
         tagged(left, 0)
         .unionByName(tagged(right, 1))
         .groupBy(*key)
         .agg(
-            on(0).alias("__in_left"),
-            on(1).alias("__in_right"),
+            times(0).alias("__in_left"),
+            times(1).alias("__in_right"),
             *[on(s, h).alias(f"{h}_{s}") for s in (0, 1) for h in ("__h1", "__h2")],
         )
     )
     kind = (
-        F.when(F.col("__in_left").isNull(), "added")
-        .when(F.col("__in_right").isNull(), "removed")
+        F.when((F.col("__in_left") > 1) | (F.col("__in_right") > 1), DUPLICATE)
+        .when(F.col("__in_left") == 0, "added")
+        .when(F.col("__in_right") == 0, "removed")
         .when((F.col("__h1_0") != F.col("__h1_1")) | (F.col("__h2_0") != F.col("__h2_1")), "modified")
     )
     kinds = per_key.select(*key, kind.alias("kind")).filter("kind IS NOT NULL")

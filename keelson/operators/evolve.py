@@ -318,8 +318,14 @@ def expire_rows(
         return df
     if now is None:
         raise ValueError("now must be given")
-    expiry = F.expr(expression) if expression else F.col(ts) + F.expr(f"INTERVAL {after}")
-    return df.filter(expiry.isNull() | (expiry > now))
+    if expression:
+        expiry = F.expr(expression)
+        return df.filter(expiry.isNull() | (expiry > now))
+    expiry = F.col(ts) + F.expr(f"INTERVAL {after}")
+    # a bound on the bare column reaches the scan; months differ in length by days, hence its margin
+    bound = now - F.expr(f"INTERVAL {after}") - F.expr("INTERVAL 4 days")
+    near = F.col(ts).isNull() | (F.col(ts) > bound.cast(df.schema[ts].dataType))
+    return df.filter(near & (expiry.isNull() | (expiry > now)))
 
 
 @dataclass(frozen=True)
@@ -397,6 +403,13 @@ def evolve_table(df: DataFrame, spec: TableSpec, changes: list[Change]) -> Evolv
         problems += [f"column {n} is NOT NULL without a default and the table has rows" for n in bare]
     drops = [d.name for d in by_type.get(DropColumn, [])]
     problems += [f"column {n} is part of the primary key" for n in drops if n in spec.primary_key]
+    formulas = {c.name: c.computed for c in (*spec.columns, *adds)} | {c.name: c.expr for c in by_type.get(SetComputed, [])}
+    problems += [
+        f"column {n} is read by computed column {c}"
+        for n in drops
+        for c, e in formulas.items()
+        if c not in drops and _mentions(e, n)
+    ]
     if problems:
         raise EvolutionError(problems)
 

@@ -10,7 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from keelson.functions.hashing import compare_hash
+from keelson.plans.durable import written
 from keelson.specs import TableSpec, qualified
 
 
@@ -36,11 +39,20 @@ def pk_violations(df: DataFrame, pk: list[str]) -> DataFrame:
 
 
 def unique_violations(df: DataFrame, cols: list[str], where: str | Column | None = None) -> DataFrame:
-    """Groups of rows sharing a key; NULLs are distinct, ``where`` makes the key partial."""
-    rows = df.filter(where) if where is not None else df
-    return (
-        rows.filter(_all_set(cols)).groupBy(*cols).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
-    )
+    """Groups of rows sharing a key; NULLs are distinct, ``where`` makes the key partial.
+
+    Keys with texts are told apart by two 64-bit hashes first; only keys whose hashes occur
+    more than once are read again and compared as they are.
+    """
+    rows = (df.filter(where) if where is not None else df).filter(_all_set(cols))
+    if any(isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType)) for c in cols):
+        hashes = dict(zip(("__h1", "__h2"), compare_hash(cols)))
+        seen = rows.select(*[h.alias(n) for n, h in hashes.items()])
+        again = seen.groupBy("__h1", "__h2").agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+        # as a table it has a size, so a short list of suspects goes to the rows and not the other way round
+        again = written(again, "suspects")
+        rows = rows.select(*cols, *[h.alias(n) for n, h in hashes.items()]).join(again, ["__h1", "__h2"], "left_semi")
+    return rows.groupBy(*cols).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
 def nullable_unique_report(df: DataFrame, cols: list[str], guarded: list[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from keelson.operators.evolve import EvolutionError, conform_issues, conform_to_target
 from keelson.operators.graph import load_order
-from keelson.operators.integrity import fk_violations, not_null_violations
+from keelson.operators.integrity import fk_violations
 from keelson.plans.ordered import number_rows, plan_chunks
 from keelson.specs import TableSpec, qualified
 
@@ -132,9 +133,12 @@ def load_summary(spark: SparkSession, bundle: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class LoadResult:
+    """``sequences`` holds the last value per sequence; ``assign_ids`` goes on from there."""
+
     tables: int
     rows: int
     fk_violations: dict[str, DataFrame]
+    sequences: dict[str, int]
 
 
 def _exists(spark: SparkSession, path: str, spec: TableSpec) -> bool:
@@ -145,6 +149,22 @@ def _exists(spark: SparkSession, path: str, spec: TableSpec) -> bool:
         return False
 
 
+def _move_in(spark: SparkSession, staged: str, path: str, replace: bool) -> None:
+    """Make a staged table, or its files beside those that are there, the table at ``path``."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    source, table = path_of(staged), path_of(path)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if replace and fs.exists(table):
+        fs.delete(table, True)
+    if not fs.exists(table):
+        fs.mkdirs(table.getParent())
+        fs.rename(source, table)
+        return
+    for status in fs.listStatus(source):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), path_of(table, status.getPath().getName()))
+
+
 def load_database(
     spark: SparkSession, bundle: str, target: str, specs: list[TableSpec], mode: str = "append"
 ) -> LoadResult:
@@ -152,7 +172,9 @@ def load_database(
 
     Modes: ``append``, ``truncate`` (empty the bundle's tables first), ``create`` (the
     target must not exist) and ``dry-run``. Conformance errors are raised before anything
-    is written. Empty tables are neither written nor counted. Truncation is refused when a
+    is written. Every table is written once, under ``target/_staging-…``; a row that does not fit
+    leaves the target as it was, and the staged tables are moved in when all of them are whole. Empty
+    tables exist in the target but are not counted. Truncation is refused when a
     table outside the bundle references one inside it. After the load the foreign keys of
     the loaded tables are checked; the orphan rows come back lazily per key.
     """
@@ -170,7 +192,7 @@ def load_database(
     if problems:
         raise EvolutionError(problems)
     if mode == "dry-run":
-        return LoadResult(len(entries), sum(e["rows"] for e in entries.values()), {})
+        return LoadResult(len(entries), sum(e["rows"] for e in entries.values()), {}, manifest["sequences"])
     if mode == "truncate":
         outside = [
             f"{s.name} references {qualified(f.parent)}"
@@ -181,26 +203,30 @@ def load_database(
         ]
         if outside:
             raise EvolutionError(outside)
-    writer_mode = {"append": "append", "truncate": "overwrite", "create": "errorifexists"}[mode]
+    if mode == "create":
+        there = [n for n in entries if _exists(spark, f"{target}/{n}", by_name[n])]
+        if there:
+            raise EvolutionError([f"{n} exists in the target" for n in there])
+    staging = f"{target}/_staging-{uuid.uuid4().hex}"
     loaded = rows = 0
     for name in load_order([by_name[n] for n in entries]):
         entry, spec, shape = entries[name], by_name[name], shapes[name]
-        path = f"{target}/{name}"
         df = spark.read.schema(shape).parquet(f"{bundle}/data/{name}")
-        if entry["rows"] == 0:
-            if mode == "truncate" and _exists(spark, path, spec):
-                conform_to_target(df, spec).good.write.mode("overwrite").parquet(path)
-            continue
         if entry["self_columns"]:
             keys = [f for f in shape if f.name in (*spec.primary_key, *entry["self_columns"])]
             patch = spark.read.schema(T.StructType(keys)).parquet(f"{bundle}/patch/{name}")
             df = apply_patch(df, patch, list(spec.primary_key))
         split = conform_to_target(df, spec)
-        rejected = split.bad.take(1)
-        if rejected:
-            raise EvolutionError([f"{name}: rows do not fit the target, e.g. {rejected[0].asDict()}"])
-        split.good.write.mode(writer_mode).parquet(path)
-        loaded, rows = loaded + 1, rows + entry["rows"]
+        split.good.write.parquet(f"{staging}/{name}")
+        # counted from the footers of what was written
+        fitting = spark.read.schema(split.good.schema).parquet(f"{staging}/{name}").count()
+        if fitting < entry["rows"]:
+            example = [r.asDict() for r in split.bad.take(1)]
+            raise EvolutionError([f"{name}: {entry['rows'] - fitting} rows do not fit the target, e.g. {example}"])
+        if entry["rows"]:
+            loaded, rows = loaded + 1, rows + entry["rows"]
+    for name in entries:
+        _move_in(spark, f"{staging}/{name}", f"{target}/{name}", replace=mode == "truncate")
     present = {
         n: spark.read.schema(by_name[n].struct()).parquet(f"{target}/{n}")
         for n in {*entries, *(qualified(f.parent) for e in entries for f in by_name[e].foreign_keys)}
@@ -214,12 +240,4 @@ def load_database(
         for fk in by_name[name].foreign_keys
         if name in present and qualified(fk.parent) in present
     }
-    return LoadResult(loaded, rows, orphans)
-
-
-def required_self_columns(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """NULL counts of NOT NULL self columns, which must be zero again after the patch."""
-    cols = [c for c in spec.self_columns() if not spec.column(c).nullable]
-    return not_null_violations(df, cols) if cols else df.sparkSession.createDataFrame(
-        [], "column string, violations bigint"
-    )
+    return LoadResult(loaded, rows, orphans, manifest["sequences"])

@@ -192,55 +192,101 @@ def read_statements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 _NAME = r'"((?:[^"]|"")*)"'
-_TOKEN = re.compile(r"'((?:[^']|'')*)'|(NULL)\b|([(),])|([^\s(),']+)")
-_PAIR = re.compile(_NAME + r"\s*=\s*'((?:[^']|'')*)'")
+_CELL = r"'(?:[^']|'')*+'|NULL\b|[^\s(),';]++"
+_ROW = rf"\(\s*(?:{_CELL})(?:\s*,\s*(?:{_CELL}))*+\s*\)"
+_CELLS, _ROWS = re.compile(_CELL), re.compile(_ROW)
+_HEAD = re.compile(rf"INSERT INTO {_NAME}(?:\.{_NAME})?\s*\(([^)]*)\)\s*VALUES\s*")
+_PAIR = re.compile(_NAME + r"\s*=\s*'((?:[^']|'')*+)'")
+_UPDATE = re.compile(
+    rf"UPDATE {_NAME}(?:\.{_NAME})?\s+SET\s+{_PAIR.pattern}(?:\s*,\s*{_PAIR.pattern})*+\s+WHERE\s+{_PAIR.pattern}(?:\s+AND\s+{_PAIR.pattern})*+\s*"
+)
 
 
-def _statement_rows(text: str) -> list[tuple[list[str], list[str | None]]]:
-    """Column names and values of each row of one INSERT or UPDATE statement."""
+def _value(token: str) -> str | None:
+    if token[:1] == "'":
+        return token[1:-1].replace("''", "'")
+    return None if token == "NULL" else token
+
+
+def _statement_rows(text: str) -> list[tuple[list[str], list[str | None]]] | None:
+    """Column names and values of each row of one INSERT or UPDATE; None unless all of it is read."""
     if text.startswith("UPDATE"):
+        if not _UPDATE.fullmatch(text):
+            return None
         found = _PAIR.findall(text)
         return [([n.replace('""', '"') for n, _ in found], [v.replace("''", "'") for _, v in found])]
-    head, _, tail = text.partition(" VALUES")
-    names = [n.replace('""', '"') for n in re.findall(_NAME, head[head.index("(", head.index("INTO")) :])]
-    rows, row = [], None
-    for quoted, null, mark, bare in _TOKEN.findall(tail):
-        if mark == "(":
-            row = []
-        elif mark == ")":
-            rows.append((names, row))
-            row = None
-        elif mark == "" and row is not None:
-            row.append(None if null else bare if bare else quoted.replace("''", "'"))
-    return rows
+    head = _HEAD.match(text)
+    if not head:
+        return None
+    names = [n.replace('""', '"') for n in re.findall(_NAME, head[3])]
+    rows, at = [], head.end()
+    while True:
+        row = _ROWS.match(text, at)
+        if not row:
+            return None
+        cells = [_value(c) for c in _CELLS.findall(row[0][1:-1])]
+        if len(cells) != len(names):
+            return None
+        rows.append((names, cells))
+        gap = re.compile(r"\s*(,?)\s*").match(text, row.end())
+        at = gap.end()
+        if not gap[1]:
+            return rows if at == len(text) else None
 
 
 def _tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [r for text in batch["statement"] for r in _statement_rows(text)]
-        yield pd.DataFrame({"names": [r[0] for r in out], "cells": [r[1] for r in out]})
+        out = []
+        for text in batch["statement"]:
+            rows = _statement_rows(text)
+            out += [(n, c, None) for n, c in rows] if rows is not None else [(["-"], [None], text)]
+        yield pd.DataFrame(out, columns=["names", "cells", "unread"])
 
 
 def read_sql_dump(spark: SparkSession, paths: str | list[str], spec: TableSpec, command: str = "INSERT INTO") -> Rewrite:
     """Typed rows of one table from its statements; cells that do not fit are split off.
 
-    ``command='UPDATE'`` reads the patch rows instead.
+    A statement that is cut short or malformed gives no rows; it is a row of ``bad`` with its
+    text in ``unread``. ``command='UPDATE'`` reads the patch rows instead.
     """
     code = F.regexp_replace("statement", r"^(?:\s*+--[^\n]*+(?:\n|$)|\s++)*+", "")
     code = F.regexp_replace(code, r";\s*$", "")
     wanted = read_statements(spark, paths).select(code.alias("statement"))
     wanted = wanted.filter(F.startswith("statement", F.lit(f"{command} {quote_table(spec.name)}")))
-    cells = wanted.mapInPandas(_tokenize, "names array<string>, cells array<string>")
+    cells = wanted.mapInPandas(_tokenize, "names array<string>, cells array<string>, unread string")
     columns = [c for c in spec.insertable()]
     if command == "UPDATE":
         columns = [c for c in columns if c.name in (*spec.primary_key, *spec.self_columns())]
     by_name = F.map_from_arrays("names", "cells")
-    text = cells.select(*[F.element_at(by_name, F.lit(c.name)).alias(c.name) for c in columns])
+    text = cells.select(*[F.element_at(by_name, F.lit(c.name)).alias(c.name) for c in columns], "unread")
     good, bad = [], []
     for c in columns:
         cell = F.col(c.name)
         value = from_text(cell, c.data_type)
         good.append(value.alias(c.name))
         bad.append((value.isNull() & cell.isNotNull()) | too_long(cell, c.data_type))
-    flag = F.coalesce(any_of(bad), F.lit(False))
+    flag = F.coalesce(any_of(bad), F.lit(False)) | F.col("unread").isNotNull()
     return Rewrite(text.filter(~flag).select(*good), text.filter(flag))
+
+
+def read_dump(spark: SparkSession, path: str, specs: list[TableSpec], marker: str = MARKER) -> dict[str, Rewrite]:
+    """The tables of a script folder, checked against its header.
+
+    The header must be whole (marker, version, schema block), list the tables asked for, and
+    give the number of rows that each section has, misfits included.
+    """
+    header = read_header(spark, path, marker)
+    out, problems = {}, []
+    for spec in specs:
+        if spec.name not in header["rows"]:
+            problems.append(f"{spec.name} is not in the header")
+            continue
+        found = read_sql_dump(spark, f"{path}/tables/{spec.name}", spec)
+        unread = found.bad.filter("unread IS NOT NULL").count()
+        rows = found.good.count() + found.bad.filter("unread IS NULL").count()
+        if unread or rows != header["rows"][spec.name]:
+            problems.append(f"{spec.name}: {header['rows'][spec.name]} rows announced, {rows} read, {unread} statements unread")
+        out[spec.name] = found
+    if problems:
+        raise ScriptError("; ".join(problems))
+    return out
