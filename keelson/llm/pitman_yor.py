@@ -47,7 +47,7 @@ from keelson.plans.durable import fresh_path, written
 
 WORD_BITS = 48
 START, END = np.uint64(2**WORD_BITS - 1), np.uint64(2**WORD_BITS - 2)
-BLOCK_TOKENS, CHARS_PER_CELL, WINDOW = 2_000_000, 20_000_000, 1 << 21
+BLOCK_TOKENS, CHARS_PER_CELL, WINDOW = 1_800_000, 20_000_000, 1 << 21
 SAMPLE_ROWS = 2_000
 BURN_IN, SAMPLES, STRENGTH = 3, 3, 1.0
 LISTED, MOVES = 4096, 128
@@ -81,11 +81,15 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
+def unpack(data: bytes, first: int = 0, end: int | None = None) -> list[np.ndarray]:
+    """The packed arrays, or those with numbers from ``first`` to before ``end``."""
+    out, at, number = [], 0, -1
+    while at < len(data) and (end is None or number + 1 < end):
         kind, size, n, length = struct.unpack_from("<BBII", data, at)
-        at += 10
+        at, number = at + 10, number + 1
+        if number < first:
+            at += length
+            continue
         planes = np.frombuffer(pa.decompress(data[at : at + length], n * size, codec="zstd", asbytes=True), np.uint8)
         at += length
         a = np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(f"<{'f' if kind == 2 else 'u'}{size}")
@@ -323,29 +327,32 @@ class Cell:
     """All pairs of a cell, merged over its blocks."""
 
     def __init__(self, blobs: list[bytes], keep_documents: bool = False):
-        us, ws, seen, self.docs = [], [], [], []
+        us, ws, seen = [], [], []
         for data in blobs:
-            u, runs, words, at, tc, *rest = unpack(data)
+            u, runs, words, at, tc = unpack(data, 0, 5)
             us.append(np.repeat(u, runs.astype(np.int64)))
             ws.append(words[at.astype(np.int64)])
-            seen.append(tc.astype(np.int64))
-            if keep_documents:
-                self.docs.append(rest)
-        u, w, c = np.concatenate(us), np.concatenate(ws), np.concatenate(seen)
+            seen.append(tc.astype(np.int32))
         self.lengths = [len(x) for x in us]
+        u, w, c = np.concatenate(us), np.concatenate(ws), np.concatenate(seen)
+        del us, ws, seen
         order = np.lexsort((w, u))
-        u, w = u[order], w[order]
+        u, w, c = u[order], w[order], c[order]
         first = _runs(u, w)
         if keep_documents:
-            number = np.zeros(len(u), np.int64)
+            number = np.zeros(len(u), np.int32)
             number[first[1:]] = 1
-            self.pair_of = np.empty(len(u), np.int64)
-            self.pair_of[order] = np.cumsum(number)
-        self.u, self.w, self.c = u[first], w[first], np.add.reduceat(c[order], first)
+            self.pair_of = np.empty(len(u), np.int32)
+            self.pair_of[order] = np.cumsum(number, dtype=np.int32)
+            del number
+        del order
+        self.u, self.w, self.c = u[first], w[first], np.add.reduceat(c, first, dtype=np.int64)
+        del u, w, c
         self.words, self.word_of = np.unique(self.w, return_inverse=True)
+        self.word_of = self.word_of.astype(np.int32)
         starts = _runs(self.u)
         self.contexts = self.u[starts]
-        self.context_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(self.u))))
+        self.context_of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(self.u))))
         self.total = np.bincount(self.context_of, self.c, len(starts)).astype(np.int64)
         self.types = np.bincount(self.context_of, self.c > 0, len(starts)).astype(np.int64)
 
@@ -372,28 +379,30 @@ def count_cell(cells: int, hot: np.ndarray):
 
 
 def merge_words(key: tuple, rows: pa.Table) -> pa.Table:
-    """Words of a class with training count c and number of contexts k; their sums in ``sums``."""
-    parts = [unpack(x) for x in rows.column("data").to_pylist()]
+    """Of the words of a class: training counts c and numbers of contexts k, as row m; their sums, as
+    row s; and for every cell which of them it has, as rows q."""
+    cells, parts = rows.column("cell").to_pylist(), [unpack(x) for x in rows.column("data").to_pylist()]
     words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     c, k = (np.bincount(at, np.concatenate([p[i].astype(np.int64) for p in parts]), len(words)).astype(np.int64) for i in (1, 2))
     sums = pack(np.array([(c > 0).sum(), c.sum(), k.sum(), (k == 1).sum(), (k == 2).sum()]))
-    rows = [("m", pack(words, c, k)), ("s", sums)]
-    return pa.Table.from_pylist([{"kind": a, "key": key[0].as_py(), "cell": -1, "block": 0, "data": b} for a, b in rows], SCHEMA)
+    out = [("m", -1, pack(c, k)), ("s", -1, sums)]
+    out += [("q", cell, pack(np.searchsorted(words, p[0]))) for cell, p in zip(cells, parts)]
+    return pa.Table.from_pylist([{"kind": a, "key": key[0].as_py(), "cell": of, "block": 0, "data": b} for a, of, b in out], SCHEMA)
 
 
 def answer_cells(facts: dict, samples: int):
     """Per asking cell: c of its words, and per sample k and t in the parent restaurant.
 
-    Rows of kind m hold the class, rows of kind w ask, and rows of kind x hold, in the order
-    asked, the customers that sampled tables add, one array per sample.
+    Rows of kind m hold the class, rows of kind q what a cell asks for, and rows of kind x, in that order,
+    the customers that sampled tables add, one array per sample.
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        by: dict[str, dict[int, list]] = {"m": {}, "w": {}, "x": {}}
+        by: dict[str, dict[int, list]] = {"m": {}, "q": {}, "x": {}}
         for kind, cell, data in zip(*[rows.column(x).to_pylist() for x in ("kind", "cell", "data")]):
             by[kind][cell] = unpack(data)
-        words, c, k = by["m"][-1]
-        asked = {cell: np.searchsorted(words, x[0]) for cell, x in by["w"].items()}
+        c, k = by["m"][-1]
+        asked = {cell: x[0].astype(np.int64) for cell, x in by["q"].items()}
         ks, ts = [], []
         known = np.flatnonzero(c > 0)
         for s in range(samples):
@@ -404,7 +413,7 @@ def answer_cells(facts: dict, samples: int):
             seats = Seats(customers[known], new, facts["d1"], np.random.default_rng([11, s, key[0].as_py()]))
             for _ in range(BURN_IN):
                 seats.sweep()
-            t = np.zeros(len(words), np.int64)
+            t = np.zeros(len(c), np.int64)
             t[known] = seats.tables()
             ks.append(customers)
             ts.append(t)
@@ -479,12 +488,28 @@ def sample_cell(cells: int, facts: dict):
     return run
 
 
-SUMS = "block long, number int, doc_id long, n_tokens long, n_known long, base double, score double"
+SUMS = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def sum_blocks(key: tuple, rows: pa.Table) -> pa.Table:
+    """Per document of a block the sums over all cells, in the order of the cells."""
+    parts = [unpack(x) for _, x in sorted(zip(rows.column("cell").to_pylist(), rows.column("data").to_pylist()))]
+    n = 1 + max(int(p[0][-1]) for p in parts)
+    ids, known = np.zeros(n, np.uint64), np.zeros(n, bool)
+    sums = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)]
+    for have, keys, has_id, *values in parts:
+        have = have.astype(np.int64)
+        ids[have], known[have] = keys, has_id
+        for total, value in zip(sums, values):
+            total[have] += value.astype(total.dtype)
+    doc_ids = pa.array(ids.view(np.int64), mask=~known)
+    return pa.table([doc_ids, *[pa.array(x) for x in sums]], [c.split()[0] for c in SUMS.split(", ")])
 
 
 def score_cell(cells: int, facts: dict):
     def run(key: tuple, blocks: pa.Table, rest: pa.Table) -> pa.Table:
-        cell = Cell(blocks.column("data").to_pylist(), keep_documents=True)
+        blobs = blocks.column("data").to_pylist()
+        cell = Cell(blobs, keep_documents=True)
         by_class, tables = {}, None
         for kind, of, data in zip(*[rest.column(x).to_pylist() for x in ("kind", "key", "data")]):
             if kind == "t":
@@ -511,29 +536,20 @@ def score_cell(cells: int, facts: dict):
         N, V = facts["N"], facts["V"]
         log_base = np.log10((c_word + 0.1) / (N + 0.1 * (V + 1)))[cell.word_of]
         is_known = (c_word > 0)[cell.word_of]
+        del parent, own, n, p, t
         out, at = [], 0
-        for block, length, (per_pair, number, counts, have, keys, known) in zip(
-            blocks.column("block").to_pylist(), cell.lengths, cell.docs
-        ):
+        for block, length, data in zip(blocks.column("block").to_pylist(), cell.lengths, blobs):
+            per_pair, number, counts, have, keys, known = unpack(data, 5)
             pair = np.repeat(cell.pair_of[at : at + length], per_pair.astype(np.int64))
             at += length
             counts, number = counts.astype(np.int64), number.astype(np.int64)
             add = lambda x: np.bincount(number, x, len(have))
-            ids = pa.array(keys.astype(np.uint64).view(np.int64), mask=known == 0)
-            out.append(
-                pa.table(
-                    {
-                        "block": pa.array(np.full(len(have), block)),
-                        "number": pa.array(have.astype(np.int32)),
-                        "doc_id": ids,
-                        "n_tokens": add(counts).astype(np.int64),
-                        "n_known": add(counts * is_known[pair]).astype(np.int64),
-                        "base": add(counts * log_base[pair]),
-                        "score": add(counts * log_p[pair]),
-                    }
-                )
-            )
-        return pa.concat_tables(out)
+            sums = pack(
+                have, keys, known, add(counts).astype(np.int64), add(counts * is_known[pair]).astype(np.int64),
+                add(counts * log_base[pair]), add(counts * log_p[pair]),
+            )
+            out.append({"kind": "d", "key": 0, "cell": key[0].as_py(), "block": block, "data": sums})
+        return pa.Table.from_pylist(out, SCHEMA)
 
     return run
 
@@ -573,9 +589,8 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
     blocks = spark.table(name)
 
     counted = written(blocks.groupBy("cell").applyInArrow(count_cell(cells, hot), ROW), "counted")
-    asked = counted.filter("kind = 'w'")
-    merged = written(asked.groupBy("key").applyInArrow(merge_words, ROW), "merged")
-    held = merged.filter("kind = 'm'")
+    merged = written(counted.filter("kind = 'w'").groupBy("key").applyInArrow(merge_words, ROW), "merged")
+    held = merged.filter("kind in ('m', 'q')")
 
     sums = [unpack(r["data"])[0].astype(np.int64) for r in merged.filter("kind = 's'").select("data").collect()]
     V, N, K, k1, k2 = np.sum(sums, axis=0).tolist() if sums else [0] * 5
@@ -595,7 +610,7 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
         total = lambda i: np.sum([p[i].astype(np.int64) for p in parts], axis=0).tolist() if parts else [0] * SAMPLES
         return facts | {"K": total(0), "T": total(1)}
 
-    first = written(asked.union(held).groupBy("key").applyInArrow(answer_cells(facts, 1), ROW), "parent")
+    first = written(held.groupBy("key").applyInArrow(answer_cells(facts, 1), ROW), "parent")
     pairs = counted.filter("kind = 'p'")
     seated = written(
         pairs.union(first.filter("kind = 'a'")).groupBy("cell").applyInArrow(sample_cell(cells, settled(first)), ROW), "seated"
@@ -605,17 +620,12 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
         extra += np.array(unpack(r["data"]), np.float64).reshape(extra.shape)
     added = seated.filter("kind = 'x'")
     second = written(
-        asked.union(held).union(added).groupBy("key").applyInArrow(answer_cells(facts, SAMPLES), ROW), "parents"
+        held.union(added).groupBy("key").applyInArrow(answer_cells(facts, SAMPLES), ROW), "parents"
     )
     final = settled(second) | {"hot_extra": extra}
     rest = second.filter("kind = 'a'").union(seated.filter("kind = 't'"))
-    parts = blocks.groupBy("cell").cogroup(rest.groupBy("cell")).applyInArrow(score_cell(cells, final), SUMS)
-    summed = parts.groupBy("block", "number", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    )
+    parts = blocks.groupBy("cell").cogroup(rest.groupBy("cell")).applyInArrow(score_cell(cells, final), ROW)
+    summed = parts.groupBy("block").applyInArrow(sum_blocks, SUMS)
     return summed.select(
         "doc_id", "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), "base_score", "score"
     )
