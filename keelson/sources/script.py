@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -243,11 +244,18 @@ def _tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["names", "cells", "unread"])
 
 
-def read_sql_dump(spark: SparkSession, paths: str | list[str], spec: TableSpec, command: str = "INSERT INTO") -> Rewrite:
+@dataclass(frozen=True)
+class ScriptRows(Rewrite):
+    """``unread`` has the statements that are cut short or malformed."""
+
+    unread: DataFrame
+
+
+def read_sql_dump(spark: SparkSession, paths: str | list[str], spec: TableSpec, command: str = "INSERT INTO") -> ScriptRows:
     """Typed rows of one table from its statements; cells that do not fit are split off.
 
-    A statement that is cut short or malformed gives no rows; it is a row of ``bad`` with its
-    text in ``unread``. ``command='UPDATE'`` reads the patch rows instead.
+    A statement that is cut short or malformed gives no rows; it is a row of ``unread``.
+    ``command='UPDATE'`` reads the patch rows instead.
     """
     code = F.regexp_replace("statement", r"^(?:\s*+--[^\n]*+(?:\n|$)|\s++)*+", "")
     code = F.regexp_replace(code, r";\s*$", "")
@@ -265,11 +273,13 @@ def read_sql_dump(spark: SparkSession, paths: str | list[str], spec: TableSpec,
         value = from_text(cell, c.data_type)
         good.append(value.alias(c.name))
         bad.append((value.isNull() & cell.isNotNull()) | too_long(cell, c.data_type))
-    flag = F.coalesce(any_of(bad), F.lit(False)) | F.col("unread").isNotNull()
-    return Rewrite(text.filter(~flag).select(*good), text.filter(flag))
+    flag = F.coalesce(any_of(bad), F.lit(False))
+    read = text.filter("unread IS NULL").drop("unread")
+    unread = text.filter("unread IS NOT NULL").select(F.col("unread").alias("statement"))
+    return ScriptRows(read.filter(~flag).select(*good), read.filter(flag), unread)
 
 
-def read_dump(spark: SparkSession, path: str, specs: list[TableSpec], marker: str = MARKER) -> dict[str, Rewrite]:
+def read_dump(spark: SparkSession, path: str, specs: list[TableSpec], marker: str = MARKER) -> dict[str, ScriptRows]:
     """The tables of a script folder, checked against its header.
 
     The header must be whole (marker, version, schema block), list the tables asked for, and
@@ -282,8 +292,7 @@ def read_dump(spark: SparkSession, path: str, specs: list[TableSpec], marker: st
             problems.append(f"{spec.name} is not in the header")
             continue
         found = read_sql_dump(spark, f"{path}/tables/{spec.name}", spec)
-        unread = found.bad.filter("unread IS NOT NULL").count()
-        rows = found.good.count() + found.bad.filter("unread IS NULL").count()
+        unread, rows = found.unread.count(), found.good.count() + found.bad.count()
         if unread or rows != header["rows"][spec.name]:
             problems.append(f"{spec.name}: {header['rows'][spec.name]} rows announced, {rows} read, {unread} statements unread")
         out[spec.name] = found

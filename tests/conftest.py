@@ -17,6 +17,7 @@ def make_session():
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=os.path.join(ROOT, "spark-warehouse", "intermediate"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -71,3 +71,11 @@ def test_nested_columns(spark):
     other = spark.sql(text.replace("'b', 2", "'b', 3").replace("1D, NULL", "NULL, 1D"))
     assert op.table_diff(a, same, ["k"]).isEmpty()
     assert op.table_diff(a, other, ["k"]).first().changed == ["m", "x"]
+
+
+def test_repeated_keys_are_reported(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n"), (None, "n")], "k int, v string")
+    b = spark.createDataFrame([(1, "y"), (2, "q"), (None, "n")], "k int, v string")
+    for left, right in ((a, b), (b, a)):
+        got = {r.k: r.kind for r in op.table_diff(left, right, ["k"]).collect()}
+        assert got == {1: "duplicate", 2: "modified", None: "duplicate"}

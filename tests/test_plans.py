@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from keelson.operators import diff, integrity, scripts
 from keelson.operators.batching import batch_rows
+from keelson.operators.evolve import expire_rows
 from keelson.operators.ledger import ledger_transitions
 from keelson.sources.bundle import assign_ids
 
@@ -78,3 +79,17 @@ def test_waiver_text_filter_is_applied_before_splitting(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     tables = docs.select("doc_id", F.lit("t").alias("table"))
     assert "StringContains(text" in plan(scripts.extract_waivers(docs, "doc_id", "text", tables))
+
+
+def test_expiry_reaches_the_scan(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for after in ("7 days", "1 month"):
+        alive = expire_rows(events, "ts", after, F.expr("timestamp_ntz'2024-01-20 00:00:00'"))
+        pushed = re.search(r"PushedFilters: \[(.*)\]", plan(alive))[1]
+        assert "GreaterThan(ts" in pushed
+
+
+def test_texts_are_told_apart_by_hash_before_they_move(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = plan(integrity.unique_violations(docs, ["text"]))
+    assert "Exchange hashpartitioning(__h1" not in text and "BroadcastHashJoin" in text

@@ -116,7 +116,49 @@ def test_script_cells_that_do_not_fit(spark):
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
     spec = TableSpec("t", (Column("id", "bigint"), Column("n", "int")))
     out = script.read_sql_dump(spark, path, spec)
-    assert rows(out.good) == [(2, None)] and rows(out.bad) == [("1", "x")]
+    assert rows(out.good) == [(2, None)] and rows(out.bad) == [("1", "x")] and out.unread.isEmpty()
+
+
+@pytest.mark.parametrize("broken", [
+    """INSERT INTO "public"."t" ("id", "n") VALUES\n('1', '2'),\n('3""",
+    """INSERT INTO "public"."t" ("id", "n") VALUES\n('1', '2') x;\n""",
+    """INSERT INTO "public"."t" ("id", "n") VALUES\n('1');\n""",
+    """INSERT INTO "public"."t" ("id", "n") VALUES\n('1', '2'),;\n""",
+])
+def test_cut_or_malformed_statements_are_not_read(spark, broken):
+    path = fresh_path(spark, "s")
+    good = """INSERT INTO "public"."t" ("id", "n") VALUES\n('7', '8');\n"""
+    spark.createDataFrame([(good + broken,)], "value string").coalesce(1).write.text(path)
+    out = script.read_sql_dump(spark, path, TableSpec("t", (Column("id", "bigint"), Column("n", "int"))))
+    assert rows(out.good) == [(7, 8)] and out.bad.isEmpty() and out.unread.count() == 1
+
+
+def test_rows_announced_in_the_header_must_be_there(spark):
+    spec = TableSpec("t", (Column("id", "bigint", False),), ("id",))
+    out = fresh_path(spark, "s")
+    script.write_sql_dump({spec.name: spark.range(5).toDF("id")}, [spec], out)
+    assert script.read_dump(spark, out, [spec])[spec.name].good.count() == 5
+    more = """INSERT INTO "public"."t" ("id") VALUES\n('9');"""
+    spark.createDataFrame([(more,)], "value string").coalesce(1).write.mode("append").text(f"{out}/tables/public.t")
+    with pytest.raises(script.ScriptError, match="5 rows announced, 6 read"):
+        script.read_dump(spark, out, [spec])
+
+
+def test_a_misfit_leaves_the_target_as_it_was(spark):
+    a = TableSpec("a", (Column("x", "bigint", False),), ("x",))
+    b = TableSpec("b", (Column("x", "bigint", False), Column("y", "string")), ("x",))
+    empty = TableSpec("e", (Column("x", "bigint", False),), ("x",))
+    out, target = fresh_path(spark, "export"), fresh_path(spark, "target")
+    tables = {"a": spark.range(3).toDF("x"), "b": spark.sql("SELECT 1L AS x, 'long' AS y"), "e": spark.range(0).toDF("x")}
+    bundle.export_database(tables, [a, b, empty], out, sequences={"s": (tables["a"], "x")})
+    narrow = TableSpec("b", (Column("x", "bigint", False), Column("y", "varchar(2)")), ("x",))
+    with pytest.raises(Exception, match="do not fit"):
+        bundle.load_database(spark, out, target, [a, narrow, empty], "create")
+    result = bundle.load_database(spark, out, target, [a, b, empty], "create")
+    assert (result.tables, result.rows, result.sequences) == (2, 4, {"s": 2})
+    assert spark.read.parquet(f"{target}/public.e").count() == 0
+    ids = bundle.assign_ids(spark.range(2).toDF("k"), result.sequences["s"], ["k"], "x").collect()
+    assert sorted(r.x for r in ids) == [3, 4]
 
 
 @pytest.mark.parametrize("lines,message", [
