@@ -149,65 +149,104 @@ def suppress_issues(issues: DataFrame, waivers: DataFrame) -> DataFrame:
 REPORT_SCHEMA = "table string, constraint string, kind string, severity string, violations bigint"
 
 
+def _key_row(number: int, role: str, values: list[Column], when: Column) -> Column:
+    """One row of a constraint's key group: two 64-bit hashes stand for the key; NULL where left out."""
+    parts = [x for v in values for x in (v, v.isNull())]
+    row = F.struct(
+        F.lit(number).alias("number"),
+        F.xxhash64(*parts).alias("h1"),
+        F.xxhash64(F.lit("key"), *reversed(parts)).alias("h2"),
+        F.lit(1 if role == "parent" else 0).alias("parents"),
+        F.lit(0 if role == "parent" else 1).alias("rows"),
+        reduce(lambda x, y: x | y, [v.isNull() for v in values]).alias("has_null"),
+    )
+    return F.when(when, row)
+
+
+def _alike(child: DataFrame, cols: tuple[str, ...], parent: DataFrame, ref_cols: tuple[str, ...]) -> tuple[list, list]:
+    """The columns of both sides of a foreign key in one type, so that equal values hash alike."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    left, right = [], []
+    for c, p in zip(cols, ref_cols):
+        types = child.schema[c].dataType, parent.schema[p].dataType
+        kind = None if types[0] == types[1] else "bigint" if all(isinstance(t, whole) for t in types) else "string"
+        left.append(F.col(c).cast(kind) if kind else F.col(c))
+        right.append(F.col(p).cast(kind) if kind else F.col(p))
+    return left, right
+
+
 def constraint_report(tables: dict[str, DataFrame], specs: list[TableSpec]) -> DataFrame:
     """One row per declared constraint with the number of rows that break it.
 
-    NOT NULL and CHECK of a table share one wide aggregate. A unique key over nullable
+    NOT NULL and CHECK of a table share one wide aggregate. All keys of a table, its own and
+    those it refers to, are told apart by number in one pass, and the keys of all tables are
+    grouped in one shuffle of hashes. A unique key over nullable
     columns adds a warning row that counts the rows it cannot protect.
     """
     frames = {qualified(n): df for n, df in tables.items()}
-    parts: list[DataFrame] = []
-
-    def add(counted: DataFrame, table: str, constraint: str, kind: str, severity: str = "error"):
-        parts.append(
-            counted.select(
-                F.lit(table).alias("table"),
-                F.lit(constraint).alias("constraint"),
-                F.lit(kind).alias("kind"),
-                F.lit(severity).alias("severity"),
-                F.coalesce(F.col("v"), F.lit(0)).cast("bigint").alias("violations"),
-            )
-        )
+    counted: list[DataFrame] = []
+    keys: dict[str, list[Column]] = {}
+    named: list[tuple[int, str, str, str]] = []
+
+    def number(table: str, constraint: str, kind: str) -> int:
+        named.append((len(named), table, constraint, kind))
+        return len(named) - 1
 
-    total = F.sum("n_rows").alias("v")
     for spec in specs:
-        df = frames[spec.name]
+        df, own = frames[spec.name], keys.setdefault(spec.name, [])
         wide = [
-            (f"{c.name}_not_null", "not_null", F.col(c.name).isNull())
+            (f"{c.name}_not_null", "not_null", "error", F.col(c.name).isNull())
             for c in spec.columns
             if not c.nullable and c.name not in spec.primary_key
-        ] + [(c.name, "check", ~F.expr(c.expr)) for c in spec.checks]
-        if wide:
-            counts = df.agg(*[_count_if(cond).alias(f"c{i}") for i, (_, _, cond) in enumerate(wide)])
-            parts.append(
-                counts.select(
-                    F.inline(
-                        F.array(
-                            *[
-                                F.struct(
-                                    F.lit(spec.name).alias("table"),
-                                    F.lit(name).alias("constraint"),
-                                    F.lit(kind).alias("kind"),
-                                    F.lit("error").alias("severity"),
-                                    F.col(f"c{i}").alias("violations"),
-                                )
-                                for i, (name, kind, _) in enumerate(wide)
-                            ]
-                        )
-                    )
-                )
-            )
+        ] + [(c.name, "check", "error", ~F.expr(c.expr)) for c in spec.checks]
         if spec.primary_key:
-            add(pk_violations(df, list(spec.primary_key)).agg(total), spec.name, "primary", "primary_key")
+            k = number(spec.name, "primary", "primary_key")
+            own.append(_key_row(k, "own", [F.col(c) for c in spec.primary_key], F.lit(True)))
         for u in spec.uniques:
-            cols = list(u.columns)
-            add(unique_violations(df, cols, u.where).agg(total), spec.name, u.label, "unique")
+            cols, meant = list(u.columns), F.expr(u.where) if u.where else F.lit(True)
+            k = number(spec.name, u.label, "unique")
+            own.append(_key_row(k, "own", [F.col(c) for c in cols], meant & _all_set(cols)))
             if any(spec.column(c).nullable for c in cols):
-                rows = df.filter(u.where) if u.where else df
-                loose = rows.agg(_count_if(_any_null(cols)).alias("v"))
-                add(loose, spec.name, u.label, "nullable_unique", "warning")
+                wide.append((u.label, "nullable_unique", "warning", meant & _any_null(cols)))
         for fk in spec.foreign_keys:
-            parent = frames[qualified(fk.parent)]
-            orphans = _orphan_keys(df, parent, list(fk.columns), list(fk.parent_columns))
-            add(orphans.agg(total), spec.name, fk.label, "foreign_key")
-    return reduce(DataFrame.unionByName, parts)
+            to = qualified(fk.parent)
+            k = number(spec.name, fk.label, "foreign_key")
+            left, right = _alike(df, fk.columns, frames[to], fk.parent_columns)
+            own.append(_key_row(k, "own", left, _all_set(list(fk.columns))))
+            keys.setdefault(to, []).append(_key_row(k, "parent", right, _all_set(list(fk.parent_columns))))
+        if wide:
+            totals = df.agg(*[_count_if(cond).alias(f"c{i}") for i, (*_, cond) in enumerate(wide)])
+            rows = [
+                F.struct(
+                    F.lit(spec.name).alias("table"), F.lit(name).alias("constraint"), F.lit(kind).alias("kind"),
+                    F.lit(severity).alias("severity"), F.col(f"c{i}").alias("violations"),
+                )
+                for i, (name, kind, severity, _) in enumerate(wide)
+            ]
+            counted.append(totals.select(F.inline(F.array(*rows))))
+
+    if named:
+        spread = [frames[t].select(F.inline(F.array_compact(F.array(*rows)))) for t, rows in keys.items() if rows]
+        groups = (
+            reduce(DataFrame.union, spread)
+            .groupBy("number", "h1", "h2")
+            .agg(F.sum("parents").alias("parents"), F.sum("rows").alias("rows"), F.max("has_null").alias("has_null"))
+        )
+        kinds = groups.sparkSession.createDataFrame(named, "number int, table string, constraint string, kind string")
+        broken = (
+            F.when(F.col("kind") == "foreign_key", F.col("parents") == 0)
+            .when(F.col("kind") == "primary_key", F.col("has_null") | (F.col("rows") > 1))
+            .otherwise(F.col("rows") > 1)
+        )
+        per_key = (
+            groups.join(kinds.select("number", "kind"), "number")
+            .groupBy("number")
+            .agg(F.sum(F.when(broken, F.col("rows"))).alias("violations"))
+        )
+        counted.append(
+            kinds.join(per_key, "number", "left").select(
+                "table", "constraint", "kind", F.lit("error").alias("severity"),
+                F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"),
+            )
+        )
+    return reduce(DataFrame.unionByName, counted)
