@@ -31,7 +31,6 @@ probability of the uniform base. Repeated rows are scored one by one.
 
 from __future__ import annotations
 
-import math
 import re
 import struct
 from collections.abc import Iterator
@@ -476,13 +475,15 @@ def sample_cell(cells: int, facts: dict):
             if step >= BURN_IN:
                 kept.append(seats.tables())
                 added.append(np.bincount(at, kept[-1] - 1, len(words)).astype(np.int64))
-        extra = np.array([[np.bincount(np.searchsorted(hot, u[m]), t[m] - 1, len(hot)) if len(hot) else [] for m in [np.isin(u, hot)]][0] for t in kept])
+        shared = np.isin(u, hot)
+        spot = np.searchsorted(hot, u[shared])
+        extra = [np.bincount(spot, t[shared] - 1, len(hot)).astype(np.int64) for t in kept]
         out = [
             {"kind": "x", "key": of, "cell": number, "block": 0, "data": pack(*[a[spot] for a in added])}
             for of, spot in _by_class(words, cells)
         ]
         out.append({"kind": "t", "key": 0, "cell": number, "block": 0, "data": pack(*kept)})
-        out.append({"kind": "e", "key": 0, "cell": number, "block": 0, "data": pack(*extra.astype(np.int64))})
+        out.append({"kind": "e", "key": 0, "cell": number, "block": 0, "data": pack(*extra)})
         return pa.Table.from_pylist(out, SCHEMA)
 
     return run
