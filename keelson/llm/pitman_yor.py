@@ -46,7 +46,7 @@ from keelson.plans.durable import fresh_path, written
 
 WORD_BITS = 48
 START, END = np.uint64(2**WORD_BITS - 1), np.uint64(2**WORD_BITS - 2)
-BLOCK_TOKENS, CHARS_PER_CELL, WINDOW = 1_800_000, 20_000_000, 1 << 21
+BLOCK_TOKENS, CHARS_PER_CELL, WINDOW = 1_500_000, 15_000_000, 1 << 21
 SAMPLE_ROWS = 2_000
 BURN_IN, SAMPLES, STRENGTH = 3, 3, 1.0
 LISTED, MOVES = 4096, 128
@@ -358,6 +358,7 @@ class Cell:
 
 def count_cell(cells: int, hot: np.ndarray):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what Arrow keeps of the groups before
         number = key[0].as_py()
         cell = Cell(rows.column("data").to_pylist())
         c = np.bincount(cell.word_of, cell.c, len(cell.words)).astype(np.int64)
@@ -397,6 +398,7 @@ def answer_cells(facts: dict, samples: int):
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what Arrow keeps of the groups before
         by: dict[str, dict[int, list]] = {"m": {}, "q": {}, "x": {}}
         for kind, cell, data in zip(*[rows.column(x).to_pylist() for x in ("kind", "cell", "data")]):
             by[kind][cell] = unpack(data)
@@ -447,6 +449,7 @@ def _parent(k: np.ndarray, t: np.ndarray, facts: dict, s: int) -> np.ndarray:
 
 def sample_cell(cells: int, facts: dict):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what Arrow keeps of the groups before
         number, pairs, by_class = key[0].as_py(), None, {}
         for kind, of, data in zip(*[rows.column(x).to_pylist() for x in ("kind", "key", "data")]):
             if kind == "p":
@@ -509,6 +512,7 @@ def sum_blocks(key: tuple, rows: pa.Table) -> pa.Table:
 
 def score_cell(cells: int, facts: dict):
     def run(key: tuple, blocks: pa.Table, rest: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what Arrow keeps of the groups before
         blobs = blocks.column("data").to_pylist()
         cell = Cell(blobs, keep_documents=True)
         by_class, tables = {}, None
