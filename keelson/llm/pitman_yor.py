@@ -161,10 +161,12 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 def block_rows(block: int, ids: list, train: np.ndarray, parts: list, cells: int, hot: np.ndarray) -> list[dict]:
     context, word, doc = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()  # copied by now, and large
     cell = cells_of(context, word, cells, hot)
     order = np.lexsort((word, context))
     order = order[np.argsort(cell[order], kind="stable")]
     cell, context, word, doc = cell[order], context[order], word[order], doc[order]
+    del order
     rows = []
     borders = np.append(_runs(cell), len(cell))
     for lo, hi in zip(borders[:-1], borders[1:]):
