@@ -65,20 +65,11 @@ def item_sketches(items: DataFrame, size: int, threshold: float) -> DataFrame:
     return ranked.select("item", "h", F.greatest(F.col("kept") - may_miss(F.col("n")), F.lit(1)).alias("needed"))
 
 
-def contained_items(
-    docs: DataFrame,
-    items: DataFrame,
-    doc_id: str = "doc_id",
-    doc_text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    size: int = WORDS,
-    threshold: float = THRESHOLD,
+def _counted(
+    docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, size: int, threshold: float
 ) -> DataFrame:
-    """``doc_id, item_id, n_shingles, n_found, containment`` of pairs at or above ``threshold``.
-
-    Rows with a NULL document or item id take part and are returned with that NULL.
-    """
+    """``doc, item, n_shingles, n_found`` of pairs at or above ``threshold``; doc and item are
+    structs (id, of), where ``of`` is xxhash64 of the text."""
     # rows of one item id with different texts are different items
     listed = items.select(F.col(item_id).alias("id"), F.coalesce(item_text, F.lit("")).alias("text")).distinct()
     listed = listed.select(F.struct("id", F.xxhash64("text").alias("of")).alias("item"), "text")
@@ -99,12 +90,37 @@ def contained_items(
     in_item = candidates.join(item_shingles, "item").select(
         "doc", "item", F.size("all").alias("n_shingles"), F.explode("all").alias("s")
     )
-    counted = (
+    return (
         in_item.join(found_in.distinct(), ["doc", "s"])
         .groupBy("doc", "item", "n_shingles")
         .agg(F.count(F.lit(1)).alias("n_found"))
         .filter(F.col("n_found") >= F.ceil(F.col("n_shingles") * threshold - 1e-9))
     )
+
+
+def rows_with_items(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id",
+    item_text: str = "text", size: int = WORDS, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """``id, of`` of the documents that contain an item, once; ``of`` tells apart rows of one id, which may be NULL."""
+    return _counted(docs, items, doc_id, doc_text, item_id, item_text, size, threshold).select("doc.*").distinct()
+
+
+def contained_items(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    doc_text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    size: int = WORDS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """``doc_id, item_id, n_shingles, n_found, containment`` of pairs at or above ``threshold``.
+
+    Rows with a NULL document or item id take part and are returned with that NULL.
+    """
+    counted = _counted(docs, items, doc_id, doc_text, item_id, item_text, size, threshold)
     share = F.col("n_found") / F.col("n_shingles")
     best = counted.groupBy(F.col("doc.id").alias(doc_id), F.col("item.id").alias(item_id)).agg(
         F.max(F.struct(share.alias("containment"), "n_shingles", "n_found")).alias("best")
