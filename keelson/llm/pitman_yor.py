@@ -21,8 +21,10 @@ has, and is answered in the same order. All of it grows with the corpus and is d
 
 The conditional of a seat uses the parent's probabilities and the other restaurants' totals of
 the last exchange, as usual when restaurants are sampled in parallel. Dishes with more than
-``LISTED`` customers are not kept customer by customer: each sweep seats them anew in growing
-groups, whose new tables are a binomial draw.
+``MOVES`` customers are not kept customer by customer: each sweep draws their number of tables t
+from its whole law at the weight w of a new table, w^t times the generalized Stirling number of
+(customers, t). The law is counted exactly up to ``LISTED`` customers and carried on from there to its
+limit, in which t - 1 is a Poisson number of mean w / discount.
 
 Words are told apart by ``WORD_BITS`` of a hash: V words have about V * V / 2^49 collisions.
 A NULL or empty text is one end token. With nothing to learn from, every token has the
@@ -218,6 +220,32 @@ def make_blocks(docs: DataFrame, cells: int, hot: np.ndarray) -> DataFrame:
 # seating
 
 
+def seatings(customers: np.ndarray, discount: float, width: int) -> dict[int, np.ndarray]:
+    """By number of customers n: the log weight of all their seatings at 1, 2, ... ``width`` tables.
+
+    A seating weighs the product of (1 - d)(2 - d)...(size - 1 - d) over its tables; the next
+    customer joins one of t tables of n customers with weight n - d * t, or opens one. Beyond
+    ``LISTED`` customers the ratio of neighbouring weights goes on to its limit 1 / (d * t) as n^-d.
+    """
+    out, wanted, row = {}, set(customers.tolist()), np.full(width, -np.inf)
+    row[0] = 0.0
+    opened = discount * np.arange(1, width + 1)
+    for n in range(1, min(LISTED, int(customers.max())) + 1 if len(customers) else 0):
+        if n in wanted:
+            out[n] = row[:n].copy()
+        m = min(n + 1, width)
+        joined = row[:m] + np.log(np.maximum(n - opened[:m], 1e-300))
+        if n < LISTED:
+            row[1:m], row[0] = np.logaddexp(joined[1:], row[: m - 1]), joined[0]
+    large = [n for n in wanted if n > LISTED]
+    limit = -np.log(opened[:-1])
+    beyond = np.diff(row[:LISTED]) - limit[: LISTED - 1] if large else limit
+    for n in large:
+        steps = limit[: len(beyond)] + beyond * (n / LISTED) ** -discount
+        out[n] = np.concatenate([[0.0], np.cumsum(steps)])
+    return out
+
+
 class Seats:
     """Customers of many dishes at tables, each dish by itself; ``c`` customers, ``t`` tables."""
 
@@ -226,8 +254,9 @@ class Seats:
         self.rng, self.d = rng, discount
         self.order = np.argsort(-c, kind="stable")
         self.c = c[self.order].astype(np.int64)
-        self.many = int((self.c > LISTED).sum())
+        self.many = int((self.c > MOVES).sum())
         self.t = np.zeros(len(c), np.int64)
+        self.width, self.rows = 0, {}
         self.set_weight(new)
         n = self.c[self.many :]
         self.off = np.cumsum(n) - n
@@ -235,14 +264,9 @@ class Seats:
         label = (np.arange(total) - np.repeat(self.off, n)).astype(np.int32)
         self.table, self.sizes = np.zeros(total, np.int32), np.zeros(total, np.int32)
         self.free, self.where = label, label.copy()  # labels in use come first; where each label stands
-        for j in range(min(MOVES, int(n[0]) if len(n) else 0)):
+        for j in range(int(n[0]) if len(n) else 0):
             m = int(np.searchsorted(-n, -j, "left"))  # dishes with more than j customers
             self._join(m, np.full(m, j), np.full(m, j), everyone=True)
-        rest = np.flatnonzero(label >= MOVES)
-        if len(rest):
-            owner = np.repeat(self.off, n)[rest]
-            self.table[rest] = self.table[owner + rng.integers(0, MOVES, len(rest))]
-            np.add.at(self.sizes, owner + self.table[rest], 1)
         self._reseat_many()
 
     def set_weight(self, new: np.ndarray) -> None:
@@ -281,18 +305,27 @@ class Seats:
         self.free[o + last], self.where[o + gone] = gone, last
 
     def _reseat_many(self) -> None:
+        """Draws the tables of each dish of many customers, independently of the last draw."""
+        if not self.many:
+            return
         c, new = self.c[: self.many], self.new[: self.many]
-        n, t = np.ones(len(c), np.int64), np.ones(len(c), np.int64)
-        while (n < c).any():
-            group = np.minimum(np.maximum(n // 16, 1), c - n)
-            t += self.rng.binomial(group, new / (new + n - self.d * t))
-            n += group
-        self.t[: self.many] = t
+        wanted = 2 * int(new.max() / self.d) + 200
+        if wanted > self.width:  # some room, since weights grow with the tables of others
+            self.width = 2 * wanted
+            self.rows = seatings(np.unique(c), self.d, self.width)
+        starts = np.append(_runs(c), len(c))
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            row = self.rows[int(c[lo])][: 2 * int(new[lo:hi].max() / self.d) + 200]
+            count = np.arange(1, len(row) + 1)
+            for at in range(lo, hi, 256):
+                p = row + count * np.log(new[at : min(at + 256, hi), None])
+                p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), 1)
+                self.t[at : at + len(p)] = 1 + (p < self.rng.random((len(p), 1)) * p[:, -1:]).sum(1)
 
     def sweep(self) -> None:
-        """As many moves of random customers per dish as it has customers, at most MOVES."""
+        """As many moves of random customers per dish as it has customers; dishes of many anew."""
         n = self.c[self.many :]
-        for j in range(min(MOVES, int(n[0]) if len(n) else 0)):
+        for j in range(int(n[0]) if len(n) else 0):
             m = int(np.searchsorted(-n, -j, "left"))
             who = (self.rng.random(m) * n[:m]).astype(np.int64)
             self._leave(m, who)
