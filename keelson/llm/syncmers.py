@@ -3,9 +3,10 @@
 A k-mer of code points is chosen when its minimal inner s-mer lies at one of its edges. The
 choice looks at nothing outside the k-mer, so equal passages have equal anchors wherever they
 stand, and what is edited elsewhere doesn't move them. The anchors of a text are (position,
-hash) of its chosen k-mers; its fingerprint is the set of the smallest distinct hashes of all
-anchors of the whole text, as hex digits in ascending order. The likeness of two fingerprints
-is the share of common hashes among the smallest ones of both together.
+hash) of its chosen k-mers; its fingerprint is the set of all its distinct hashes, whatever its
+length, as hex digits in ascending order; the sketch is the smallest 64 of them. The likeness of two
+texts is the share of anchors that match among all anchors of both: equal hashes are paired in the
+order of their positions, and a pair counts where another one has the same offset.
 
 A text shorter than a k-mer, or with no chosen k-mer, is one anchor of all of it. NULL and
 empty texts have no anchors and an empty fingerprint; two empty fingerprints are alike (1).
@@ -79,26 +80,42 @@ def anchors(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
     return np.zeros(1, np.int64), np.array([whole], np.uint64)
 
 
-def sketch(points: np.ndarray, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:
-    """The smallest distinct anchor hashes, 32 bits each, ascending."""
-    hashes = (anchors(points, k, s)[1] >> np.uint64(32)).astype(np.uint32)
-    if len(hashes) > 8 * size:
-        few = np.unique(np.partition(hashes, 4 * size)[: 4 * size])
-        if len(few) >= size:
-            return few[:size]
-    return np.unique(hashes)[:size]
+def sketch(points: np.ndarray, k: int = K, s: int = S, size: int | None = None) -> np.ndarray:
+    """The distinct anchor hashes, 32 bits each, ascending; the smallest ``size`` of them if given."""
+    return distinct(anchors(points, k, s)[1])[:size]
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
 
 
 def as_text(values: np.ndarray) -> str:
     return values.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Resemblance of two texts estimated from their sketches; exact for sets up to ``size``."""
-    if not len(a) and not len(b):
+def keyed(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and a key of (hash, how many equal hashes stand before), by ascending key."""
+    at, hashes = found
+    order = np.argsort(hashes, kind="stable")
+    at, hashes = at[order], hashes[order]
+    n = np.arange(len(at))
+    new = np.ones(len(at), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    before = n - np.maximum.accumulate(np.where(new, n, 0))
+    key = _mix(hashes + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    return at[order], key[order]
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Matched anchors of two keyed texts among all anchors of both."""
+    if not len(a[0]) and not len(b[0]):
         return 1.0
-    both = np.union1d(a, b)[:size]
-    return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(both))
+    _, i, j = np.intersect1d(a[1], b[1], assume_unique=True, return_indices=True)
+    _, times = np.unique(b[0][j] - a[0][i], return_counts=True)
+    # one anchor alone has no other to agree with
+    matched = int(times[times > 1].sum()) if min(len(a[0]), len(b[0])) > 1 else len(i)
+    return matched / (len(a[0]) + len(b[0]) - matched)
 
 
 def followed(docs: DataFrame, rows_per_range: int) -> tuple[DataFrame, int]:
@@ -135,30 +152,34 @@ def fingerprint_edits(
     The edited text ends with the first floor(n/4) code points of the next document (by id,
     then text; the last one is followed by the first) in place of as many of its own.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sketch string, edited_sketch string"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
         names = [c.split()[0] for c in schema.split(", ")]
-        held = None  # the row before: range, id, points, sketch
-        for batch in batches:
-            out = []
-            for in_range, closing, key, content in zip(*[c.to_pylist() for c in batch.columns]):
-                points = code_points(content)
-                own = sketch(points, k, s, size)
-                if held is not None and held[0] == in_range:
-                    _, before_key, before, before_sketch = held
-                    m = len(before) // 4
-                    edited = np.concatenate([before[: len(before) - m], points[:m]])
-                    changed = sketch(edited, k, s, size)
-                    digest = hashlib.sha256(edited.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
-                    out.append(
-                        (before_key, len(before), digest.hexdigest(), as_text(before_sketch), as_text(changed),
-                         likeness(before_sketch, changed, size), likeness(before_sketch, own, size))
-                    )
-                held = None if closing else (in_range, key, points, own)
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        held = None  # the row before: range, id, points, hashes, keyed anchors
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):  # fingerprints are long
+                out = []
+                for in_range, closing, key, content in zip(*[c.to_pylist() for c in whole.slice(at, 500).columns]):
+                    points = code_points(content)
+                    found = anchors(points, k, s)
+                    own, own_keyed = distinct(found[1]), keyed(found)
+                    if held is not None and held[0] == in_range:
+                        _, before_key, before, before_own, before_keyed = held
+                        m = len(before) // 4
+                        edited = np.concatenate([before[: len(before) - m], points[:m]])
+                        found = anchors(edited, k, s)
+                        changed = distinct(found[1])
+                        digest = hashlib.sha256(edited.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
+                        out.append(
+                            (before_key, len(before), digest.hexdigest(), as_text(before_own), as_text(changed),
+                             likeness(before_keyed, keyed(found)), likeness(before_keyed, own_keyed),
+                             as_text(before_own[:size]), as_text(changed[:size]))
+                        )
+                    held = None if closing else (in_range, key, points, own, own_keyed)
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     pairs, n = followed(rows, rows_per_range)
