@@ -9,9 +9,11 @@ counts of missing rests are looked up, for phrases that can still matter, and sc
 Once a language has ``limit`` survivors, the last one's score settles how far the frontier must be
 expanded: the next wave takes every word whose bound reaches it, ties included, and is the last.
 
+Texts are split into words once and kept as numbered words of large parts; the passes read those.
 Tasks know what to count by filters of fixed size over hashes (no false negatives), so what is
 broadcast doesn't grow with the data; a false positive only costs a row that the exact join on
-the phrase itself drops. Counts are combined in the task before they are shuffled.
+the phrase itself drops. Counts are combined in the task before they are shuffled; phrases of two and
+three words are first counted by a hash alone, and only hashes that are frequent as phrases.
 
 A phrase is inside a longer one that is as frequent just when all its occurrences have the same
 neighbour on one side, within the piece. Neighbours are told apart by 64 bits of a hash; all
@@ -68,30 +70,38 @@ class Filter:
         return found
 
 
-def filter_of(phrases: DataFrame) -> Filter:
-    """The filter of ``lang, phrase``; at most 2**18 rows reach the driver, whatever the table's size."""
+def _filter(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> Filter:
+    """The filter of the ``hashes`` of all rows; at most 2**18 rows reach the driver, whatever the table's size."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
         for batch in batches:
-            hashes = np.zeros(batch.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                h = 0
-                for word in phrase.encode("utf-8", "surrogatepass").split(b" "):
-                    h = (h * int(_NEXT) + _hash(word)) % 2**64
-                hashes[i] = h ^ _hash(lang.encode())
-            for at in _bits(hashes):
+            for at in _bits(hashes(batch)):
                 np.bitwise_or.at(mine, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
         at = np.flatnonzero(mine)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(mine[at].view(np.int64))], ["at", "bits"])
 
-    parts = phrases.select("lang", "phrase").mapInArrow(words, "at int, bits long")
-    rows = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = rows.mapInArrow(words, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
-    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Filter(out)
 
 
+def filter_of(phrases: DataFrame) -> Filter:
+    """The filter of ``lang, phrase``."""
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(batch.num_rows, np.uint64)
+        for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            h = 0
+            for word in phrase.encode("utf-8", "surrogatepass").split(b" "):
+                h = (h * int(_NEXT) + _hash(word)) % 2**64
+            out[i] = h ^ _hash(lang.encode())
+        return out
+
+    return _filter(phrases.select("lang", "phrase"), hashes)
+
+
 class _Vocabulary(dict):
     """Word -> number in order of first sight; 0 is the end of a piece."""
 
@@ -105,13 +115,15 @@ class _Vocabulary(dict):
         return number
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Language, vocabulary and numbered words of large parts of the task's texts; pieces lie between zeros."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Large parts of the task's texts: language, the words of the part, and their numbers, pieces between zeros."""
     open_parts: dict[str, tuple[_Vocabulary, list[np.ndarray], list[int]]] = {}
 
     def close(lang: str):
         vocabulary, parts, _ = open_parts.pop(lang)
-        return lang, vocabulary.words, np.concatenate([*parts, np.zeros(1, np.int32)])
+        x = np.concatenate([*parts, np.zeros(1, np.int32)])
+        columns = [pa.array([lang], pa.string()), pa.array([b" ".join(vocabulary.words)], pa.binary()), pa.array([x.tobytes()], pa.binary())]
+        return pa.record_batch(columns, ["lang", "words", "x"])
 
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -140,22 +152,62 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[byt
         yield close(lang)
 
 
+def numbered_words(texts: DataFrame) -> DataFrame:
+    """``lang, words, x``: all texts split once, for the passes to come. A part has about two million words."""
+    return written(texts.mapInArrow(_numbered, "lang string, words binary, x binary"), "numbered-words")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    for batch in batches:
+        for lang, words, x in zip(*batch.columns):
+            yield lang.as_py(), words.as_py().split(b" "), np.frombuffer(x.as_buffer(), np.int32)
+
+
 def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
+def _word_counts(parts: DataFrame) -> DataFrame:
     """``lang, phrase, n`` of single words; a row without phrase has the number of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, x in _numbered(batches):
+        for lang, words, x in _parts(batches):
             n = np.bincount(x, minlength=len(words))
             n[0] = n[1:].sum()
             phrases = pa.concat_arrays([pa.nulls(1, pa.string()), _strings(words[1:])])
             yield pa.record_batch([pa.array([lang] * len(n), pa.string()), phrases, pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
 
-    parts = texts.mapInArrow(count, "lang string, phrase string, n long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    counted = parts.mapInArrow(count, "lang string, phrase string, n long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _places(lang: str, words: list[bytes], x: np.ndarray, wanted: list[tuple[int, int]], begun: Filter, often: Filter):
+    """Hashes of the words, and for each size the places where a wanted run starts with the hash of its known words."""
+    salt = np.uint64(_hash(lang.encode()))
+    hashes = np.array([_hash(w) for w in words], np.uint64)
+    good = often.has(hashes ^ salt)
+    good[0] = False
+    one_of = begun.has(hashes ^ salt) & good
+    good, h = good[x], hashes[x]
+    for size, known in wanted:
+        end = len(x) - size
+        if end < 1:
+            continue
+        # the first place is the end of a piece, so every run has a neighbour on both sides
+        fine = one_of[x[:end]] if known == 1 else good[:end].copy()
+        for k in range(1, size):
+            fine &= good[k : end + k]
+        at = np.flatnonzero(fine)
+        run = h[at]
+        for k in range(1, known):
+            run = run * _NEXT + h[at + k]
+        if known > 1:
+            passed = begun.has(run ^ salt)
+            at, run = at[passed], run[passed]
+        if len(at):
+            for k in range(known, size):
+                run = run * _NEXT + h[at + k]
+            yield size, at, run ^ salt, hashes
 
 
 def _runs(x: np.ndarray, at: np.ndarray, size: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,35 +225,27 @@ def _common(ids: np.ndarray, order: np.ndarray, starts: np.ndarray, hashes: np.n
     return np.where((low == high) & (low > 0), hashes[low], np.uint64(0)).view(np.int64)
 
 
-def _phrase_counts(texts: DataFrame, wanted: list[tuple[int, int]], known: Filter, frequent: Filter, least: int) -> DataFrame:
+def _frequent_hashes(parts: DataFrame, wanted: list[tuple[int, int]], known: Filter, frequent: Filter, least: int) -> Filter:
+    """The filter of the wanted runs whose hash occurs often enough: what is shuffled is a hash and a count."""
+    shared = parts.sparkSession.sparkContext.broadcast((known, frequent))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            for _, _, run, _ in _places(*part, wanted, *shared.value):
+                hashes, n = np.unique(run, return_counts=True)
+                yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    counted = parts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return _filter(counted.filter(F.col("n") >= least).select("h"), lambda batch: batch.column(0).to_numpy().view(np.uint64))
+
+
+def _phrase_counts(parts: DataFrame, wanted: list[tuple[int, int]], known: Filter, frequent: Filter, least: int) -> DataFrame:
     """Phrases of the sizes ``wanted`` (size, known words): the known first words are in ``known``, the rest frequent."""
-    shared = texts.sparkSession.sparkContext.broadcast((known, frequent))
+    shared = parts.sparkSession.sparkContext.broadcast((known, frequent))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, often = shared.value
-        for lang, words, x in _numbered(batches):
-            salt = np.uint64(_hash(lang.encode()))
-            hashes = np.array([_hash(w) for w in words], np.uint64)
-            good = often.has(hashes ^ salt)
-            good[0] = False
-            one_of = begun.has(hashes ^ salt) & good
-            good, h = good[x], hashes[x]
-            for size, first_words in wanted:
-                end = len(x) - size
-                if end < 1:
-                    continue
-                # the first place is the end of a piece, so every run has a neighbour on both sides
-                fine = one_of[x[:end]] if first_words == 1 else good[:end].copy()
-                for k in range(1, size):
-                    fine &= good[k : end + k]
-                at = np.flatnonzero(fine)
-                if first_words > 1:
-                    run = h[at]
-                    for k in range(1, first_words):
-                        run = run * _NEXT + h[at + k]
-                    at = at[begun.has(run ^ salt)]
-                if not len(at):
-                    continue
+        for lang, words, x in _parts(batches):
+            for size, at, _, hashes in _places(lang, words, x, wanted, *shared.value):
                 first, run = _runs(x, at, size, len(words))
                 order = np.argsort(run, kind="stable")
                 n = np.bincount(run)
@@ -211,10 +255,9 @@ def _phrase_counts(texts: DataFrame, wanted: list[tuple[int, int]], known: Filte
                 fixed = [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32))]
                 yield pa.record_batch([*fixed, _strings(phrases), *map(pa.array, (n, left, right))], ["lang", "size", "phrase", "n", "left", "right"])
 
-    parts = texts.mapInArrow(count, COUNTED)
     one_side = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)
-    counted = parts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), one_side("left"), one_side("right"))
-    return counted.filter(F.col("n") >= least)
+    counted = parts.mapInArrow(count, COUNTED).groupBy("lang", "size", "phrase")
+    return counted.agg(F.sum("n").alias("n"), one_side("left"), one_side("right")).filter(F.col("n") >= least)
 
 
 def _part(first: Column | int, size: Column | int) -> Column:
@@ -273,7 +316,8 @@ def mine_phrases(
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the first ``limit`` phrases of each language."""
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = written(_word_counts(texts).filter(f"phrase IS NULL OR n >= {least}"), "word-counts")
+    parts = numbered_words(texts)
+    counts = written(_word_counts(parts).filter(f"phrase IS NULL OR n >= {least}"), "word-counts")
     totals = counts.filter("phrase IS NULL").select("lang", "n")
     frequent = counts.filter("phrase IS NOT NULL").select("lang", "phrase", "n")
     often = filter_of(frequent)
@@ -286,7 +330,7 @@ def mine_phrases(
     def look_up(rests: DataFrame) -> DataFrame:
         rests = written(rests, "rests")
         sizes = [(k, k) for k in range(2, max_words)]
-        found = _phrase_counts(texts, sizes, filter_of(rests), often, least)
+        found = _phrase_counts(parts, sizes, filter_of(rests), often, least)
         return found.join(rests, ["lang", "phrase"], "left_semi").select("lang", "phrase", "n")
 
     best, settled, size = None, None, first_wave * limit
@@ -308,8 +352,12 @@ def mine_phrases(
             sizes = [s for s in sizes if s[0] <= max_words]
             if not sizes:
                 continue
-            # the filter lets some others through: growth is from what was really reached
-            level = _phrase_counts(texts, sizes, begun, often, least)
+            if sizes[0][0] < 4:  # many different runs, few of them frequent
+                begun = _frequent_hashes(parts, sizes, begun, often, least)
+                level = _phrase_counts(parts, [(k, k) for k, _ in sizes], begun, often, least)
+            else:
+                level = _phrase_counts(parts, sizes, begun, often, least)
+            # filters let some others through: growth is from what was really reached
             head = F.array_join(F.slice(F.split("phrase", " "), 1, sizes[0][1]), " ")
             level = level.withColumn("head", head).join(ahead.withColumnRenamed("phrase", "head"), ["lang", "head"], "left_semi").drop("head")
             level = written(level, "phrases")
