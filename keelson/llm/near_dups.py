@@ -232,6 +232,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def near_groups(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, per_shard: int = PER_SHARD
+) -> DataFrame:
+    """``id, of, component`` of every row; ``of`` is xxhash64 of its text, which tells apart rows of one id."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], ["id", "of", "fp"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
+    prints = cut(rows.mapInArrow(hashed, "id long, of long, fp long"))
+    roots = components(near_links(prints.select("fp").distinct(), radius, per_shard))
+    placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return placed.select("id", "of", F.coalesce("root", "fp").alias("component"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, per_shard: int = PER_SHARD
 ) -> DataFrame:
