@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import containment, packing, secrets, similar, toxicity
+from keelson.llm import containment, near_dups, packing, secrets, toxicity
 from keelson.llm.common import table
 from keelson.plans.durable import written
 
@@ -19,7 +19,7 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored below the threshold, by a classifier fitted on the labels of ``docs``."""
+    """Rows scored below the threshold, by a classifier fitted on the labels of ``docs``; a NULL text is scored as an empty one."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.below(docs.select(*DOCUMENT), model, toxicity.THRESHOLD)
 
@@ -27,9 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of every group of near copies, once.
 
-    Groups are linked by five-word shingles with a Jaccard similarity of at least 0.8.
+    Groups are the components of SimHash fingerprints of three-word shingles that differ in at
+    most three bits.
     """
-    groups = similar.similar_groups(docs)
+    groups = near_dups.near_groups(docs)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "of")).alias("row"))
     kept = first.select(F.col("row.id").alias("kept_id"), F.col("row.of").alias("kept_of"))
     rows = docs.select(*DOCUMENT, F.xxhash64("text").alias("of"))
