@@ -43,7 +43,8 @@ class Entropy:
         r"^[0-9_/+-]+$",
         r"^[A-Za-z]?[a-z]+$",
         r"^[A-Z]+$",
-        r"^[A-Za-z]?[a-z]*([-_/+]+[A-Za-z]?[a-z]*)+$",
+        # at least one dash, no digit, and upper case only at the start of a part; no repeated group, which would recurse
+        r"^(?!.*[0-9])(?!.*[A-Za-z][A-Z]).*[-_/+]",
         r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
         r"(?i)example|sample|placeholder|dummy",
     )

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from keelson.llm import containment, secrets, url_rules
 from tests.llm.shapes import documents, none_of
 
@@ -140,3 +142,31 @@ def test_clean_text_is_left_alone(spark):
     docs = documents(spark, [(1, clean)])
     assert secrets.scan_secrets(docs).first().spans == ""
     assert docs.select(secrets.redact(docs.text)).first()[0] == clean
+
+
+def test_secrets_in_very_long_texts(spark):
+    """No pattern recurses over a long candidate, and none ends the job."""
+    n = 2 * 2**20
+    shapes = ["a-" * n, "-" * n, "/a" * n, "z" * n, "A" * n, "0" * n, "ab " * n, "AKIA" + "A" * n, "password=" + "x" * n]
+    df = spark.createDataFrame(list(enumerate(shapes)), "doc_id long, text string").repartition(len(shapes))
+    found = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    assert found[0].spans == found[1].spans == found[2].spans == found[3].spans == found[6].spans == ""
+    assert found[5].n_hex == 1 and found[7].n_access == 1 and found[8].n_assign == 1
+    masked = {r.doc_id: r.n for r in df.select("doc_id", F.length(secrets.redact(df.text)).alias("n")).collect()}
+    assert masked[0] == 2 * n and masked[5] == masked[7] == masked[8] == len("[SECRET]")
+
+
+def test_dashed_words_are_allowed():
+    """The pattern without repeated groups allows the same candidates as the plain one."""
+    rng, allowed = random.Random(2), [p for p in secrets.Entropy().allow if "[-_/+]" in p]
+    for _ in range(20_000):
+        text = "".join(rng.choices("abAB7-_/+", [5, 5, 1, 1, 0.2, 1, 1, 1, 1], k=rng.randint(1, 12)))
+        plain = re.search(r"^[A-Za-z]?[a-z]*([-_/+]+[A-Za-z]?[a-z]*)+$", text)
+        assert bool(plain) == any(re.search(p, text) for p in allowed), text
+
+
+def test_sweeps_of_one_host_are_dealt_apart(spark):
+    keys = spark.createDataFrame([("a.com", f"/p{k}") for k in range(300)], "host string, path string")
+    plan = url_rules.match_rules(keys, url_rules.rule_table(spark, url_rules.RULES), 10)._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window [last") :]
+    assert "hashpartitioning(suffix" in window.split("Exchange", 1)[1][:60] and "sweep" in window.split("Exchange", 1)[1][:60]
