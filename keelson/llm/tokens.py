@@ -45,7 +45,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MAX_PIECES:
             self.clear()
-        if piece[-1:] in _ENDS and piece[:-1].isalpha():
+        if piece[-1:] in _ENDS and piece[:-1].isalpha() and max(piece) < _PLAIN_LETTERS:
             return self[piece[:-1]] + self.owner.whole[piece[-1]]
         if piece.isalpha() and max(piece) < _PLAIN_LETTERS:
             out = self.owner.letters(piece, self.prefix)

@@ -1,6 +1,7 @@
 """Tokenized output, packing and chat formatting: round trips and brute force."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -146,3 +147,15 @@ def test_digests_against_plain_python(spark):
         assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     none = none_of(df).withColumn("parts", chat.text_part(df.text))
     assert chat.digest_conversations(chat.format_turns(none)).count() == 0
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_letters_with_context(file):
+    """Letters whose lower case or normal form depends on their neighbours, before sentence marks too."""
+    path, rng = public_tokenizers.path(file), random.Random(8)
+    mine, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    letters = "\u0130\u0131\u03a3\u03c3\u0301\u0327\u00c5\u212b\u1e9e\ufb01\u0345\u1100\u1161\uac00aBz\u00e9\u4e2d.,;:!?  \n'9"
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 24))) for _ in range(20_000)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want) if np.frombuffer(mine(t), mine.dtype).tolist() != w.ids]
+    assert wrong == []
