@@ -128,8 +128,10 @@ def match_rules(keys: DataFrame, rules: DataFrame, keys_per_sweep: int = KEYS_PE
         F.lit(None).cast("string").alias("path"),
     )
     sweep = Window.partitionBy("suffix", "sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    # an exchange of its own: the rows come dealt by suffix, which would leave all sweeps of a host in one task
     swept = (
         dealt.union(repeated)
+        .repartition("suffix", "sweep")
         .withColumn("top", F.last("top", ignorenulls=True).over(sweep))
         .filter((F.col("kind") == KEY) & F.col("top.rule").isNotNull())
     )
