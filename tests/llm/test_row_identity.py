@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as pipeline
+from keelson.llm import near_dups
 from tests.llm.shapes import documents
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +19,10 @@ def left(df):
 
 def test_near_duplicates_by_row(spark, tmp_path):
     rng = random.Random(3)
-    a, b, c, d = (prose(rng) for _ in range(4))
+    # long, so that one word more moves at most three bits
+    a, b, c, d = (prose(rng, 4000) for _ in range(4))
+    for text, more in ((a, a + " one"), (c, c + " more")):
+        assert (near_dups.fingerprint(text) ^ near_dups.fingerprint(more)).bit_count() <= 3
     low, high = sorted([a + " one", b])
     rows = [(1, a), (2, low), (2, high), (None, c), (None, c), (None, c + " more"), (None, d), (3, d)]
     # of id 2 only the near copy of 1 goes, whether its text is the lesser one or not
