@@ -170,6 +170,45 @@ def _(t):
     return back.selectExpr("event_id", "times[0] AS first_time", "counts[1] AS label", "pair.m[2][0] AS v", "pair.at AS at")
 
 
+def _script_file(t: Tables, frames: dict, specs: list, **how) -> script.Script:
+    """A script of one text, written and read back."""
+    out = fresh_path(t.spark, "script-file")
+    script.write_script(frames, specs, out, **how)
+    return script.read_script(t.spark, out, specs)
+
+
+@query("read_script", "SELECT doc_id, text || ';' || chr(10) || chr(10) || '-- Table: x (1 rows)' || chr(10) || 'it''s' AS text, lang, source, n_chars FROM documents")
+def _(t):
+    """Three sections of one text; values hold separators, blank lines and section marks."""
+    text = F.concat("text", F.lit(";\n\n-- Table: x (1 rows)\nit's"))
+    specs = [SPECS["region"], SPECS["documents"], SPECS["nation"]]
+    frames = {s.name: t(s.name.split(".")[1]) for s in specs} | {"public.documents": t("documents").withColumn("text", text)}
+    return _script_file(t, frames, specs).tables["public.documents"].good
+
+
+@query(
+    "read_script_sections",
+    """
+    SELECT 'public.nation' AS name, count(*) AS announced, count(*) AS rows, CAST(NULL AS BIGINT) AS value FROM nation
+    UNION ALL SELECT 'public.customer', count(*), count(*), NULL FROM customer
+    UNION ALL SELECT 'public.orders', count(*), count(*), NULL FROM orders
+    UNION ALL SELECT 'orders_id', NULL, NULL, max(o_orderkey) FROM orders
+    UNION ALL SELECT 'customer_id', NULL, NULL, max(c_custkey) FROM customer
+    """,
+)
+def _(t):
+    """Rows announced and read per section of one compressed text, and its sequences."""
+    names = ["nation", "customer", "orders"]
+    marks = {"orders_id": t("orders").agg(F.max("o_orderkey")).first()[0], "customer_id": t("customer").agg(F.max("c_custkey")).first()[0]}
+    how = {"sequences": marks, "compression": "gzip", "schema_sql": "CREATE TABLE nation (n_name STRING); -- isn't all"}
+    read = _script_file(t, {SPECS[n].name: t(n) for n in names}, [SPECS[n] for n in names], **how)
+    values = t.spark.createDataFrame(list(read.sequences.items()), "name string, value bigint")
+    none = F.lit(None).cast("bigint")
+    return read.sections.select(F.col("table").alias("name"), "announced", "rows", none.alias("value")).union(
+        values.select("name", none, none, "value")
+    )
+
+
 TREE_SPEC = TableSpec(
     "part_tree",
     (Column("p_partkey", "bigint", False), Column("parent", "bigint")),
@@ -207,6 +246,13 @@ def _(t):
     return bundle.apply_patch(base, patch, ["p_partkey"])
 
 
+@query("read_script_self_ref", PART_TREE)
+def _(t):
+    """Inserts and updates of a self-referencing table in one section."""
+    read = _script_file(t, {TREE_SPEC.name: part_tree(t)}, [TREE_SPEC])
+    return bundle.apply_patch(read.tables[TREE_SPEC.name].good, read.patches[TREE_SPEC.name].good, ["p_partkey"])
+
+
 @query(
     "high_water_marks",
     """
