@@ -2,6 +2,10 @@
 
 Layout: ``manifest/`` (one JSON text file), ``data/<table>/`` and, for tables that point
 at themselves, ``patch/<table>/``.
+
+A restore can be cut off anywhere. All tables are staged under ``target/_load-…``; then one small file
+``target/load.commit`` appears by a rename and says what moves in. Before it nothing has changed; after it
+every move can be repeated, and ``recover`` (the first thing the next load does) finishes them.
 """
 
 from __future__ import annotations
@@ -9,11 +13,12 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +29,8 @@ from keelson.plans.ordered import number_rows, plan_chunks
 from keelson.specs import TableSpec, qualified
 
 FORMAT_VERSION = 1
+# tables written at a time; each is a job of its own
+WRITERS = 4
 
 
 def high_water_marks(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -69,6 +76,13 @@ def apply_patch(base: DataFrame, patch: DataFrame, pk: list[str]) -> DataFrame:
     )
 
 
+def _write_counted(df: DataFrame, path: str, codec: str = "snappy") -> int:
+    """Write ``df`` and return its number of rows, counted in the same pass."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", codec).parquet(path)
+    return seen.get["rows"]
+
+
 def export_database(
     tables: dict[str, DataFrame],
     specs: list[TableSpec],
@@ -93,9 +107,7 @@ def export_database(
         if self_cols:
             df, patch = export_self_ref(df, list(spec.primary_key), self_cols)
             patch.write.option("compression", codec).parquet(f"{out}/patch/{name}")
-        df.write.option("compression", codec).parquet(f"{out}/data/{name}")
-        # counted from the footers of what was written
-        rows = spark.read.schema(df.schema).parquet(f"{out}/data/{name}").count()
+        rows = _write_counted(df, f"{out}/data/{name}", codec)
         entries.append({"table": name, "rows": rows, "self_columns": self_cols, "schema": df.schema.jsonValue()})
     marks = {r["sequence"]: r["value"] for r in high_water_marks(sequences).collect()} if sequences else {}
     manifest = {
@@ -149,20 +161,59 @@ def _exists(spark: SparkSession, path: str, spec: TableSpec) -> bool:
         return False
 
 
-def _move_in(spark: SparkSession, staged: str, path: str, replace: bool) -> None:
-    """Make a staged table, or its files beside those that are there, the table at ``path``."""
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    source, table = path_of(staged), path_of(path)
-    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    if replace and fs.exists(table):
-        fs.delete(table, True)
-    if not fs.exists(table):
-        fs.mkdirs(table.getParent())
-        fs.rename(source, table)
-        return
-    for status in fs.listStatus(source):
-        if status.getPath().getName().startswith("part-"):
-            fs.rename(status.getPath(), path_of(table, status.getPath().getName()))
+class _Files:
+    """The few file operations of a restore, on any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, target: str):
+        # PySpark has no file API of its own; this is Hadoop's, which Spark's writers use
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self.path(path))
+
+    def names(self, path: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path(path))]
+
+    def rename(self, source: str, to: str) -> None:
+        self.fs.mkdirs(self.path(to).getParent())
+        if not self.fs.rename(self.path(source), self.path(to)):
+            raise OSError(f"cannot move {source} to {to}")
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.path(path), True)
+
+
+def _commit(spark: SparkSession, files: _Files, staging: str, target: str, tables: list[str], replace: bool) -> None:
+    """From here on the load is done or will be finished by ``recover``."""
+    plan = json.dumps({"staging": staging.rsplit("/", 1)[1], "tables": tables, "replace": replace})
+    spark.createDataFrame([(plan,)], "value string").coalesce(1).write.text(f"{staging}/_plan")
+    part = [n for n in files.names(f"{staging}/_plan") if n.startswith("part-")]
+    files.rename(f"{staging}/_plan/{part[0]}", f"{target}/load.commit")
+
+
+def recover(spark: SparkSession, target: str) -> bool:
+    """Finish a committed load that was cut off; whether there was one. May be repeated at any point."""
+    files, mark = _Files(spark, target), f"{target}/load.commit"
+    if not files.exists(mark):
+        return False
+    plan = json.loads(spark.read.text(mark).first()[0])
+    staging = f"{target}/{plan['staging']}"
+    for name in plan["tables"]:
+        staged, table = f"{staging}/{name}", f"{target}/{name}"
+        if not files.exists(staged):
+            continue  # moved in before
+        if plan["replace"] and files.exists(table):
+            files.rename(table, f"{staging}/_old/{name}")
+        if not files.exists(table):
+            files.rename(staged, table)
+            continue
+        for part in files.names(staged):
+            if part.startswith("part-"):
+                files.rename(f"{staged}/{part}", f"{table}/{part}")
+    files.delete(mark)
+    files.delete(staging)
+    return True
 
 
 def load_database(
@@ -172,9 +223,10 @@ def load_database(
 
     Modes: ``append``, ``truncate`` (empty the bundle's tables first), ``create`` (the
     target must not exist) and ``dry-run``. Conformance errors are raised before anything
-    is written. Every table is written once, under ``target/_staging-…``; a row that does not fit
-    leaves the target as it was, and the staged tables are moved in when all of them are whole. Empty
-    tables exist in the target but are not counted. Truncation is refused when a
+    is written. Every table is written once, under ``target/_load-…``; a row that does not fit
+    leaves the target as it was, and the staged tables are moved in when all of them are whole. A load that
+    was cut off after its commit is finished first, by any mode but ``dry-run``. Empty tables
+    exist in the target but are not counted. Truncation is refused when a
     table outside the bundle references one inside it. After the load the foreign keys of
     the loaded tables are checked; the orphan rows come back lazily per key.
     """
@@ -193,6 +245,7 @@ def load_database(
         raise EvolutionError(problems)
     if mode == "dry-run":
         return LoadResult(len(entries), sum(e["rows"] for e in entries.values()), {}, manifest["sequences"])
+    recover(spark, target)
     if mode == "truncate":
         outside = [
             f"{s.name} references {qualified(f.parent)}"
@@ -207,9 +260,9 @@ def load_database(
         there = [n for n in entries if _exists(spark, f"{target}/{n}", by_name[n])]
         if there:
             raise EvolutionError([f"{n} exists in the target" for n in there])
-    staging = f"{target}/_staging-{uuid.uuid4().hex}"
-    loaded = rows = 0
-    for name in load_order([by_name[n] for n in entries]):
+    staging = f"{target}/_load-{uuid.uuid4().hex}"
+
+    def stage(name: str) -> None:
         entry, spec, shape = entries[name], by_name[name], shapes[name]
         df = spark.read.schema(shape).parquet(f"{bundle}/data/{name}")
         if entry["self_columns"]:
@@ -217,16 +270,17 @@ def load_database(
             patch = spark.read.schema(T.StructType(keys)).parquet(f"{bundle}/patch/{name}")
             df = apply_patch(df, patch, list(spec.primary_key))
         split = conform_to_target(df, spec)
-        split.good.write.parquet(f"{staging}/{name}")
-        # counted from the footers of what was written
-        fitting = spark.read.schema(split.good.schema).parquet(f"{staging}/{name}").count()
+        fitting = _write_counted(split.good, f"{staging}/{name}")
         if fitting < entry["rows"]:
             example = [r.asDict() for r in split.bad.take(1)]
             raise EvolutionError([f"{name}: {entry['rows'] - fitting} rows do not fit the target, e.g. {example}"])
-        if entry["rows"]:
-            loaded, rows = loaded + 1, rows + entry["rows"]
-    for name in entries:
-        _move_in(spark, f"{staging}/{name}", f"{target}/{name}", replace=mode == "truncate")
+
+    order = load_order([by_name[n] for n in entries])
+    with ThreadPoolExecutor(WRITERS) as pool:
+        list(pool.map(stage, order))
+    _commit(spark, _Files(spark, target), staging, target, order, mode == "truncate")
+    recover(spark, target)
+    loaded, rows = sum(e["rows"] > 0 for e in entries.values()), sum(e["rows"] for e in entries.values())
     present = {
         n: spark.read.schema(by_name[n].struct()).parquet(f"{target}/{n}")
         for n in {*entries, *(qualified(f.parent) for e in entries for f in by_name[e].foreign_keys)}
