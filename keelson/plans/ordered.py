@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 64 * 2**20
-# ranges measured per chunk, so that a chunk misses its size by a fraction only
-_PARTS_PER_CHUNK = 4
+# so many borders at most, whatever the size of the table: they travel with the plan
+MAX_CHUNKS = 32_768
+# tuples drawn per chunk, so that a chunk misses its size by a fraction only, and bytes of them in all
+_DRAWN_PER_CHUNK, _DRAWN_BYTES = 32, 64 * 2**20
 _FORMATS = {
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
@@ -51,49 +53,44 @@ def _bytes(col: Column, dtype: T.DataType) -> Column:
     return F.lit(64 if isinstance(dtype, T.MapType) else 8)
 
 
-def _size(df: DataFrame) -> tuple[int, int]:
-    """Rows and about how many bytes, in one pass."""
-    width = F.lit(16)
-    for f in df.schema.fields:
-        width = width + _bytes(F.col(f"`{f.name}`"), f.dataType)
-    n, size = df.agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
-    return n, size or 0
+def _size(df: DataFrame, cols: list[str]) -> tuple[int, int, int]:
+    """Rows, about how many bytes, and how many of them in ``cols``, in one pass."""
+    width = {f.name: _bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+    total = lambda names: F.coalesce(F.sum(sum((width[c] for c in names), F.lit(16)).cast("bigint")), F.lit(0))
+    return df.agg(F.count(F.lit(1)), total(list(width)), total([c for c in width if c in cols])).first()
 
 
-def _borders(df: DataFrame, cols: list[str], chunks: int, per_chunk: float) -> list[str]:
-    """First tuples of all chunks but the first, as JSON. One row per measured range comes to the driver."""
-    ranges = df.select(*cols).repartitionByRange(chunks * _PARTS_PER_CHUNK, *cols)
+def _borders(df: DataFrame, cols: list[str], chunks: int, n: int, width: int) -> list[str]:
+    """First tuples of all chunks but the first, as JSON: quantiles of a uniform draw of the rows.
+
+    How many tuples reach the driver depends on ``chunks`` and their bytes only. Rows are drawn one by
+    one, so a tuple that most rows share weighs what it holds.
+    """
+    wanted = min(_DRAWN_PER_CHUNK * chunks, max(chunks, _DRAWN_BYTES * n // max(1, width)))
+    share = wanted / n
+    drawn = df.select(*cols) if share >= 1 else df.select(*cols).sample(share, seed=17)
     at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    measured = (
-        ranges.select(at.alias("at"), F.spark_partition_id().alias("part"))
-        .groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-        .orderBy("part")
-        .select("n", F.to_json("at", _FORMATS).alias("at"))
-    )
-    borders, rows = [], 0
-    for r in measured.collect():
-        if rows and rows + r["n"] / 2 > per_chunk:
-            borders.append(r["at"])
-            rows = 0
-        rows += r["n"]
-    return borders
+    found = [r["at"] for r in drawn.select(at.alias("at")).orderBy("at").select(F.to_json("at", _FORMATS).alias("at")).collect()]
+    picked = [found[k * len(found) // chunks] for k in range(1, chunks)] if found else []
+    # the first chunk has no border, and a tuple with the rows of several chunks is one border
+    return [b for before, b in zip([found[0] if found else None, *picked], picked) if b != before]
 
 
 def plan_chunks(df: DataFrame, order: list[str], rows_per_chunk: int | None = None, keys: list[str] = ()) -> Column:
     """Chunk expression with about equal bytes (or ``rows_per_chunk`` rows) per chunk.
 
-    Borders are tuples of all key and order columns, taken from ranges of the rows themselves
+    Borders are tuples of all key and order columns, taken from the rows themselves
     and compared as Spark compares structs, so NULLs, ties in the first columns and every
     orderable type are cut alike. They are part of the expression: every use cuts the same
     way. There are at least as many chunks as the session has shuffle partitions, if there are
-    rows for them. Only rows that agree in all these columns stay together at any size.
+    rows for them, and at most ``MAX_CHUNKS``: from there on chunks grow with the table, and their
+    sorts spill. Only rows that agree in all these columns stay together at any size.
     """
     spark, cols = df.sparkSession, [*keys, *order]
-    n, size = _size(df)
+    n, size, width = _size(df, cols)
     chunks = -(-n // rows_per_chunk) if rows_per_chunk else max(-(-size // CHUNK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = max(1, min(chunks, n))
-    borders = _borders(df, cols, chunks, n / chunks) if chunks > 1 else []
+    chunks = max(1, min(chunks, n, MAX_CHUNKS))
+    borders = _borders(df, cols, chunks, n, width) if chunks > 1 else []
     if not borders:
         # a column, as a literal key would be dropped and leave the rows in one task
         return F.pmod(F.hash(*cols), F.lit(1)).cast("bigint")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.operators.batching import batch_rows, dedupe_names
+from keelson.plans import ordered
 from keelson.plans.ordered import Running, number_rows, plan_chunks, with_running
 
 
@@ -161,3 +162,18 @@ def test_unique_names_match_a_sequential_scan(spark, seed):
     chunk = F.floor(F.col("i") / 4) if seed % 2 else None
     got = dedupe_names(df, ["i"], "name", ["g"], chunk=chunk)
     assert {(r.g, r.i): r.unique_name for r in got.collect()} == want
+
+
+def test_borders_do_not_grow_with_the_table(spark, monkeypatch):
+    """A few borders, from a few drawn rows, cut a table of many rows evenly; a hot tuple is one chunk."""
+    monkeypatch.setattr(ordered, "MAX_CHUNKS", 6)
+    df = spark.range(300_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS v", "cast(id AS string) AS s")
+    drawn = []
+    plain = ordered._borders
+    monkeypatch.setattr(ordered, "_borders", lambda *a: drawn.append(a) or plain(*a))
+    chunk = ordered.plan_chunks(df, ["v", "s"], rows_per_chunk=1000)
+    sizes = [r["n"] for r in df.groupBy(chunk.alias("c")).agg(F.count("*").alias("n")).collect()]
+    assert drawn[0][2] == 6 and len(sizes) == 6 and max(sizes) < 2 * min(sizes)
+    hot = ordered.plan_chunks(df, ["v"], rows_per_chunk=1000)
+    sizes = sorted(r["n"] for r in df.groupBy(hot.alias("c")).agg(F.count("*").alias("n")).collect())
+    assert len(sizes) <= 6 and 100_000 <= sizes[-1] < 160_000
