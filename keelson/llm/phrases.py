@@ -4,7 +4,7 @@ A phrase's score is the lowest over its cuts of 1000 * a * n / (l * r). A rest o
 as the whole (r >= a), so nothing that begins with the word w scores above 1000 * n / f(w): the
 count of the first prefix is an admissible bound. The frontier holds the frequent words that no
 phrase has been grown from yet. It is expanded best bound first, in waves over the whole table: a wave grows
-its words to two words, those that stay frequent to three, and those to four and five. Then the
+its words to two words, and those that stay frequent by one more at a time. Then the
 counts of missing rests are looked up, for phrases that can still matter, and scores are exact.
 Once a language has ``limit`` survivors, the last one's score settles how far the frontier must be
 expanded: the next wave takes every word whose bound reaches it, ties included, and is the last.
@@ -12,8 +12,8 @@ expanded: the next wave takes every word whose bound reaches it, ties included,
 Texts are split into words once and kept as numbered words of large parts; the passes read those.
 Tasks know what to count by filters of fixed size over hashes (no false negatives), so what is
 broadcast doesn't grow with the data; a false positive only costs a row that the exact join on
-the phrase itself drops. Counts are combined in the task before they are shuffled; phrases of two and
-three words are first counted by a hash alone, and only hashes that are frequent as phrases.
+the phrase itself drops. Counts are combined in the task before they are shuffled; a grown
+phrase is first counted by a hash alone, and only hashes that are frequent as phrases.
 
 A phrase is inside a longer one that is as frequent just when all its occurrences have the same
 neighbour on one side, within the piece. Neighbours are told apart by 64 bits of a hash; all
@@ -334,10 +334,10 @@ def mine_phrases(
         found = _phrase_counts(parts, sizes, filter_of(rests), often, least)
         return found.join(rests, ["lang", "phrase"], "left_semi").select("lang", "phrase", "n")
 
-    best, settled, size = None, None, first_wave * limit
+    best, settled, taken = None, None, first_wave * limit
     reached = totals.select("lang", F.lit(0).cast("long").alias("since"))
     while True:
-        by_count = steps.filter(F.col("words") >= size).groupBy("lang").agg(F.min("f").alias("enough"))
+        by_count = steps.filter(F.col("words") >= taken).groupBy("lang").agg(F.min("f").alias("enough"))
         goal = reached.join(by_count, "lang", "left").join(totals, "lang")
         upto = F.coalesce("enough", F.lit(2**62))
         if settled is not None:
@@ -349,17 +349,12 @@ def mine_phrases(
         if ahead.isEmpty():
             break
         begun, grown = filter_of(ahead), None
-        for sizes in ([(2, 1)], [(3, 2)], [(k, 3) for k in range(4, max_words + 1)]):
-            sizes = [s for s in sizes if s[0] <= max_words]
-            if not sizes:
-                continue
-            if sizes[0][0] < 4:  # many different runs, few of them frequent
-                begun = _frequent_hashes(parts, sizes, begun, often, least)
-                level = _phrase_counts(parts, [(k, k) for k, _ in sizes], begun, often, least)
-            else:
-                level = _phrase_counts(parts, sizes, begun, often, least)
+        for size in range(2, max_words + 1):
+            # many different runs, few of them frequent
+            runs = _frequent_hashes(parts, [(size, size - 1)], begun, often, least)
+            level = _phrase_counts(parts, [(size, size)], runs, often, least)
             # filters let some others through: growth is from what was really reached
-            head = F.array_join(F.slice(F.split("phrase", " "), 1, sizes[0][1]), " ")
+            head = F.array_join(F.slice(F.split("phrase", " "), 1, size - 1), " ")
             level = level.withColumn("head", head).join(ahead.withColumnRenamed("phrase", "head"), ["lang", "head"], "left_semi").drop("head")
             level = written(level, "phrases")
             grown = level if grown is None else grown.union(level)
@@ -371,7 +366,7 @@ def mine_phrases(
         best = written(_top(new if best is None else best.drop("rank").unionByName(new), limit), "best-phrases")
         settled = best.filter(F.col("rank") == limit).select("lang", "score")
         reached = goal.select("lang", F.greatest("since", "upto").alias("since"))
-        size *= GROWTH
+        taken *= GROWTH
     if best is None:
         return texts.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
