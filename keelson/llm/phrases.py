@@ -39,7 +39,7 @@ from keelson.plans.durable import written
 LIMIT, LEAST, WORDS = 2000, 100, 5
 FIRST_WAVE, GROWTH = 8, 8
 FILTER_BITS = 24
-_TEXT, _TOKENS, _VOCABULARY = 2**19, 700_000, 150_000
+_TEXT, _TOKENS, _VOCABULARY = 2**19, 350_000, 80_000
 _SHAPE = bytes.maketrans(
     b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz"
 )
@@ -153,7 +153,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered_words(texts: DataFrame) -> DataFrame:
-    """``lang, words, x``: all texts split once, for the passes to come. A part has about 700,000 words."""
+    """``lang, words, x``: all texts split once, for the passes to come. A part has about 350,000 words."""
     return written(texts.mapInArrow(_numbered, "lang string, words binary, x binary"), "numbered-words")
 
 
