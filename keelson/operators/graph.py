@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keelson.plans.durable import cut, fresh_path
 from keelson.specs import TableSpec, qualified
 
 
 class CycleError(ValueError):
-    def __init__(self, members: list):
-        super().__init__("dependency cycle through " + ", ".join(map(str, members)))
-        self.members = members
+    """``members`` are the nodes of a cycle. Those of a table are not gathered for the message: they are
+    in the shared folder, at ``path``, and only read when ``members`` is asked for."""
+
+    def __init__(self, members: list | DataFrame, path: str | None = None):
+        if isinstance(members, DataFrame):
+            n, least = members.agg(F.count(F.lit(1)), F.min("node")).first()
+            text = f"dependency cycle through {least}; the {n} members are in {path}"
+        else:
+            text = "dependency cycle through " + ", ".join(map(str, members))
+        super().__init__(text)
+        self._members, self.path = members, path
+
+    @property
+    def members(self) -> list:
+        if isinstance(self._members, DataFrame):
+            return [r[0] for r in self._members.orderBy("node").toLocalIterator()]
+        return self._members
 
 
 def _pending(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,22 +44,105 @@ def _pending(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _peel(pending: DataFrame) -> tuple[str, DataFrame]:
-    """A folder with a part ``level=<n>`` per level, and what is left when no node is free any more."""
+def _followed(pointers: DataFrame) -> DataFrame:
+    """``node, root, d``: every pointer followed to its end, with the steps on the way summed.
+
+    Pointers double their reach in every round, so a chain of n nodes takes log2(n) rounds. An end is
+    a root that has no pointer itself, or NULL. Who runs in a circle points at itself in the end.
+    """
+    way = ["node", "root", "d"]
+    every = cut(pointers.select(*way, F.col("root").isNotNull().alias("open")))
+    for _ in range(every.count().bit_length() + 2):
+        if every.filter("open").isEmpty():
+            return every.select(*way)
+        ends = every.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("d").alias("more"), F.lit(True).alias("met"))
+        moved = every.filter("open").join(ends, "root", "left").select(
+            "node", F.when(F.col("met"), F.col("next")).otherwise(F.col("root")).alias("root"),
+            (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"),
+            (F.col("met").isNotNull() & F.col("next").isNotNull()).alias("open"),
+        )
+        every = cut(every.filter("NOT open").unionByName(moved))
+    ring = every.filter("open").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("d"))
+    return cut(every.filter("NOT open").select(*way).unionByName(ring))
+
+
+def _needed(rows: DataFrame) -> DataFrame:
+    """``node, parent, w, n``: the longest way per parent, and from how many parents a level comes.
+
+    A NULL parent stands for level 0. It says nothing where another parent is at least as far away.
+    """
+    longest = rows.groupBy("node", "parent").agg(F.max("w").alias("w"))
+    w, real = F.col("w"), F.col("parent").isNotNull()
+    per_node = longest.groupBy("node").agg(
+        F.count("parent").alias("reals"), F.max(F.when(real, w)).alias("far"), F.max(F.when(~real, w)).alias("base")
+    )
+    based = F.coalesce((F.col("far").isNull() & F.col("base").isNotNull()) | (F.col("base") > F.col("far")), F.lit(False))
+    counts = per_node.select("node", based.alias("based"), (F.col("reals") + based.cast("long")).alias("n"))
+    return longest.join(counts, "node").filter(F.col("parent").isNotNull() | F.col("based")).drop("based")
+
+
+def _levels(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, level)`` of the nodes that have one, and what is pending for the others.
+
+    Nodes with one parent hang together in trees. They are contracted into pointers to the
+    next node with several parents, however long the chain; then those nodes see each other
+    directly, and some have a single parent now. A round settles at least the nodes that have only
+    chains above them, usually many levels at once.
+    """
     spark = pending.sparkSession
-    pending, path, level = cut(pending), fresh_path(spark, "levels"), 0
+    pending, path, step = cut(pending), fresh_path(pending.sparkSession, "levels"), 0
+    edges = pending.filter("parent IS NOT NULL")
+    below = cut(edges.select("node").distinct())
+    tops = pending.select("node").distinct().join(below, "node", "left_anti").select("node", F.lit(0).cast("long").alias("level"))
+    one = F.lit(1).cast("long").alias("w")
+    inner = edges.join(below.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent", one)
+    first = edges.join(below.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node").distinct()
+    rows = inner.unionByName(first.select("node", F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"), one))
+    shape = None
     while True:
-        free = pending.groupBy("node").agg(F.count("parent").alias("n")).filter("n = 0").select("node")
-        part = f"{path}/level={level}"
-        free.write.parquet(part)
-        free = spark.read.schema(free.schema).parquet(part)
-        if free.isEmpty():
-            return path, pending
-        rest = pending.join(free, "node", "left_anti")
-        met = free.select(F.col("node").alias("parent"))
-        # a met parent is removed; the NULL-parent row keeps the node itself alive
-        pending = cut(rest.join(met, "parent", "left_anti").select("node", "parent"))
-        level += 1
+        rows = cut(_needed(rows))
+        lone = rows.filter("n = 1").select("node", F.col("parent").alias("root"), F.col("w").alias("d"))
+        if lone.isEmpty():
+            break
+        ends = _followed(lone)
+        shape = ends.schema
+        ends.write.parquet(f"{path}/step={step}")
+        step += 1
+        many = rows.filter("n > 1").drop("n")
+        there = ends.select(F.col("node").alias("parent"), F.col("root").alias("next"), F.col("d").alias("more"), F.lit(True).alias("met"))
+        moved = many.filter("parent IS NOT NULL").join(there, "parent", "left").select(
+            "node", F.when(F.col("met"), F.col("next")).otherwise(F.col("parent")).alias("parent"),
+            (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"),
+        )
+        rows = moved.unionByName(many.filter("parent IS NULL"))
+    if shape is None:
+        found = tops
+    else:
+        parts = spark.read.schema(shape).parquet(*[f"{path}/step={k}" for k in range(step)])
+        found = tops.unionByName(_followed(parts).filter("root IS NULL").select("node", F.col("d").alias("level")))
+    found = cut(found)
+    stuck = cut(below.join(found, "node", "left_anti"))
+    waiting = pending.join(stuck, "node", "left_semi")
+    held = waiting.filter("parent IS NOT NULL").join(stuck.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    return found, cut(held.select("node", "parent").unionByName(waiting.filter("parent IS NULL").select("node", "parent")))
+
+
+def _with_shortcuts(edges: DataFrame) -> DataFrame:
+    """``edges`` and, along chains of nodes with a single source, edges over 2, 4, 8, ... nodes.
+
+    Whatever passes along the edges then crosses a chain of n nodes in log2(n) rounds.
+    """
+    edges = cut(edges.distinct())
+    lone = edges.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("source")).filter("n = 1")
+    reach = cut(lone.select("source", "target"))
+    every = edges
+    for _ in range(reach.count().bit_length()):
+        on = reach.select(F.col("source").alias("before"), F.col("target").alias("source"))
+        reach = cut(reach.join(on, "source").select(F.col("before").alias("source"), "target"))
+        if reach.isEmpty():
+            break
+        every = every.unionByName(reach)
+    return cut(every.filter("source <> target").distinct())
 
 
 def _reached(edges: DataFrame, label: DataFrame) -> DataFrame:
@@ -73,7 +169,8 @@ def _components(edges: DataFrame) -> DataFrame:
     Every node gets the least node that reaches it. The nodes with one such label that
     also reach it are the component of that least node; the rest goes on without them.
     """
-    edges, path, step = cut(edges), fresh_path(edges.sparkSession, "components"), 0
+    # a shortcut stays true when nodes of a found component go, and never ties two components together
+    edges, path, step = _with_shortcuts(edges), fresh_path(edges.sparkSession, "components"), 0
     shape = None
     while not edges.isEmpty():
         nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
@@ -104,9 +201,9 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def _on_cycles(stuck: DataFrame) -> DataFrame:
-    """Components among nodes that wait for ever: what only hangs on a cycle is peeled off first."""
+    """Components among nodes that wait for ever: what only leads to a cycle is taken off first."""
     back = stuck.filter("parent IS NOT NULL").select(F.col("parent").alias("child"), F.col("node").alias("parent"))
-    _, core = _peel(_pending(stuck.select("node").distinct(), back))
+    _, core = _levels(_pending(stuck.select("node").distinct(), back))
     edges = core.filter("parent IS NOT NULL").select(F.col("parent").alias("source"), F.col("node").alias("target"))
     return _components(edges)
 
@@ -116,22 +213,23 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes`` has ``node``; ``edges`` has ``(child, parent)``. Self edges and edges to
     unknown nodes do not count. Ordering by level then node is a load order; the reverse
-    is a truncation order. A cycle raises and names the members of the component with the least
-    node; ``dependency_cycles`` gives all. One round per level; each round only touches the
-    nodes that are still waiting.
+    is a truncation order. A cycle raises; the error names the least node on a cycle, and
+    the members of its component are written as a table. ``dependency_cycles`` gives all. Rounds
+    grow with the logarithm of a chain's length, not with the number of levels.
     """
-    path, stuck = _peel(_pending(nodes, edges))
+    found, stuck = _levels(_pending(nodes, edges))
     if not stuck.isEmpty():
-        found = cut(_on_cycles(stuck))
-        least = found.agg(F.min("component")).first()[0]
-        raise CycleError([r[0] for r in found.filter(F.col("component") == F.lit(least)).select("node").orderBy("node").collect()])
-    shape = T.StructType([nodes.select("node").schema[0], T.StructField("level", T.LongType())])
-    return nodes.sparkSession.read.schema(shape).parquet(path)
+        on_cycles = cut(_on_cycles(stuck))
+        least = on_cycles.agg(F.min("component")).first()[0]
+        path = fresh_path(stuck.sparkSession, "cycle")
+        on_cycles.filter(F.col("component") == F.lit(least)).select("node").write.parquet(path)
+        raise CycleError(stuck.sparkSession.read.schema(on_cycles.select("node").schema).parquet(path), path)
+    return found
 
 
 def dependency_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes that lie on a cycle, and no others."""
-    _, stuck = _peel(_pending(nodes, edges))
+    _, stuck = _levels(_pending(nodes, edges))
     return _on_cycles(stuck).select("node")
 
 
