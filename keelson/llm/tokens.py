@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import tokenizers
 
-_RUNS = re.compile(r"\s\s|^\s|\s$")
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 MAX_PIECES, ROWS_AT_ONCE = 400_000, 400
 _ENDS = frozenset(".,;:!?")
@@ -84,7 +83,8 @@ class Encoder:
         return before + self.pack([t.id for t in self.model.tokenize(form)])
 
     def __call__(self, text: str) -> bytes:
-        if _RUNS.search(text):
+        # shorter where white space stands at an end or beside other white space
+        if len(" ".join(text.split())) != len(text):
             return b"".join(map(self.whole.__getitem__, _SAFE.split(text)))
         out = []
         for k, line in enumerate(text.split("\n")):
