@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.llm.common import table
-from keelson.plans.durable import written
+from keelson.plans.durable import fresh_path, written
 
 LIMIT, LEAST, WORDS = 2000, 100, 5
 FIRST_WAVE, GROWTH = 8, 8
 FILTER_BITS = 24
-_TEXT, _TOKENS, _VOCABULARY = 2**19, 350_000, 80_000
+_TEXT, _TOKENS, _VOCABULARY = 2**19, 150_000, 80_000
 _SHAPE = bytes.maketrans(
     b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz"
 )
@@ -153,8 +153,15 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered_words(texts: DataFrame) -> DataFrame:
-    """``lang, words, x``: all texts split once, for the passes to come. A part has about 350,000 words."""
-    return written(texts.mapInArrow(_numbered, "lang string, words binary, x binary"), "numbered-words")
+    """``lang, words, x``: all texts split once, for the passes to come. A part has about 150,000 words.
+
+    Pages are measured after every part: by default a page would be all parts of a task, and its
+    buffers for compressing and reading lie outside the heap.
+    """
+    path, every = fresh_path(texts.sparkSession, "numbered-words"), {f"parquet.page.size.row.check.{x}": 1 for x in ("min", "max")}
+    parts = texts.mapInArrow(_numbered, "lang string, words binary, x binary")
+    parts.write.options(**every).parquet(path)
+    return texts.sparkSession.read.schema(parts.schema).parquet(path)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
