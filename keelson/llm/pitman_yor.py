@@ -49,7 +49,7 @@ from keelson.plans.durable import fresh_path, written
 WORD_BITS = 48
 START, END = np.uint64(2**WORD_BITS - 1), np.uint64(2**WORD_BITS - 2)
 BLOCK_TOKENS, CHARS_PER_CELL, WINDOW = 1_500_000, 15_000_000, 1 << 21
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS, FILES, PAIRS_AT_ONCE = 2_000, 50_000, 1 << 18
 BURN_IN, SAMPLES, STRENGTH = 3, 3, 1.0
 LISTED, MOVES = 4096, 128
 _SPACE = np.zeros(256, bool)
@@ -149,7 +149,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def cells_of(context: np.ndarray, word: np.ndarray, cells: int, hot: np.ndarray) -> np.ndarray:
     spread = np.isin(context, hot)
-    return (np.where(spread, mix(word, 2), mix(context, 1)) % np.uint64(cells)).astype(np.uint16)
+    return (np.where(spread, mix(word, 2), mix(context, 1)) % np.uint64(cells)).astype(np.min_scalar_type(cells))
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -548,8 +548,9 @@ def sum_blocks(key: tuple, rows: pa.Table) -> pa.Table:
 def score_cell(cells: int, facts: dict):
     def run(key: tuple, blocks: pa.Table, rest: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()  # what Arrow keeps of the groups before
-        blobs = blocks.column("data").to_pylist()
+        blobs = [x.as_buffer() for x in blocks.column("data")]  # views, no copies
         cell = Cell(blobs, keep_documents=True)
+        del cell.u, cell.w
         by_class, tables = {}, None
         for kind, of, data in zip(*[rest.column(x).to_pylist() for x in ("kind", "key", "data")]):
             if kind == "t":
@@ -568,19 +569,25 @@ def score_cell(cells: int, facts: dict):
             opened = types + np.bincount(cell.context_of[again], tables[s].astype(np.int64) - 1, len(types))
             if len(hot):
                 total[mine], opened[mine] = hot_total[spot], hot_types[spot] + facts["hot_extra"][s][spot]
-            n = STRENGTH + total[cell.context_of]
-            parent = _parent(k[s], t1[s], facts, s)[cell.word_of]
-            own = np.maximum(cell.c - facts["d2"] * t, 0)
-            p += (own + (STRENGTH + facts["d2"] * opened[cell.context_of]) * parent) / n
+            parent = _parent(k[s], t1[s], facts, s)
+            for at in range(0, len(p), PAIRS_AT_ONCE):
+                part = slice(at, at + PAIRS_AT_ONCE)
+                u = cell.context_of[part]
+                own = np.maximum(cell.c[part] - facts["d2"] * t[part], 0)
+                shared = (STRENGTH + facts["d2"] * opened[u]) * parent[cell.word_of[part]]
+                p[part] += (own + shared) / (STRENGTH + total[u])
+        del t, again, tables, k, t1, by_class
         log_p = np.log10(p / SAMPLES)
+        del p
         N, V = facts["N"], facts["V"]
         log_base = np.log10((c_word + 0.1) / (N + 0.1 * (V + 1)))[cell.word_of]
         is_known = (c_word > 0)[cell.word_of]
-        del parent, own, n, p, t
+        lengths, pair_of = cell.lengths, cell.pair_of
+        del cell
         out, at = [], 0
-        for block, length, data in zip(blocks.column("block").to_pylist(), cell.lengths, blobs):
+        for block, length, data in zip(blocks.column("block").to_pylist(), lengths, blobs):
             per_pair, number, counts, have, keys, known = unpack(data, 5)
-            pair = np.repeat(cell.pair_of[at : at + length], per_pair.astype(np.int64))
+            pair = np.repeat(pair_of[at : at + length], per_pair.astype(np.int64))
             at += length
             counts, number = counts.astype(np.int64), number.astype(np.int64)
             add = lambda x: np.bincount(number, x, len(have))
@@ -622,10 +629,11 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
     cells = max(1, -(-(chars or 0) // CHARS_PER_CELL))
     hot = _frequent_contexts(rows, n_rows, cells) if cells > 1 else np.empty(0, np.uint64)
 
-    # bucketed by cell, so the passes over it need no further shuffle
+    # bucketed by cell, so the passes over it need no further shuffle; Spark limits how many buckets there are
     name = f"pairs_{fresh_path(spark, '').rsplit('-', 1)[1]}"
-    dealt = make_blocks(rows, cells, hot).repartition(cells, "cell")
-    dealt.write.option("path", fresh_path(spark, "pairs")).bucketBy(cells, "cell").saveAsTable(name)
+    files = min(cells, FILES)
+    dealt = make_blocks(rows, cells, hot).repartition(files, "cell")
+    dealt.write.option("path", fresh_path(spark, "pairs")).bucketBy(files, "cell").saveAsTable(name)
     blocks = spark.table(name)
 
     counted = written(blocks.groupBy("cell").applyInArrow(count_cell(cells, hot), ROW), "counted")
