@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.plans.durable import cut, fresh_path
+from keelson.plans.durable import fresh_path, written
 from keelson.specs import TableSpec, qualified
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which ends its lineage and its plan.
+
+    A checkpoint hands the constraints of its plan on to the next one: round by round they grow until the
+    optimizer is busy with nothing else. It also keeps the partitions, which every union adds up.
+    """
+    return written(df, "graph")
+
+
 class CycleError(ValueError):
     """``members`` are the nodes of a cycle. Those of a table are not gathered for the message: they are
     in the shared folder, at ``path``, and only read when ``members`` is asked for."""
@@ -49,11 +58,14 @@ def _followed(pointers: DataFrame) -> DataFrame:
 
     Pointers double their reach in every round, so a chain of n nodes takes log2(n) rounds. An end is
     a root that has no pointer itself, or NULL. Who runs in a circle points at itself in the end.
+    Where an open node has an end, one on its way is just near enough to find it in the next round:
+    a round that finds no end leaves only circles and what leads into them.
     """
     way = ["node", "root", "d"]
     every = cut(pointers.select(*way, F.col("root").isNotNull().alias("open")))
-    for _ in range(every.count().bit_length() + 2):
-        if every.filter("open").isEmpty():
+    before, left = None, every.filter("open").count()
+    while left != before:
+        if not left:
             return every.select(*way)
         ends = every.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("d").alias("more"), F.lit(True).alias("met"))
         moved = every.filter("open").join(ends, "root", "left").select(
@@ -62,6 +74,7 @@ def _followed(pointers: DataFrame) -> DataFrame:
             (F.col("met").isNotNull() & F.col("next").isNotNull()).alias("open"),
         )
         every = cut(every.filter("NOT open").unionByName(moved))
+        before, left = left, every.filter("open").count()
     ring = every.filter("open").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("d"))
     return cut(every.filter("NOT open").select(*way).unionByName(ring))
 
@@ -130,18 +143,23 @@ def _levels(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _with_shortcuts(edges: DataFrame) -> DataFrame:
     """``edges`` and, along chains of nodes with a single source, edges over 2, 4, 8, ... nodes.
 
-    Whatever passes along the edges then crosses a chain of n nodes in log2(n) rounds.
+    Whatever passes along the edges then crosses a chain of n nodes in log2(n) rounds. A round in which no
+    chain ends and no stretch gets a smaller least node is the last: every node then has the least one
+    before it within reach, also in a circle, which has no end.
     """
     edges = cut(edges.distinct())
     lone = edges.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("source")).filter("n = 1")
-    reach = cut(lone.select("source", "target"))
-    every = edges
-    for _ in range(reach.count().bit_length()):
-        on = reach.select(F.col("source").alias("before"), F.col("target").alias("source"))
-        reach = cut(reach.join(on, "source").select(F.col("before").alias("source"), "target"))
-        if reach.isEmpty():
-            break
-        every = every.unionByName(reach)
+    reach = cut(lone.select("source", "target", F.least("source", "target").alias("low"), F.lit(True).alias("fell")))
+    every, before, left = edges, None, reach.count()
+    while left and (left != before or not reach.filter("fell").isEmpty()):
+        on = reach.select(F.col("source").alias("before"), F.col("target").alias("source"), F.col("low").alias("lower"))
+        reach = cut(
+            reach.join(on, "source").select(
+                F.col("before").alias("source"), "target", F.least("low", "lower").alias("low"), (F.col("lower") < F.col("low")).alias("fell")
+            )
+        )
+        every = every.unionByName(reach.select("source", "target"))
+        before, left = left, reach.count()
     return cut(every.filter("source <> target").distinct())
 
 

@@ -68,3 +68,28 @@ def test_no_edges_and_no_nodes(spark):
     assert sorted(map(tuple, graph.dependency_levels(nodes, none).collect())) == [("a", 0), ("b", 0)]
     assert graph.dependency_levels(nodes.limit(0), none).isEmpty()
     assert graph.dependency_cycles(nodes, none).isEmpty()
+
+
+def test_searches_end_when_only_circles_are_left(spark, rounds):
+    """A thousand circles of four: no search goes on for as many rounds as a chain of all nodes would take."""
+    nodes = spark.range(4000).withColumnRenamed("id", "node")
+    edges = nodes.select("node", F.expr("node - node % 4 + (node + 1) % 4").alias("root"), F.lit(1).cast("long").alias("d"))
+    got = graph._followed(edges)
+    assert got.count() == 4000 and got.filter("node <> root OR d <> 0").isEmpty() and len(rounds) <= 4
+    rounds.clear()
+    graph._with_shortcuts(edges.selectExpr("root AS source", "node AS target"))
+    assert len(rounds) <= 7
+
+
+def test_shortcuts_cross_a_long_circle(spark, rounds):
+    nodes = spark.range(500).withColumnRenamed("id", "node")
+    edges = nodes.selectExpr("node AS child", "(node + 499) % 500 AS parent")
+    assert graph.dependency_cycles(nodes, edges).count() == 500
+    assert len(rounds) < 70
+
+
+def test_rounds_do_not_add_up_partitions(spark):
+    rows = graph.cut(spark.range(64).repartition(8))
+    for _ in range(4):
+        rows = graph.cut(rows.union(rows.filter("id < 0")))
+    assert rows.rdd.getNumPartitions() <= 16 and rows.count() == 64
