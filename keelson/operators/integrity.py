@@ -148,6 +148,18 @@ def suppress_issues(issues: DataFrame, waivers: DataFrame) -> DataFrame:
 
 REPORT_SCHEMA = "table string, constraint string, kind string, severity string, violations bigint"
 
+# Rows whose keys a task groups before the shuffle; the groups of a task are held in memory.
+GROUPED_ROWS = 500_000
+
+
+def _dealt(frames: dict[str, DataFrame], names: list[str]) -> dict[str, DataFrame]:
+    """``frames`` of many rows in parts of ``GROUPED_ROWS``: a split of a file may hold many millions."""
+    if not names:
+        return {}
+    sizes = [frames[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
+    rows = {r["name"]: r["rows"] for r in reduce(DataFrame.unionByName, sizes).collect()}
+    return {n: frames[n].repartition(-(-rows[n] // GROUPED_ROWS)) if rows[n] > GROUPED_ROWS else frames[n] for n in names}
+
 
 def _key_row(number: int, role: str, values: list[Column], when: Column) -> Column:
     """One row of a constraint's key group: two 64-bit hashes stand for the key; NULL where left out."""
@@ -226,7 +238,8 @@ def constraint_report(tables: dict[str, DataFrame], specs: list[TableSpec]) -> D
             counted.append(totals.select(F.inline(F.array(*rows))))
 
     if named:
-        spread = [frames[t].select(F.inline(F.array_compact(F.array(*rows)))) for t, rows in keys.items() if rows]
+        dealt = _dealt(frames, [t for t, rows in keys.items() if rows])
+        spread = [df.select(F.inline(F.array_compact(F.array(*keys[t])))) for t, df in dealt.items()]
         groups = (
             reduce(DataFrame.union, spread)
             .groupBy("number", "h1", "h2")

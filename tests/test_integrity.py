@@ -78,3 +78,17 @@ def test_report_counts_rows_and_warns(spark, rows):
         ("unique_name", "nullable_unique"): ("warning", 2),
         ("fk_n", "foreign_key"): ("error", 4),
     }
+
+
+def test_report_groups_keys_of_bounded_parts(spark, monkeypatch):
+    """Rows beyond the bound are dealt out before their keys are grouped, without columns that no key needs."""
+    spec = TableSpec(
+        "t", (Column("id", "bigint", False), Column("up", "bigint"), Column("wide", "string")), ("id",),
+        foreign_keys=(ForeignKey(("up",), "t", ("id",)),),
+    )
+    rows = spark.range(90).selectExpr("id DIV 2 * 2 AS id", "id + 1 AS up", "repeat('x', 50) AS wide")
+    monkeypatch.setattr(op, "GROUPED_ROWS", 20)
+    report = op.constraint_report({"t": rows}, [spec])
+    assert {(r.kind, r.violations) for r in report.collect()} == {("primary_key", 90), ("foreign_key", 46)}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 5, true" in plan and "repeat" not in plan
