@@ -36,6 +36,9 @@ SCHEMA_END = "-- END SCHEMA"
 TABLE = "-- Table: "
 SEQUENCE = "-- Sequence: "
 
+# Copies of a whole script: its texts take about two thirds of the bytes of the default.
+TIGHT = "zstd"
+
 
 def insert_statements(
     df: DataFrame, table: str, order: list[str], batch: int = 100, chunk: Column | None = None
@@ -142,9 +145,8 @@ def write_script(
         patch = None
         if self_cols:
             df, patch = export_self_ref(df, pk, self_cols)
-        statements = written(_batches(df, spec.name, pk or df.columns, batch), "statements")
-        (rows,) = statements.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
-        heads.append((at, 0, f"{TABLE}{spec.name} ({rows} rows)"))
+        statements = _batches(df, spec.name, pk or df.columns, batch)
+        heads.append((at, 0, f"{TABLE}{spec.name} ({df.count()} rows)"))
         parts = [statements.select(F.lit(at).alias("section"), F.lit(1).alias("kind"), "batch", F.col("statement").alias("text"))]
         if patch is not None:
             updates = update_statements(patch, spec.name, pk).select("statement")
@@ -155,7 +157,8 @@ def write_script(
         heads.append((len(specs) + 1 + k, 0, f"{SEQUENCE}{name}\nSELECT setval('{name}', {value});"))
     fixed = spark.createDataFrame(heads, "section int, kind int, text string").select("section", "kind", F.lit(0).cast("long").alias("batch"), "text")
     order = ["section", "kind", "batch"]
-    ordered = written(texts.union(fixed), "script-texts").repartitionByRange(*order).sortWithinPartitions(*order)
+    # drawing borders reads the shuffled batches a second time, which is less than a copy of the whole text
+    ordered = texts.union(fixed).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("text").write.options(lineSep="\n\n", compression=compression).text(out)
 
 
@@ -396,7 +399,7 @@ def _script_lines(spark: SparkSession, path: str) -> DataFrame:
         "value",
     )
     # written once, so that positions are the same for everything that follows
-    return written(raw, "script-lines")
+    return written(raw, "script-lines", TIGHT)
 
 
 def _script_head(lines: DataFrame, marker: str) -> tuple[dict, DataFrame]:
@@ -454,7 +457,7 @@ def read_script(spark: SparkSession, path: str, specs: list[TableSpec], marker:
     """
     header, body = _script_head(_script_lines(spark, path), marker)
     marks, statements = _script_statements(body)
-    statements = written(statements, "script-statements")
+    statements = written(statements, "script-statements", TIGHT)
     announced, named = [], {}
     for number, line in marks:
         if line.startswith(SEQUENCE):
@@ -482,7 +485,7 @@ def read_script(spark: SparkSession, path: str, specs: list[TableSpec], marker:
             problems.append(f"{spec.name} has no section")
             continue
         own = statements.filter(F.col("section").isin(numbers))
-        cells = written(_cells(own, spec, "INSERT INTO"), "script-cells")
+        cells = written(_cells(own, spec, "INSERT INTO"), "script-cells", TIGHT)
         tables[spec.name] = _typed(cells, spec, "INSERT INTO")
         if spec.self_columns():
             patches[spec.name] = _typed(_cells(own, spec, "UPDATE"), spec, "UPDATE")

@@ -92,3 +92,17 @@ def test_statements_stay_in_the_jvm_and_do_not_recurse(spark, written_script):
     one = spark.createDataFrame([(body,)], "statement string").select(script.statement_rows(F.col("statement")).alias("r"))
     got = one.select(F.size("r.rows").alias("n"), F.length(F.col("r.rows")[0][1]).alias("m")).first()
     assert tuple(got) == (49_999, len(long) - 500_000)
+
+
+def test_a_script_is_written_without_copies(spark, tmp_path, monkeypatch):
+    """The text itself is all that is written; rows are announced as many as there are."""
+    labels, copy = [], script.written
+    monkeypatch.setattr(script, "written", lambda df, label, *how: (labels.append(label), copy(df, label, *how))[1])
+    rows = spark.range(250).selectExpr("id", "id - 1 AS parent", "'a;\n\n' AS note")
+    spec = TableSpec("few", (Column("id", "bigint", False), Column("parent", "bigint"), Column("note", "string")), ("id",))
+    out = str(tmp_path / "script")
+    script.write_script({spec.name: rows}, [spec], out)
+    assert labels == []
+    got = script.read_script(spark, out, [spec])
+    assert [(r.announced, r.rows) for r in got.sections.collect()] == [(250, 250)]
+    assert got.tables[spec.name].good.exceptAll(rows).isEmpty()
