@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.common import id_remainder, table
-from keelson.plans.durable import fresh_path, written
+from keelson.plans.durable import PACKED, fresh_path, written
 
 WORD_BITS = 48
 START, END = np.uint64(2**WORD_BITS - 1), np.uint64(2**WORD_BITS - 2)
@@ -162,12 +162,19 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def block_rows(block: int, ids: list, train: np.ndarray, parts: list, cells: int, hot: np.ndarray) -> list[dict]:
-    context, word, doc = (np.concatenate(x) for x in zip(*parts))
-    parts.clear()  # copied by now, and large
+    lists = [list(x) for x in zip(*parts)]
+    parts.clear()
+    columns = []
+    for some in lists:
+        columns.append(np.concatenate(some))
+        some.clear()  # copied by now, and large
+    context, word, doc = columns
+    del columns
     cell = cells_of(context, word, cells, hot)
     order = np.lexsort((word, context))
     order = order[np.argsort(cell[order], kind="stable")]
-    cell, context, word, doc = cell[order], context[order], word[order], doc[order]
+    cell, context = cell[order], context[order]
+    word, doc = word[order], doc[order]
     del order
     rows = []
     borders = np.append(_runs(cell), len(cell))
@@ -204,7 +211,7 @@ def make_blocks(docs: DataFrame, cells: int, hot: np.ndarray) -> DataFrame:
                 some = batch.slice(at, 500)
                 texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in some.column(1).to_pylist()]
                 context, word, doc = tokens(texts)
-                parts.append((context, word, doc + len(ids)))
+                parts.append((context, word, (doc + len(ids)).astype(np.int32)))
                 ids += some.column(0).to_pylist()
                 train += some.column(2).to_pylist()
                 size += len(word)
@@ -357,6 +364,20 @@ def _by_class(words: np.ndarray, cells: int) -> list[tuple[int, np.ndarray]]:
     return [(int(of[order[a]]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and the number of each of ``x`` among them."""
+    order = np.argsort(x, kind="stable")
+    sorted_x = x[order]
+    first = _runs(sorted_x)
+    values = sorted_x[first]
+    del sorted_x
+    number, of = np.zeros(len(x), np.int32), np.empty(len(x), np.int32)
+    number[first[1:]] = 1
+    np.cumsum(number, out=number)
+    of[order] = number
+    return values, of
+
+
 class Cell:
     """All pairs of a cell, merged over its blocks."""
 
@@ -367,28 +388,43 @@ class Cell:
             us.append(np.repeat(u, runs.astype(np.int64)))
             ws.append(words[at.astype(np.int64)])
             seen.append(tc.astype(np.int32))
+        del u, runs, words, at, tc
         self.lengths = [len(x) for x in us]
-        u, w, c = np.concatenate(us), np.concatenate(ws), np.concatenate(seen)
-        del us, ws, seen
+        columns = []
+        for some in (us, ws, seen):  # one at a time, as they are large
+            columns.append(np.concatenate(some))
+            some.clear()
+        u, w, c = columns
+        columns.clear()
         order = np.lexsort((w, u))
-        u, w, c = u[order], w[order], c[order]
+        u = u[order]
+        w = w[order]
+        c = c[order]
         first = _runs(u, w)
         if keep_documents:
             number = np.zeros(len(u), np.int32)
             number[first[1:]] = 1
+            np.cumsum(number, out=number)
             self.pair_of = np.empty(len(u), np.int32)
-            self.pair_of[order] = np.cumsum(number, dtype=np.int32)
+            self.pair_of[order] = number
             del number
         del order
-        self.u, self.w, self.c = u[first], w[first], np.add.reduceat(c, first, dtype=np.int64)
-        del u, w, c
-        self.words, self.word_of = np.unique(self.w, return_inverse=True)
-        self.word_of = self.word_of.astype(np.int32)
+        self.u = u[first]
+        del u
+        self.w = w[first]
+        del w
+        self.c = np.add.reduceat(c, first, dtype=np.int64)
+        del c, first
         starts = _runs(self.u)
         self.contexts = self.u[starts]
         self.context_of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(self.u))))
         self.total = np.bincount(self.context_of, self.c, len(starts)).astype(np.int64)
         self.types = np.bincount(self.context_of, self.c > 0, len(starts)).astype(np.int64)
+        if keep_documents:
+            del self.u
+        self.words, self.word_of = _numbered(self.w)
+        if keep_documents:
+            del self.w
 
 
 def count_cell(cells: int, hot: np.ndarray):
@@ -550,7 +586,6 @@ def score_cell(cells: int, facts: dict):
         pa.default_memory_pool().release_unused()  # what Arrow keeps of the groups before
         blobs = [x.as_buffer() for x in blocks.column("data")]  # views, no copies
         cell = Cell(blobs, keep_documents=True)
-        del cell.u, cell.w
         by_class, tables = {}, None
         for kind, of, data in zip(*[rest.column(x).to_pylist() for x in ("kind", "key", "data")]):
             if kind == "t":
@@ -558,31 +593,37 @@ def score_cell(cells: int, facts: dict):
             else:
                 by_class[of] = data
         c_word, k, t1 = _answers(cell.words, by_class, cells, SAMPLES)
-        total, types = cell.total.astype(np.float64), cell.types.astype(np.float64)
+        del by_class
         again = np.flatnonzero(cell.c >= 2)
         hot, hot_total, hot_types = facts["hot"]
-        mine, p = np.isin(cell.contexts, hot), np.zeros(len(cell.c))
+        mine = np.isin(cell.contexts, hot)
         spot = np.searchsorted(hot, cell.contexts[mine])
+        total, parents, opened = cell.total.astype(np.float64), [], []
+        if len(hot):
+            total[mine] = hot_total[spot]
         for s in range(SAMPLES):
-            t = (cell.c > 0).astype(np.float64)
-            t[again] = tables[s]
-            opened = types + np.bincount(cell.context_of[again], tables[s].astype(np.int64) - 1, len(types))
+            more = np.bincount(cell.context_of[again], tables[s].astype(np.int64) - 1, len(total))
+            opened.append(cell.types.astype(np.float64) + more)
             if len(hot):
-                total[mine], opened[mine] = hot_total[spot], hot_types[spot] + facts["hot_extra"][s][spot]
-            parent = _parent(k[s], t1[s], facts, s)
-            for at in range(0, len(p), PAIRS_AT_ONCE):
-                part = slice(at, at + PAIRS_AT_ONCE)
-                u = cell.context_of[part]
-                own = np.maximum(cell.c[part] - facts["d2"] * t[part], 0)
-                shared = (STRENGTH + facts["d2"] * opened[u]) * parent[cell.word_of[part]]
-                p[part] += (own + shared) / (STRENGTH + total[u])
-        del t, again, tables, k, t1, by_class
-        log_p = np.log10(p / SAMPLES)
-        del p
+                opened[s][mine] = hot_types[spot] + facts["hot_extra"][s][spot]
+            parents.append(_parent(k[s], t1[s], facts, s))
+        del k, t1
+        log_p = np.zeros(len(cell.c))
+        for at in range(0, len(log_p), PAIRS_AT_ONCE):
+            part = slice(at, at + PAIRS_AT_ONCE)
+            u, w, c, p = cell.context_of[part], cell.word_of[part], cell.c[part], log_p[part]
+            few = slice(*np.searchsorted(again, [at, at + len(p)]))
+            for s in range(SAMPLES):
+                t = (c > 0).astype(np.float64)
+                t[again[few] - at] = tables[s][few]
+                own = np.maximum(c - facts["d2"] * t, 0)
+                p += (own + (STRENGTH + facts["d2"] * opened[s][u]) * parents[s][w]) / (STRENGTH + total[u])
+            np.log10(p / SAMPLES, out=p)
+        del again, tables, opened, parents
         N, V = facts["N"], facts["V"]
-        log_base = np.log10((c_word + 0.1) / (N + 0.1 * (V + 1)))[cell.word_of]
-        is_known = (c_word > 0)[cell.word_of]
-        lengths, pair_of = cell.lengths, cell.pair_of
+        log_base = np.log10((c_word + 0.1) / (N + 0.1 * (V + 1)))
+        is_known = c_word > 0
+        lengths, pair_of, word_of = cell.lengths, cell.pair_of, cell.word_of
         del cell
         out, at = [], 0
         for block, length, data in zip(blocks.column("block").to_pylist(), lengths, blobs):
@@ -592,8 +633,8 @@ def score_cell(cells: int, facts: dict):
             counts, number = counts.astype(np.int64), number.astype(np.int64)
             add = lambda x: np.bincount(number, x, len(have))
             sums = pack(
-                have, keys, known, add(counts).astype(np.int64), add(counts * is_known[pair]).astype(np.int64),
-                add(counts * log_base[pair]), add(counts * log_p[pair]),
+                have, keys, known, add(counts).astype(np.int64), add(counts * is_known[word_of[pair]]).astype(np.int64),
+                add(counts * log_base[word_of[pair]]), add(counts * log_p[pair]),
             )
             out.append({"kind": "d", "key": 0, "cell": key[0].as_py(), "block": block, "data": sums})
         return pa.Table.from_pylist(out, SCHEMA)
@@ -633,11 +674,11 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
     name = f"pairs_{fresh_path(spark, '').rsplit('-', 1)[1]}"
     files = min(cells, FILES)
     dealt = make_blocks(rows, cells, hot).repartition(files, "cell")
-    dealt.write.option("path", fresh_path(spark, "pairs")).bucketBy(files, "cell").saveAsTable(name)
+    dealt.write.options(**PACKED).option("path", fresh_path(spark, "pairs")).bucketBy(files, "cell").saveAsTable(name)
     blocks = spark.table(name)
 
-    counted = written(blocks.groupBy("cell").applyInArrow(count_cell(cells, hot), ROW), "counted")
-    merged = written(counted.filter("kind = 'w'").groupBy("key").applyInArrow(merge_words, ROW), "merged")
+    counted = written(blocks.groupBy("cell").applyInArrow(count_cell(cells, hot), ROW), "counted", **PACKED)
+    merged = written(counted.filter("kind = 'w'").groupBy("key").applyInArrow(merge_words, ROW), "merged", **PACKED)
     held = merged.filter("kind in ('m', 'q')")
 
     sums = [unpack(r["data"])[0].astype(np.int64) for r in merged.filter("kind = 's'").select("data").collect()]
@@ -658,17 +699,17 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
         total = lambda i: np.sum([p[i].astype(np.int64) for p in parts], axis=0).tolist() if parts else [0] * SAMPLES
         return facts | {"K": total(0), "T": total(1)}
 
-    first = written(held.groupBy("key").applyInArrow(answer_cells(facts, 1), ROW), "parent")
+    first = written(held.groupBy("key").applyInArrow(answer_cells(facts, 1), ROW), "parent", **PACKED)
     pairs = counted.filter("kind = 'p'")
     seated = written(
-        pairs.union(first.filter("kind = 'a'")).groupBy("cell").applyInArrow(sample_cell(cells, settled(first)), ROW), "seated"
+        pairs.union(first.filter("kind = 'a'")).groupBy("cell").applyInArrow(sample_cell(cells, settled(first)), ROW), "seated", **PACKED
     )
     extra = np.zeros((SAMPLES, len(hot)))
     for r in seated.filter("kind = 'e'").select("data").toLocalIterator():
         extra += np.array(unpack(r["data"]), np.float64).reshape(extra.shape)
     added = seated.filter("kind = 'x'")
     second = written(
-        held.union(added).groupBy("key").applyInArrow(answer_cells(facts, SAMPLES), ROW), "parents"
+        held.union(added).groupBy("key").applyInArrow(answer_cells(facts, SAMPLES), ROW), "parents", **PACKED
     )
     final = settled(second) | {"hot_extra": extra}
     rest = second.filter("kind = 'a'").union(seated.filter("kind = 't'"))

@@ -38,8 +38,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+#: For rows of large packed bytes: a page is measured after every row, and not compressed again. By default a page is 100
+#: rows at least, and its buffers for compressing and reading lie outside the heap.
+PACKED = {"compression": "none"} | {f"parquet.page.size.row.check.{x}": "1" for x in ("min", "max")}
+
+
+def written(df: DataFrame, label: str, compression: str | None = None, **options: str) -> DataFrame:
     """``df`` as a columnar table in the shared folder, for readers that want few columns."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import re
 import zlib
 from collections import Counter
@@ -220,3 +221,20 @@ def test_chain_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r.node: r.root for r in near_dups.components(links).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100: 90, 95: 90}
+
+
+def test_cell_is_merged_in_little_memory():
+    """Columns are copied one at a time: all at once took 90 bytes for every pair of a block."""
+    n, rng, blobs = 100_000, np.random.default_rng(2), []
+    for block in range(4):
+        context, word = rng.integers(0, 1000, n, np.uint64), rng.integers(0, 2**40, n, np.uint64)
+        parts = [(context, word, np.sort(rng.integers(0, 100, n)))]
+        blobs += [r["data"] for r in pitman_yor.block_rows(block, list(range(100)), np.array([True] * 100), parts, 1, np.empty(0, np.uint64))]
+    tracemalloc.start()
+    try:
+        cell = pitman_yor.Cell(blobs, keep_documents=True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(cell.pair_of) == len(cell.c) == 4 * n
+    assert peak < 70 * 4 * n
