@@ -4,15 +4,15 @@ A phrase's score is the lowest over its cuts of 1000 * a * n / (l * r). A rest o
 as the whole (r >= a), so nothing that begins with the word w scores above 1000 * n / f(w): the
 count of the first prefix is an admissible bound. The frontier holds the frequent words that no
 phrase has been grown from yet. It is expanded best bound first, in waves over the whole table: a wave grows
-its words to two words, and those that stay frequent by one more at a time. Then the
-counts of missing rests are looked up, for phrases that can still matter, and scores are exact.
+its words to two words, and those that stay frequent by one more at a time, by their hashes; all that
+stay are then counted as phrases in one pass. Then the counts of missing rests are looked up, for phrases that can still matter, and scores are exact.
 Once a language has ``limit`` survivors, the last one's score settles how far the frontier must be
 expanded: the next wave takes every word whose bound reaches it, ties included, and is the last.
 
 Texts are split into words once and kept as numbered words of large parts; the passes read those.
 Tasks know what to count by filters of fixed size over hashes (no false negatives), so what is
 broadcast doesn't grow with the data; a false positive only costs a row that the exact join on
-the phrase itself drops. Counts are combined in the task before they are shuffled; a grown
+the phrase itself drops. Counts are combined in the part before they are shuffled; a grown
 phrase is first counted by a hash alone, and only hashes that are frequent as phrases.
 
 A phrase is inside a longer one that is as frequent just when all its occurrences have the same
@@ -63,6 +63,9 @@ class Filter:
     def __init__(self, words: np.ndarray):
         self.words = words
 
+    def __or__(self, other: Filter) -> Filter:
+        return Filter(self.words | other.words)
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), bool)
         for at in _bits(hashes):
@@ -192,7 +195,8 @@ def _word_counts(parts: DataFrame) -> DataFrame:
 def _places(lang: str, words: list[bytes], x: np.ndarray, wanted: list[tuple[int, int]], begun: Filter, often: Filter):
     """Hashes of the words, and for each size the places where a wanted run starts with the hash of its known words."""
     salt = np.uint64(_hash(lang.encode()))
-    hashes = np.array([_hash(w) for w in words], np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    hashes[hashes == 0] = 1  # as _hash
     good = often.has(hashes ^ salt)
     good[0] = False
     one_of = begun.has(hashes ^ salt) & good
@@ -355,20 +359,21 @@ def mine_phrases(
         ahead = frequent.join(goal, "lang").filter("n > since AND n <= upto").select("lang", "phrase")
         if ahead.isEmpty():
             break
-        begun, grown = filter_of(ahead), None
+        # many different runs, few of them frequent: growth is by their hashes, and all sizes are counted in one pass
+        known, runs, sizes = filter_of(ahead), None, []
         for size in range(2, max_words + 1):
-            # many different runs, few of them frequent
-            runs = _frequent_hashes(parts, [(size, size - 1)], begun, often, least)
-            level = _phrase_counts(parts, [(size, size)], runs, often, least)
-            # filters let some others through: growth is from what was really reached
-            head = F.array_join(F.slice(F.split("phrase", " "), 1, size - 1), " ")
-            level = level.withColumn("head", head).join(ahead.withColumnRenamed("phrase", "head"), ["lang", "head"], "left_semi").drop("head")
-            level = written(level, "phrases")
-            grown = level if grown is None else grown.union(level)
-            ahead = level.select("lang", "phrase")
-            if ahead.isEmpty():
+            known = _frequent_hashes(parts, [(size, size - 1)], known, often, least)
+            if not known.words.any():
                 break
-            begun = filter_of(ahead)
+            runs = known if runs is None else runs | known
+            sizes.append((size, size))
+        if not sizes:
+            runs, sizes = known, [(2, 2)]
+        # filters let some others through: growth is from the words of this wave
+        first = F.substring_index("phrase", " ", 1)
+        grown = _phrase_counts(parts, sizes, runs, often, least).withColumn("first", first)
+        grown = grown.join(ahead.withColumnRenamed("phrase", "first"), ["lang", "first"], "left_semi").drop("first")
+        grown = written(grown.select("lang", "size", "phrase", "n", "left", "right"), "phrases")
         new = _scored(grown, frequent, totals, settled, max_words, look_up)
         best = written(_top(new if best is None else best.drop("rank").unionByName(new), limit), "best-phrases")
         settled = best.filter(F.col("rank") == limit).select("lang", "score")

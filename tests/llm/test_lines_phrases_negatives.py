@@ -119,6 +119,16 @@ def test_phrases(spark, limit, first, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == plain_phrases(rows, limit, 15)
 
 
+def test_wave_reads_the_parts_once_for_all_sizes(spark, monkeypatch):
+    """Phrases of all sizes are counted together: a pass for every size read and split all parts again."""
+    counted, sizes = phrases._phrase_counts, []
+    monkeypatch.setattr(phrases, "_phrase_counts", lambda parts, wanted, *rest: (sizes.append([k for k, _ in wanted]), counted(parts, wanted, *rest))[1])
+    rows = phrase_rows()
+    got = phrases.mine_phrases(spark.createDataFrame(rows, "lang string, text string"), least=15)
+    assert sorted(tuple(r) for r in got.collect()) == plain_phrases(rows, 2000, 15)
+    assert sizes == [[2, 3, 4, 5], [2, 3, 4]]  # a wave, and its rests
+
+
 def test_phrases_of_nothing(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert phrases.mine_phrases(none).collect() == []
