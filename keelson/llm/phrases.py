@@ -44,6 +44,7 @@ _SHAPE = bytes.maketrans(
     b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz"
 )
 _NEXT, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_UNUSED = np.uint64(24)
 COUNTED = "lang string, size int, phrase string, n long, left long, right long"
 
 
@@ -52,8 +53,9 @@ def _hash(word: bytes) -> int:
 
 
 def _bits(hashes: np.ndarray) -> list[np.ndarray]:
-    """The two bit numbers of each hash."""
-    h = hashes ^ (hashes >> np.uint64(31))
+    """The two bit numbers of each hash, from its upper 40 bits."""
+    h = hashes >> _UNUSED
+    h = h ^ (h >> np.uint64(19))
     return [(h * factor) >> np.uint64(64 - FILTER_BITS) for factor in (_FIRST, _SECOND)]
 
 
@@ -63,9 +65,6 @@ class Filter:
     def __init__(self, words: np.ndarray):
         self.words = words
 
-    def __or__(self, other: Filter) -> Filter:
-        return Filter(self.words | other.words)
-
     def has(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), bool)
         for at in _bits(hashes):
@@ -192,21 +191,22 @@ def _word_counts(parts: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _places(lang: str, words: list[bytes], x: np.ndarray, wanted: list[tuple[int, int]], begun: Filter, often: Filter):
+def _places(lang: str, words: list[bytes], x: np.ndarray, wanted: list[tuple[int, int]], begun: Filter | dict[int, Filter], often: Filter):
     """Hashes of the words, and for each size the places where a wanted run starts with the hash of its known words."""
     salt = np.uint64(_hash(lang.encode()))
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     hashes[hashes == 0] = 1  # as _hash
     good = often.has(hashes ^ salt)
     good[0] = False
-    one_of = begun.has(hashes ^ salt) & good
+    begun = begun if isinstance(begun, dict) else dict.fromkeys((size for size, _ in wanted), begun)
+    one_of = {size: begun[size].has(hashes ^ salt) & good for size, known in wanted if known == 1}
     good, h = good[x], hashes[x]
     for size, known in wanted:
         end = len(x) - size
         if end < 1:
             continue
         # the first place is the end of a piece, so every run has a neighbour on both sides
-        fine = one_of[x[:end]] if known == 1 else good[:end].copy()
+        fine = one_of[size][x[:end]] if known == 1 else good[:end].copy()
         for k in range(1, size):
             fine &= good[k : end + k]
         at = np.flatnonzero(fine)
@@ -214,7 +214,7 @@ def _places(lang: str, words: list[bytes], x: np.ndarray, wanted: list[tuple[int
         for k in range(1, known):
             run = run * _NEXT + h[at + k]
         if known > 1:
-            passed = begun.has(run ^ salt)
+            passed = begun[size].has(run ^ salt)
             at, run = at[passed], run[passed]
         if len(at):
             for k in range(known, size):
@@ -244,15 +244,15 @@ def _frequent_hashes(parts: DataFrame, wanted: list[tuple[int, int]], known: Fil
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             for _, _, run, _ in _places(*part, wanted, *shared.value):
-                hashes, n = np.unique(run, return_counts=True)
+                hashes, n = np.unique(run >> _UNUSED << _UNUSED, return_counts=True)  # zeros compress
                 yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counted = parts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return _filter(counted.filter(F.col("n") >= least).select("h"), lambda batch: batch.column(0).to_numpy().view(np.uint64))
 
 
-def _phrase_counts(parts: DataFrame, wanted: list[tuple[int, int]], known: Filter, frequent: Filter, least: int) -> DataFrame:
-    """Phrases of the sizes ``wanted`` (size, known words): the known first words are in ``known``, the rest frequent."""
+def _phrase_counts(parts: DataFrame, wanted: list[tuple[int, int]], known: Filter | dict[int, Filter], frequent: Filter, least: int) -> DataFrame:
+    """Phrases of the sizes ``wanted`` (size, known words): the known first words are in ``known``, of all sizes or by size, the rest frequent."""
     shared = parts.sparkSession.sparkContext.broadcast((known, frequent))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,15 +360,13 @@ def mine_phrases(
         if ahead.isEmpty():
             break
         # many different runs, few of them frequent: growth is by their hashes, and all sizes are counted in one pass
-        known, runs, sizes = filter_of(ahead), None, []
+        known, runs = filter_of(ahead), {}
         for size in range(2, max_words + 1):
             known = _frequent_hashes(parts, [(size, size - 1)], known, often, least)
-            if not known.words.any():
+            if size > 2 and not known.words.any():
                 break
-            runs = known if runs is None else runs | known
-            sizes.append((size, size))
-        if not sizes:
-            runs, sizes = known, [(2, 2)]
+            runs[size] = known
+        sizes = [(size, size) for size in runs]
         # filters let some others through: growth is from the words of this wave
         first = F.substring_index("phrase", " ", 1)
         grown = _phrase_counts(parts, sizes, runs, often, least).withColumn("first", first)
