@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -32,6 +33,36 @@ def test_cached_pieces_give_the_same_ids(spark, file):
         assert np.frombuffer(encode(text), encode.dtype).tolist() == want, text[:80]
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_encoded_together_give_the_same_ids(file, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_PIECES", 500)
+    path, rng = public_tokenizers.path(file), random.Random(5)
+    encode, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    parts = [*" \n\n  \t\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000.,;:!?'’-aZéÉ×÷ñßİΣσ中é1²<|>", "one", "Two", "don't", "<|endoftext|>", "\u0301", "ﬁ", "«"]
+    texts = [None if rng.random() < 0.02 else "".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(5000)]
+    got = encode.all(pa.array(texts, pa.string()).slice(3))
+    for text, ids in zip(texts[3:], got, strict=True):
+        assert np.frombuffer(ids, encode.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert encode.all(pa.array([], pa.string())) == [] and encode.all(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
+def test_a_piece_is_looked_up_once_in_a_part(monkeypatch):
+    """Every word of every text was looked up by itself, which took most of the time of packing."""
+
+    class Counted(tokens._Pieces):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    asked = []
+    monkeypatch.setattr(tokens, "_Pieces", Counted)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setitem(vars(tokens.tokenizers), "_kept_encoders", {})
+    batch = pa.record_batch([pa.array(["red fish, blue fish"] * 1000)], ["text"])
+    got = [i for _, ids, _ in tokens.encoded(iter([batch]), path, "text") for i in ids]
+    assert len(got) == 1000 and len(asked) < 10
+
+
 def checksum(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
