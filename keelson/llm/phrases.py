@@ -4,16 +4,19 @@ A phrase's score is the lowest over its cuts of 1000 * a * n / (l * r). A rest o
 as the whole (r >= a), so nothing that begins with the word w scores above 1000 * n / f(w): the
 count of the first prefix is an admissible bound. The frontier holds the frequent words that no
 phrase has been grown from yet. It is expanded best bound first, in waves over the whole table: a wave grows
-its words to two words, and those that stay frequent by one more at a time, by their hashes; all that
+its words to two words, and those that stay frequent further, to three and then by two at a time, by their hashes; all that
 stay are then counted as phrases in one pass. Then the counts of missing rests are looked up, for phrases that can still matter, and scores are exact.
 Once a language has ``limit`` survivors, the last one's score settles how far the frontier must be
-expanded: the next wave takes every word whose bound reaches it, ties included, and is the last.
+expanded: to every word whose bound reaches it, ties included. A wave goes to 8 times the words of the one before, but
+not beyond 2 (then 4, 16, ...) times its highest count, since a language that lacks a few survivors would else grow
+its most frequent words, with most of its text behind them, for phrases far below the score that it settles on.
 
 Texts are split into words once and kept as numbered words of large parts; the passes read those.
 Tasks know what to count by filters of fixed size over hashes (no false negatives), so what is
 broadcast doesn't grow with the data; a false positive only costs a row that the exact join on
-the phrase itself drops. Counts are combined in the part before they are shuffled; a grown
-phrase is first counted by a hash alone, and only hashes that are frequent as phrases.
+the phrase itself drops. Counts are combined over the parts of a task before they are rows, so that a task makes a row
+for each different phrase and not for each place; a grown phrase is first counted by a hash alone, and only
+hashes that are frequent as phrases.
 
 A phrase is inside a longer one that is as frequent just when all its occurrences have the same
 neighbour on one side, within the piece. Neighbours are told apart by 64 bits of a hash; all
@@ -37,9 +40,10 @@ from keelson.llm.common import table
 from keelson.plans.durable import fresh_path, written
 
 LIMIT, LEAST, WORDS = 2000, 100, 5
-FIRST_WAVE, GROWTH = 8, 8
+FIRST_WAVE, GROWTH, COUNTS = 8, 8, 2
 FILTER_BITS = 24
 _TEXT, _TOKENS, _VOCABULARY = 2**19, 150_000, 80_000
+_RUNS, _PHRASES = 2**20, 2**18  # held by a task until it combines them
 _SHAPE = bytes.maketrans(
     b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz"
 )
@@ -191,34 +195,29 @@ def _word_counts(parts: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _places(lang: str, words: list[bytes], x: np.ndarray, wanted: list[tuple[int, int]], begun: Filter | dict[int, Filter], often: Filter):
-    """Hashes of the words, and for each size the places where a wanted run starts with the hash of its known words."""
+def _places(lang: str, words: list[bytes], x: np.ndarray, wanted: list[tuple[int, int]], first: Filter, begun: Filter | dict[int, Filter], often: Filter):
+    """Hashes of the words, and for each size the places where a wanted run starts, with a word in ``first``, and the hash of its known words."""
     salt = np.uint64(_hash(lang.encode()))
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     hashes[hashes == 0] = 1  # as _hash
     good = often.has(hashes ^ salt)
     good[0] = False
     begun = begun if isinstance(begun, dict) else dict.fromkeys((size for size, _ in wanted), begun)
-    one_of = {size: begun[size].has(hashes ^ salt) & good for size, known in wanted if known == 1}
-    good, h = good[x], hashes[x]
+    starts = np.flatnonzero((first.has(hashes ^ salt) & good)[x])
     for size, known in wanted:
-        end = len(x) - size
-        if end < 1:
-            continue
         # the first place is the end of a piece, so every run has a neighbour on both sides
-        fine = one_of[size][x[:end]] if known == 1 else good[:end].copy()
+        at = starts[: np.searchsorted(starts, len(x) - size)]
         for k in range(1, size):
-            fine &= good[k : end + k]
-        at = np.flatnonzero(fine)
-        run = h[at]
+            at = at[good[x[at + k]]]
+        run = hashes[x[at]]
         for k in range(1, known):
-            run = run * _NEXT + h[at + k]
+            run = run * _NEXT + hashes[x[at + k]]
         if known > 1:
             passed = begun[size].has(run ^ salt)
             at, run = at[passed], run[passed]
         if len(at):
             for k in range(known, size):
-                run = run * _NEXT + h[at + k]
+                run = run * _NEXT + hashes[x[at + k]]
             yield size, at, run ^ salt, hashes
 
 
@@ -237,35 +236,79 @@ def _common(ids: np.ndarray, order: np.ndarray, starts: np.ndarray, hashes: np.n
     return np.where((low == high) & (low > 0), hashes[low], np.uint64(0)).view(np.int64)
 
 
-def _frequent_hashes(parts: DataFrame, wanted: list[tuple[int, int]], known: Filter, frequent: Filter, least: int) -> Filter:
+class _Held:
+    """Counts of the phrases of several parts, their words numbered alike."""
+
+    def __init__(self):
+        self.vocabulary, self.rows = _Vocabulary(), 0
+        self.counts: dict[tuple[str, int], list[tuple[np.ndarray, ...]]] = {}
+
+    def add(self, lang: str, words: list[bytes], phrases: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray):
+        """``phrases``: a row of numbers of ``words`` for each."""
+        used, which = np.unique(phrases, return_inverse=True)
+        numbers = np.fromiter((self.vocabulary[words[w]] for w in used.tolist()), np.int32, len(used))
+        self.counts.setdefault((lang, phrases.shape[1]), []).append((numbers[which.reshape(phrases.shape)], n, left, right))
+        self.rows += len(n)
+
+    def combined(self) -> Iterator[pa.RecordBatch]:
+        words = self.vocabulary.words
+        for (lang, size), held in self.counts.items():
+            phrases, n, left, right = map(np.concatenate, zip(*held))
+            first, which = _runs(phrases.ravel(), np.arange(len(n)) * size, size, len(words))
+            order = np.argsort(which, kind="stable")
+            starts = np.searchsorted(which[order], np.arange(len(first)))
+            sides = []
+            for side in (left[order], right[order]):
+                low, high = np.minimum.reduceat(side, starts), np.maximum.reduceat(side, starts)
+                sides.append(np.where(low == high, low, 0))
+            texts = _strings([b" ".join([words[w] for w in row]) for row in phrases[first].tolist()])
+            fixed = [pa.array([lang] * len(first), pa.string()), pa.array(np.full(len(first), size, np.int32))]
+            counts = [np.add.reduceat(n[order], starts), *sides]
+            yield pa.record_batch([*fixed, texts, *map(pa.array, counts)], ["lang", "size", "phrase", "n", "left", "right"])
+
+
+def _frequent_hashes(parts: DataFrame, wanted: list[tuple[int, int]], first: Filter, known: Filter, frequent: Filter, least: int) -> Filter:
     """The filter of the wanted runs whose hash occurs often enough: what is shuffled is a hash and a count."""
-    shared = parts.sparkSession.sparkContext.broadcast((known, frequent))
+    shared = parts.sparkSession.sparkContext.broadcast((first, known, frequent))
+
+    def combined(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], ["h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for part in _parts(batches):
-            for _, _, run, _ in _places(*part, wanted, *shared.value):
-                hashes, n = np.unique(run >> _UNUSED << _UNUSED, return_counts=True)  # zeros compress
-                yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], ["h", "n"])
+            held += [run >> _UNUSED << _UNUSED for _, _, run, _ in _places(*part, wanted, *shared.value)]  # zeros compress
+            if sum(map(len, held)) >= _RUNS:
+                yield combined(held)
+                held = []
+        if held:
+            yield combined(held)
 
     counted = parts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return _filter(counted.filter(F.col("n") >= least).select("h"), lambda batch: batch.column(0).to_numpy().view(np.uint64))
 
 
-def _phrase_counts(parts: DataFrame, wanted: list[tuple[int, int]], known: Filter | dict[int, Filter], frequent: Filter, least: int) -> DataFrame:
-    """Phrases of the sizes ``wanted`` (size, known words): the known first words are in ``known``, of all sizes or by size, the rest frequent."""
-    shared = parts.sparkSession.sparkContext.broadcast((known, frequent))
+def _phrase_counts(
+    parts: DataFrame, wanted: list[tuple[int, int]], first: Filter, known: Filter | dict[int, Filter], frequent: Filter, least: int
+) -> DataFrame:
+    """Phrases of the sizes ``wanted`` (size, known words): the first word is in ``first``, the known first words are in ``known``, of all sizes or by size, the rest frequent."""
+    shared = parts.sparkSession.sparkContext.broadcast((first, known, frequent))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for lang, words, x in _parts(batches):
             for size, at, _, hashes in _places(lang, words, x, wanted, *shared.value):
-                first, run = _runs(x, at, size, len(words))
+                once, run = _runs(x, at, size, len(words))
                 order = np.argsort(run, kind="stable")
                 n = np.bincount(run)
                 starts = np.cumsum(n) - n
                 left, right = (_common(x[at + k], order, starts, hashes) for k in (-1, size))
-                phrases = [b" ".join([words[w] for w in x[p : p + size].tolist()]) for p in at[first].tolist()]
-                fixed = [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32))]
-                yield pa.record_batch([*fixed, _strings(phrases), *map(pa.array, (n, left, right))], ["lang", "size", "phrase", "n", "left", "right"])
+                held.add(lang, words, x[at[once][:, None] + np.arange(size)], n, left, right)
+            if held.rows >= _PHRASES:
+                yield from held.combined()
+                held = _Held()
+        yield from held.combined()
 
     one_side = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)
     counted = parts.mapInArrow(count, COUNTED).groupBy("lang", "size", "phrase")
@@ -322,6 +365,11 @@ def _scored(grown: DataFrame, frequent: DataFrame, totals: DataFrame, settled: D
     return low.select("lang", "phrase", "low.a", "low.l", "low.r", "low.n", "low.score")
 
 
+def _growth(max_words: int) -> list[list[int]]:
+    """The sizes that grow in one pass: pairs and triples have most of the different runs, what follows is grown two words at a time."""
+    return [[size for size in sizes if size <= max_words] for sizes in [[2], [3], *([k, k + 1] for k in range(4, max_words + 1, 2))] if sizes[0] <= max_words]
+
+
 def mine_phrases(
     docs: DataFrame, lang: str = "lang", text: str = "text", limit: int = LIMIT, least: int = LEAST, max_words: int = WORDS,
     first_wave: int = FIRST_WAVE,
@@ -342,34 +390,40 @@ def mine_phrases(
     def look_up(rests: DataFrame) -> DataFrame:
         rests = written(rests, "rests")
         sizes = [(k, k) for k in range(2, max_words)]
-        found = _phrase_counts(parts, sizes, filter_of(rests), often, least)
+        begun = filter_of(rests.withColumn("phrase", F.substring_index("phrase", " ", 1)))
+        found = _phrase_counts(parts, sizes, begun, filter_of(rests), often, least)
         return found.join(rests, ["lang", "phrase"], "left_semi").select("lang", "phrase", "n")
 
-    best, settled, taken = None, None, first_wave * limit
+    best, settled, taken, times = None, None, first_wave * limit, COUNTS
     reached = totals.select("lang", F.lit(0).cast("long").alias("since"))
     while True:
-        by_count = steps.filter(F.col("words") >= taken).groupBy("lang").agg(F.min("f").alias("enough"))
+        enough = F.min(F.when(F.col("words") >= taken, F.col("f"))).alias("enough")
+        by_count = steps.join(reached, "lang").filter("f > since").groupBy("lang").agg(F.min("f").alias("next"), enough)
         goal = reached.join(by_count, "lang", "left").join(totals, "lang")
         upto = F.coalesce("enough", F.lit(2**62))
         if settled is not None:
             goal = goal.join(settled, "lang", "left")
+            # at least the next count, so that no gap between counts ends the search
+            upto = F.least(upto, F.greatest("next", F.least("since", F.lit(2**62 // times)) * times))
+            times = min(times**2, 2**20)
             # bound >= score, and the bound is 1000 * n / count
-            upto = F.when(F.col("score") > 0, F.call_function("div", F.lit(1000) * F.col("n"), F.col("score"))).otherwise(upto)
+            upto = F.least(upto, F.when(F.col("score") > 0, F.call_function("div", F.lit(1000) * F.col("n"), F.col("score"))))
         goal = written(goal.select("lang", "since", upto.alias("upto")), "frontier")
         ahead = frequent.join(goal, "lang").filter("n > since AND n <= upto").select("lang", "phrase")
         if ahead.isEmpty():
             break
         # many different runs, few of them frequent: growth is by their hashes, and all sizes are counted in one pass
-        known, runs = filter_of(ahead), {}
-        for size in range(2, max_words + 1):
-            known = _frequent_hashes(parts, [(size, size - 1)], known, often, least)
-            if size > 2 and not known.words.any():
+        begun = known = filter_of(ahead)
+        runs = {}
+        for grown_to in _growth(max_words):
+            known = _frequent_hashes(parts, [(size, grown_to[0] - 1) for size in grown_to], begun, known, often, least)
+            if grown_to[0] > 2 and not known.words.any():
                 break
-            runs[size] = known
+            runs |= dict.fromkeys(grown_to, known)
         sizes = [(size, size) for size in runs]
         # filters let some others through: growth is from the words of this wave
         first = F.substring_index("phrase", " ", 1)
-        grown = _phrase_counts(parts, sizes, runs, often, least).withColumn("first", first)
+        grown = _phrase_counts(parts, sizes, begun, runs, often, least).withColumn("first", first)
         grown = grown.join(ahead.withColumnRenamed("phrase", "first"), ["lang", "first"], "left_semi").drop("first")
         grown = written(grown.select("lang", "size", "phrase", "n", "left", "right"), "phrases")
         new = _scored(grown, frequent, totals, settled, max_words, look_up)

@@ -129,6 +129,35 @@ def test_wave_reads_the_parts_once_for_all_sizes(spark, monkeypatch):
     assert sizes == [[2, 3, 4, 5], [2, 3, 4]]  # a wave, and its rests
 
 
+def test_most_frequent_words_are_not_grown_for_a_few_phrases(spark, monkeypatch):
+    """A language short of a few phrases after its first wave grew all its words, and made rows of most of its text."""
+    scored, grown = phrases._scored, set()
+    monkeypatch.setattr(phrases, "_scored", lambda rows, *rest: (grown.update(r.phrase for r in rows.collect()), scored(rows, *rest))[1])
+    texts = [f"a{k} b{k}." for k in range(30)] * 20 + [f"d{k} e{k}." for k in range(3)] * 30 + [f"the c{k}." for k in range(10)] * 60
+    rows = [("en", text) for text in texts]
+    got = phrases.mine_phrases(spark.createDataFrame(rows, "lang string, text string"), limit=32, least=15, first_wave=1)
+    assert sorted(tuple(r) for r in got.collect()) == plain_phrases(rows, 32, 15)
+    assert len(grown) == 33 and not any(p.startswith("the ") for p in grown)
+
+
+def test_gaps_between_counts_do_not_end_the_search(spark):
+    rows = [("en", text) for text in ["a b."] * 20 + ["c d."] * 500 + ["e f."] * 9000]
+    got = phrases.mine_phrases(spark.createDataFrame(rows, "lang string, text string"), limit=3, least=15, first_wave=0)
+    assert [r.phrase for r in sorted(got.collect(), key=lambda r: r.rank)] == ["a b", "c d", "e f"]
+
+
+def test_parts_of_a_task_share_their_rows():
+    """A phrase made a row for each part of a task that has it."""
+    held = phrases._Held()
+    one = np.ones(2, np.int64)
+    held.add("en", [b".", b"a", b"b", b"c"], np.array([[1, 2], [2, 3]], np.int32), one, 5 * one, np.array([7, 0]))
+    held.add("en", [b".", b"c", b"b", b"a"], np.array([[2, 1], [3, 2]], np.int32), 2 * one, np.array([5, 6]), np.array([7, 7]))
+    held.add("fr", [b".", b"a", b"b"], np.array([[1, 2]], np.int32), one[:1], one[:1], one[:1])
+    got = [tuple(r.values()) for batch in held.combined() for r in batch.to_pylist()]
+    # the neighbours differ where one is 0
+    assert sorted(got) == [("en", 2, "a b", 3, 0, 7), ("en", 2, "b c", 3, 5, 0), ("fr", 2, "a b", 1, 1, 1)]
+
+
 def test_phrases_of_nothing(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert phrases.mine_phrases(none).collect() == []
